@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyloom.llm.cooccurrence import associated, cooccurrence, latest_baskets
 from tallyloom.llm.encoding import encode
 from tallyloom.llm.packing import pack_documents
+from tallyloom.llm.pii import personal_information, sanitised
 from tallyloom.llm.repetition import repetition_cases, repetition_shares
 from tallyloom.sources.tables import table
 
@@ -35,7 +36,15 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), table(spark, d, "context_windows"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p6_found, p6_shares, p8_ids, p9_packed)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_information(table(spark, d, "documents"), table(spark, d, "name_parts"))
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    return sanitised(table(spark, d, "documents"), table(spark, d, "name_parts"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p6_found, p6_shares, p8_ids, p9_packed, p10_found, p10_clean)}
 
 _BASKETS = r"""
 WITH last AS (SELECT id, arg_max(tags, ingested_at) AS tags FROM frontmatter WHERE id IS NOT NULL GROUP BY id),
