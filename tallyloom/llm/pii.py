@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.plans.lineage import stash
+
 #: A term discloses a protected entity if at least this share of its occurrences is beside one ...
 LEAST_SHARE = 0.3
 #: ... a phrase if at least this share of the name or number shapes beside it is certain (parts
@@ -520,7 +522,8 @@ def learn(documents: DataFrame, name_parts: DataFrame, text: str = "text") -> Le
     known = known_parts(name_parts)
     lexicon = Lexicon(set(known.given), set(known.family))
     target = {"given": lexicon.given, "family": lexicon.family, "common": lexicon.common, "phrase": lexicon.phrases, "number": lexicon.number_phrases, "constant": lexicon.constant_streets, "weak": lexicon.weak, "pair": lexicon.street_pairs}
-    for row in disclosing_terms(term_disclosure(documents, known, text)).collect():
+    counts = stash(term_disclosure(documents, known, text))
+    for row in disclosing_terms(counts).collect():
         target[row["kind"]].add(row["term"])
     return lexicon
 
