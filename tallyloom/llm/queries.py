@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.blocks import clean_documents, document_blocks
 from tallyloom.llm.cooccurrence import associated, cooccurrence, latest_baskets
 from tallyloom.llm.encoding import encode
 from tallyloom.llm.packing import pack_documents
@@ -12,6 +13,14 @@ from tallyloom.llm.repetition import repetition_cases, repetition_shares
 from tallyloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return document_blocks(table(spark, d, "doc_bodies"), table(spark, d, "sections"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return clean_documents(table(spark, d, "doc_bodies"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return associated(cooccurrence(latest_baskets(table(spark, d, "frontmatter"))))
 
@@ -44,7 +53,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return sanitised(table(spark, d, "documents"), table(spark, d, "name_parts"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p6_found, p6_shares, p8_ids, p9_packed, p10_found, p10_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p4_found, p4_pairs, p6_found, p6_shares, p8_ids, p9_packed, p10_found, p10_clean)}
 
 _BASKETS = r"""
 WITH last AS (SELECT id, arg_max(tags, ingested_at) AS tags FROM frontmatter WHERE id IS NOT NULL GROUP BY id),
