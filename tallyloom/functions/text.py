@@ -1,0 +1,104 @@
+"""Text expressions on names, links and documents. Letters are ASCII where a name says slug or kebab."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_BLANK = "[\\s ﻿]"
+
+
+def strip(c: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(c, rf"^{_BLANK}+|{_BLANK}+$", "")
+
+
+def _slug_core(c: Column) -> Column:
+    kept = F.regexp_replace(strip(F.lower(c)), r"[^A-Za-z0-9_\s\u00a0\ufeff-]", "")
+    return F.regexp_replace(F.regexp_replace(kept, rf"{_BLANK}+", "-"), "-+", "-")
+
+
+def slug(c: Column) -> Column:
+    """Lower case, words joined by single dashes, other signs dropped, no dash at the ends."""
+    return F.regexp_replace(_slug_core(c), "^-+|-+$", "")
+
+
+def title_key(c: Column) -> Column:
+    """Like ``slug``, but dashes at the ends stay: the key by which titles are duplicates."""
+    return _slug_core(c)
+
+
+def kebab(c: Column) -> Column:
+    """Each run of signs other than a-z and digits one dash, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def plugin_kebab(c: Column) -> Column:
+    """Like ``slug`` with underscores as dashes."""
+    return F.regexp_replace(F.regexp_replace(F.replace(slug(c), F.lit("_"), F.lit("-")), "-+", "-"), "^-+|-+$", "")
+
+
+def wikilinks(c: Column) -> Column:
+    """The targets of ``[[target|label]]`` links, trimmed, each once, in the order of their first appearance."""
+    found = F.regexp_extract_all(c, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), 1)
+    return F.array_distinct(F.filter(F.transform(found, strip), lambda t: t != ""))
+
+
+def placeholders(c: Column) -> Column:
+    """The names in double braces, first word of each, each once."""
+    found = F.regexp_extract_all(c, F.lit(r"\{\{\s*([A-Za-z_][A-Za-z0-9_.]*)[^}]*\}\}"), 1)
+    return F.array_distinct(found)
+
+
+def front_keys(c: Column) -> Column:
+    """The keys at the start of the lines of a front matter text."""
+    return F.regexp_extract_all(c, F.lit(r"(?m)^([A-Za-z0-9_]+):"), 1)
+
+
+def plural(c: Column) -> Column:
+    """English plural of a word: y to ies (not after e), es after s, x and ch, else s."""
+    return F.when(c.rlike("(?i)[^e]y$"), F.concat(F.regexp_replace(c, "[yY]$", ""), F.lit("ies"))).when(c.rlike("(?i)(s|x|ch)$"), F.concat(c, F.lit("es"))).otherwise(F.concat(c, F.lit("s")))
+
+
+def snake(c: Column) -> Column:
+    """CamelCase as snake_case; runs of capitals stay together."""
+    once = F.regexp_replace(c, "([A-Z]+)([A-Z][a-z])", "$1_$2")
+    return F.lower(F.regexp_replace(once, "([a-z0-9])([A-Z])", "$1_$2"))
+
+
+def markdown_cell(c: Column) -> Column:
+    """A text that is safe in one cell of a Markdown table."""
+    return F.replace(F.regexp_replace(c, r"\r\n|\r|\n", " "), F.lit("|"), F.lit("\\|"))
+
+
+def truncated(c: Column, limit: int, suffix: str = "... [truncated]") -> Column:
+    """The first ``limit`` characters with a suffix, or the text if it isn't longer."""
+    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(suffix))).otherwise(c)
+
+
+def token_estimate(c: Column) -> Column:
+    """An estimate of the tokens of a text: a quarter of its characters, rounded up."""
+    return F.ceil(F.length(c) / 4)
+
+
+def template_vars(c: Column) -> Column:
+    """``k=v,k2=v2`` as a map; a value may hold equals signs, pieces without one are left out, later ones win."""
+    pieces = F.filter(F.split(c, ","), lambda p: p.contains("="))
+    pairs = F.transform(pieces, lambda p: F.struct(strip(F.substring_index(p, "=", 1)).alias("k"), strip(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
+    return F.map_from_entries(F.reverse(F.aggregate(F.reverse(pairs), F.array().cast("array<struct<k:string,v:string>>"), lambda acc, x: F.when(F.exists(acc, lambda a: a["k"] == x["k"]), acc).otherwise(F.concat(acc, F.array(x))))))
+
+
+def source_prefix(url: Column) -> Column:
+    """The name of a URL's source: the second-level domain, after dropping docs., api. and www.; empty for what is no URL."""
+    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    bare = F.regexp_replace(host, r"^(?:www|docs|api)\.", "")
+    parts = F.split(bare, r"\.")
+    return F.when(host == "", "").when(F.size(parts) >= 2, F.element_at(parts, -2)).otherwise(parts[0])
+
+
+def text_paths(c: Column) -> Column:
+    """The file paths a free text names, in backquotes, at line starts or as words with an ending, each once."""
+    ticked = F.regexp_extract_all(c, F.lit(r"`([A-Za-z0-9_./-]+\.[A-Za-z0-9]+)`"), 1)
+    listed = F.regexp_extract_all(c, F.lit(r"(?m)^\s*[-*]\s+([A-Za-z0-9_./-]+\.[A-Za-z0-9]+)"), 1)
+    words = F.regexp_extract_all(c, F.lit(r"(?:^|[\s(\"'])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+)"), 1)
+    return F.array_distinct(F.flatten(F.array(ticked, listed, words)))
