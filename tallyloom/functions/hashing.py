@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def canonical_json(value) -> str:
@@ -21,7 +22,7 @@ def digest(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def json_digest(text: pd.Series) -> pd.Series:
     """The digest of the value a JSON text holds; null for null and broken texts."""
 

@@ -183,3 +183,14 @@ def weighted_choice(rolls: DataFrame, weights: list[tuple[str, float]], roll: st
     for name, limit in reversed(tries):
         out = F.when(F.col(roll) * total < limit, name).otherwise(out)
     return rolls.withColumn("choice", out)
+
+
+def related_sample(items: DataFrame, group: str, key: str, n: int = 3) -> DataFrame:
+    """``key, related``: up to n others of each item's group, chosen by a hash of their key, never itself.
+
+    Only the first n + 1 of a group by hash are ever joined to its items, so no pairs of
+    all members arise.
+    """
+    ranked = items.select(F.col(group).alias("_g"), F.col(key).alias("related")).distinct().withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(F.md5(F.col("related").cast("string")), "related"))).where(F.col("_r") <= n + 1)
+    pairs = items.select(group, key).distinct().join(ranked, F.col(group) == F.col("_g")).where(F.col("related") != F.col(key))
+    return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_r"))).where(F.col("_n") <= n).select(key, "related")

@@ -26,7 +26,7 @@ def match_requests(requests: DataFrame, surfaces: DataFrame) -> DataFrame:
     rest = asked.join(literal.select("method", "path").distinct(), ["method", "path"], "left_anti")
     segments = F.size(F.split("path", "/"))
     shapes = known.where(is_template(F.col("template"))).select("method", "id", template_regex(F.col("template")).alias("rx"), F.size(F.split("template", "/")).alias("n"))
-    shaped = rest.withColumn("n", segments).join(shapes, ["method", "n"]).where(F.col("path").rlike(F.col("rx"))).select("method", "path", "id")
+    shaped = rest.withColumn("n", segments).join(shapes, ["method", "n"]).where(F.regexp_like("path", F.col("rx"))).select("method", "path", "id")
     found = exact.select("method", "path", "id").unionByName(shaped).groupBy("method", "path").agg(F.sort_array(F.collect_set("id")).alias("candidates"))
     size = F.coalesce(F.size("candidates"), F.lit(0))
     status = F.when(F.col("candidates").isNull(), "unmatched").when(size > 1, "ambiguous").otherwise("matched")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.queries import general
+from tallyloom.queries import coverage, documents, general, relational
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**general.QUERIES, **coverage.QUERIES, **documents.QUERIES, **relational.QUERIES}
+SQL = {**general.SQL, **coverage.SQL, **documents.SQL, **relational.SQL}
