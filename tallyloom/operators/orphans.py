@@ -97,7 +97,7 @@ def surviving_keys(frame: pd.DataFrame) -> Iterator[tuple]:
             yield (*decode[code], int(month), pd.Timestamp(starts.min(), tz="UTC") if high > low else None, spans)
 
 
-def _survivors(_key, frame: pd.DataFrame) -> pd.DataFrame:
+def _survivors(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(surviving_keys(frame), columns=["ref_type", "ref_id", "month", "first_begin", "spans"])
 
 

@@ -57,21 +57,21 @@ WITH said AS (
   UNION ALL SELECT id, 'related_systems', 'system', unnest(related_systems), updated FROM frontmatter
 ),
 named AS (
-  SELECT DISTINCT id, ref_field, ref_type, CAST(updated AS TIMESTAMPTZ) AS at,
+  SELECT DISTINCT id, ref_field, ref_type, CAST(updated AS TIMESTAMPTZ) AS moment,
     upper(trim(regexp_replace(trim(regexp_replace(split_part(split_part(regexp_replace(trim(v), '^\[\[|\]\]$', '', 'g'), '|', 1), '#', 1), '^.*/', '')), '\.md$', ''))) AS ref_id
   FROM said WHERE trim(v) <> ''
 ),
 judged AS (
-  SELECT n.id, n.ref_field, n.ref_id, n.at,
-    coalesce(bool_or(r.registered_at <= n.at AND (r.removed_at IS NULL OR r.removed_at > n.at)), false) AS ok,
+  SELECT n.id, n.ref_field, n.ref_id, n.moment,
+    coalesce(bool_or(r.registered_at <= n.moment AND (r.removed_at IS NULL OR r.removed_at > n.moment)), false) AS ok,
     min(r.registered_at) AS first_begin
   FROM named n LEFT JOIN (SELECT DISTINCT * FROM registry) r ON upper(r.id) = n.ref_id AND r.doc_type = n.ref_type
   WHERE n.ref_id <> '' GROUP BY ALL
 ),
 found AS (
   SELECT DISTINCT id, ref_field, ref_id,
-    CASE WHEN first_begin IS NULL THEN 'missing' WHEN first_begin > at THEN 'late' ELSE 'deleted' END AS ref_state,
-    strftime(timezone('UTC', at), '%Y-%m') AS ref_month
+    CASE WHEN first_begin IS NULL THEN 'missing' WHEN first_begin > moment THEN 'late' ELSE 'deleted' END AS ref_state,
+    strftime(timezone('UTC', moment), '%Y-%m') AS ref_month
   FROM judged WHERE NOT ok
 )"""
 
