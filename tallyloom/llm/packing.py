@@ -122,7 +122,7 @@ def pack_documents(documents: DataFrame, windows: DataFrame, vocabulary: str = D
         F.col("capacity_tokens").cast("bigint").alias("n_tokens"),
     )
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         window, capacity, shard = key
         frame = frame.sort_values(["rest", "doc_id"], ascending=[False, True], kind="stable")
         where = pack(frame["rest"].tolist(), int(capacity))
