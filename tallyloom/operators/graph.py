@@ -25,10 +25,15 @@ def reach(roots: DataFrame, edges: DataFrame, max_hops: int | None = MAX_HOPS) -
         hop += 1
         found = level.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         level = stash(found.join(known.select("root", "node"), ["root", "node"], "left_anti"))
-        known = stash(known.unionByName(level.withColumn("hop", F.lit(hop))))
+        known = _gathered(known.unionByName(level.withColumn("hop", F.lit(hop))), hop)
     return known
 
 
+def _gathered(known: DataFrame, level: int) -> DataFrame:
+    """The union of all levels so far, written as one table every few levels so that plans stay short."""
+    return stash(known) if level % 8 == 0 else known
+
+
 def bind(roots: DataFrame, edges: DataFrame, direct: DataFrame) -> DataFrame:
     """``root, entity, hops``: the entities each root reaches, and over how few hops. ``direct`` has ``node, entity``."""
     return reach(roots, edges).join(direct.select("node", "entity").distinct(), "node").groupBy("root", "entity").agg(F.min("hop").alias("hops"))
@@ -51,11 +56,12 @@ def chains(roots: DataFrame, edges: DataFrame, direct: DataFrame) -> DataFrame:
     """
     steps = stash(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     level = stash(roots.where("root is not null").select("root", F.col("root").alias("node"), F.array("root").alias("path")).distinct())
-    known = level
+    known, hop = level, 0
     while not level.isEmpty():
+        hop += 1
         found = level.join(steps, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         level = stash(found.join(known.select("root", "node"), ["root", "node"], "left_anti"))
-        known = stash(known.unionByName(level))
+        known = _gathered(known.unionByName(level), hop)
     return known.join(direct.select("node", "entity").distinct(), "node").groupBy("root", "entity").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("chain"))
 
 

@@ -63,16 +63,20 @@ def separate_cycles(links: DataFrame) -> DataFrame:
             F.lit(1.0).alias("below"),
         )
     )
-    live, targets = state.where("jump is not null").agg(F.count("*"), F.countDistinct("jump")).first()
+    live, targets = state.where("jump is not null").count(), None
     while live:
         sums = state.where("jump is not null").groupBy(F.col("jump").alias("at")).agg(F.sum("below").alias("more"))
         grown = state.join(sums, F.col("id") == F.col("at"), "left").withColumn("below", F.col("below") + F.coalesce("more", F.lit(0.0))).drop("at", "more")
-        steps = state.select(F.col("id").alias("to"), F.col("jump").alias("jump2"))
-        state = stash(grown.join(steps, F.col("jump") == F.col("to"), "left").withColumn("jump", F.col("jump2")).drop("to", "jump2"))
-        left, now = state.where("jump is not null").agg(F.count("*"), F.countDistinct("jump")).first()
-        if (left, now) == (live, targets):
-            break
-        live, targets = left, now
+        steps = state.where("jump is not null").select(F.col("id").alias("to"), F.col("jump").alias("jump2"))
+        state = stash(grown.join(steps, F.col("jump") == F.col("to"), "left").withColumn("jump", F.col("jump2")).drop("to", "jump2"), instead_of=state)
+        left = state.where("jump is not null").count()
+        if left == live:
+            # all that are left lead into cycles: their targets shrink to the nodes on cycles
+            now = state.where("jump is not null").select("jump").distinct().count()
+            if now == targets:
+                break
+            targets = now
+        live = left
     on = state.where("jump is not null").select(F.col("jump").alias("on")).distinct()
     return state.join(on, F.col("id") == F.col("on"), "left").select(
         "id",
@@ -104,7 +108,7 @@ def _chains(sound: DataFrame) -> DataFrame:
     )
     marked = stash(marked.withColumn("pos", F.when(F.col("jump").isNull(), F.lit(0).cast("bigint"))))
     while not marked.where("jump is not null").isEmpty():
-        up = marked.select(F.col("id").alias("to"), F.col("jump").alias("jump2"), F.col("head").alias("head2"), F.col("pos").alias("pos2"))
+        old, up = marked, marked.select(F.col("id").alias("to"), F.col("jump").alias("jump2"), F.col("head").alias("head2"), F.col("pos").alias("pos2"))
         marked = stash(
             marked.join(up, F.col("jump") == F.col("to"), "left").select(
                 "id",
@@ -116,7 +120,8 @@ def _chains(sound: DataFrame) -> DataFrame:
                 F.coalesce("head", "head2").alias("head"),
                 (F.col("step") * 2).alias("step"),
                 F.coalesce("pos", F.col("step") + F.col("pos2")).alias("pos"),
-            )
+            ),
+            instead_of=old,
         )
     return marked.drop("jump", "step")
 

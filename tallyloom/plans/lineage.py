@@ -2,19 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, SparkSession] = {}
 
-def stash(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset, as in tests, a temporary folder is taken.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyloom-"))
+    return context.getCheckpointDir()
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended: its folder is left to the cluster
+        pass
+    _written.pop(path, None)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in list(_written.items()):
+        if spark.sparkContext._jsc is not None:
+            _remove(path, spark)
+
+
+def stash(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a table written to the shared folder once and read from there.
+
+    Written tables outlive any executor, and their known size lets small ones be broadcast
+    by the planner's own threshold. ``instead_of`` is an earlier stash that nothing reads
+    any more; it is removed. What is left is removed when the process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written[path] = spark
+    if instead_of is not None and (old := getattr(instead_of, "stash_path", None)):
+        _remove(old, spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores; larger inputs stay as they are, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
