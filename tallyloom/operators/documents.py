@@ -194,3 +194,55 @@ def related_sample(items: DataFrame, group: str, key: str, n: int = 3) -> DataFr
     ranked = items.select(F.col(group).alias("_g"), F.col(key).alias("related")).distinct().withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(F.md5(F.col("related").cast("string")), "related"))).where(F.col("_r") <= n + 1)
     pairs = items.select(group, key).distinct().join(ranked, F.col(group) == F.col("_g")).where(F.col("related") != F.col(key))
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_r"))).where(F.col("_n") <= n).select(key, "related")
+
+
+def schema_coverage(expected: DataFrame, found: DataFrame, key: str = "doc_type") -> DataFrame:
+    """``key, state``: kinds that are expected and missing, found and not expected, or both."""
+    a, b = expected.select(key).distinct().withColumn("_a", F.lit(1)), found.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_b", F.lit(1))
+    return a.join(b, key, "full").select(key, F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").otherwise("present").alias("state"))
+
+
+def merge_schemas(base: dict, own: dict) -> dict:
+    """A type's JSON schema over its base: properties laid over each other, the own ones in force, required ones united in order."""
+    required = list(dict.fromkeys([*base.get("required", []), *own.get("required", [])]))
+    merged = {**base, **own, "properties": {**base.get("properties", {}), **own.get("properties", {})}, "required": required}
+    merged.pop("allOf", None)
+    return merged
+
+
+def published_examples(documents: DataFrame, path: str = "path") -> DataFrame:
+    """Markdown files below a folder ``examples`` that say they are examples and not drafts."""
+    return documents.where(F.col(path).rlike(r"(^|/)examples/.*\.md$") & F.col("example").eqNullSafe(True) & ~F.coalesce(F.col("draft"), F.lit(False)))
+
+
+def shallow(files: DataFrame, depth: int, path: str = "path") -> DataFrame:
+    """The files whose path has at most so many parts."""
+    return files.where(F.size(F.split(path, "/")) <= depth)
+
+
+def template_problems(required: list[str], allowed: list[str], templates: DataFrame, path: str = "path") -> DataFrame:
+    """``path, problem, field``: required keys a template neither sets nor fills, and placeholders no schema knows; ``now`` is always known.
+
+    ``templates`` has ``path, keys, placeholders`` (arrays).
+    """
+    missing = F.array_except(F.array(*map(F.lit, required)), F.concat("keys", "placeholders"))
+    strange = F.array_except(F.col("placeholders"), F.array(*map(F.lit, [*allowed, "now"])))
+    said = F.concat(F.transform(missing, lambda x: F.struct(F.lit("missing").alias("problem"), x.alias("field"))), F.transform(strange, lambda x: F.struct(F.lit("unknown").alias("problem"), x.alias("field"))))
+    return templates.select(path, F.explode(said).alias("p")).select(path, "p.problem", "p.field")
+
+
+def date_prefix(c: Column) -> Column:
+    """The UTC day of an ISO time, as a file name begins; null for what is no time."""
+    return F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd")
+
+
+def repeated_members(c: Column) -> Column:
+    """The members of a JSON object's top level that it has more than once."""
+    keys = F.json_object_keys(c)
+    return F.array_distinct(F.filter(keys, lambda k: F.size(F.filter(keys, lambda x: x == k)) > 1))
+
+
+def seeded_unit(seed: Column) -> Column:
+    """A number in [0, 1) that depends on a seed alone."""
+    x = F.sin(seed * 9301 + 49297) * 233280
+    return x - F.floor(x)

@@ -152,3 +152,42 @@ def configuration_violations(features: DataFrame, constraints: DataFrame, select
     for part in (root, parentless, mandatory, group, requires, excludes):
         out = out.unionByName(part)
     return out
+
+
+def binary_roll_up(status: DataFrame, own: DataFrame) -> DataFrame:
+    """``id, covered``: whether a feature and all its present descendants, over present ones alone, are covered. ``own`` has ``feature, covered`` (boolean).
+
+    A feature without a row counts as not covered.
+    """
+    counts = own.select("feature", F.when(F.col("covered"), 1).otherwise(0).alias("covered"))
+    whole = status.select(F.col("id").alias("feature")).join(counts, "feature", "left").select("feature", F.coalesce("covered", F.lit(0)).alias("covered"), F.lit(1).alias("total"))
+    return roll_up(status, whole).select("id", (F.col("covered") == F.col("total")).alias("covered"))
+
+
+def set_roll_up(links: DataFrame, own: DataFrame) -> DataFrame:
+    """``id, members``: the distinct members of each feature and all its descendants. ``links`` has ``id, parent``, ``own`` has ``feature, member``."""
+    level = stash(own.select(F.col("feature").alias("id"), "member").distinct())
+    gathered = level
+    while True:
+        level = stash(level.join(links.where("parent is not null").select("id", "parent"), "id").select(F.col("parent").alias("id"), "member").distinct())
+        if level.isEmpty():
+            break
+        gathered = gathered.unionByName(level)
+    return gathered.distinct().groupBy("id").agg(F.sort_array(F.collect_list("member")).alias("members"))
+
+
+def frontier_problems(links: DataFrame, frontier: DataFrame, required: DataFrame) -> DataFrame:
+    """``reason, subject`` of a frontier of ``id`` rows: members that lie below another, and required features below or on none."""
+    chosen = stash(frontier.select("id").distinct())
+    up = links.where("parent is not null").select("id", "parent")
+    level = stash(links.select("id", F.col("id").alias("at")))
+    above = level
+    while True:
+        level = stash(level.join(up.select(F.col("id").alias("at"), "parent"), "at").select("id", F.col("parent").alias("at")))
+        if level.isEmpty():
+            break
+        above = above.unionByName(level)
+    covered = above.join(chosen.select(F.col("id").alias("at")), "at", "left_semi")
+    nested = covered.join(chosen, "id", "left_semi").where("id != at").select("id").distinct()
+    outside = required.select("id").distinct().join(covered, "id", "left_anti")
+    return nested.select(F.lit("nested").alias("reason"), F.col("id").alias("subject")).unionByName(outside.select(F.lit("outside").alias("reason"), F.col("id").alias("subject")))
