@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import slug, title_key, wikilinks
+from tallyloom.plans.lineage import stash
 
 ISSUES = ("severity", "code", "file", "field", "section_id")
 
@@ -167,10 +168,27 @@ def vault_index(files: DataFrame, path: str = "path") -> DataFrame:
     return files.select(F.explode(F.array(base, slug(base))).alias("name")).where("name is not null and name != ''").distinct()
 
 
+def number_in_order(items: DataFrame, group: str, position: str) -> DataFrame:
+    """``items`` with ``n``, counted from 1 in each group by position, unique in it.
+
+    Rows are cut into ranges of (group, position), counted per range, and numbered within
+    their range on top of the ranges before it, so a group of very many rows is spread
+    over tasks.
+    """
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stash(items.repartitionByRange(parts, group, position).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_c"))
+    ahead = F.coalesce(F.sum("_c").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(group).alias("_g"), F.col("_range").alias("_q"), ahead.alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(position))
+    numbered = ranged.withColumn("_inside", inside).join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_q")))
+    return numbered.withColumn("n", F.col("_inside") + F.col("_ahead")).select(*items.columns, "n")
+
+
 def number_per_type(items: DataFrame, kind: str, position: str, start: int = 1, width: int = 4) -> DataFrame:
     """``items`` with ``seq``, a padded counter per kind in the order of arrival."""
-    n = F.row_number().over(Window.partitionBy(kind).orderBy(position)) + F.lit(start - 1)
-    return items.withColumn("seq", F.lpad(n.cast("string"), width, "0"))
+    n = (F.col("n") + F.lit(start - 1)).cast("string")
+    return number_in_order(items, kind, position).select(*items.columns, F.lpad(n, F.greatest(F.lit(width), F.length(n)), F.lit("0")).alias("seq"))
 
 
 def weighted_choice(rolls: DataFrame, weights: list[tuple[str, float]], roll: str = "roll") -> DataFrame:

@@ -45,16 +45,16 @@ def locate_definitions(nodes: DataFrame, definitions: DataFrame) -> tuple[DataFr
 
 
 def match_names(calls: DataFrame, definitions: DataFrame, builtins: list[str], bind: bool = True) -> DataFrame:
-    """``calls`` with ``outcome``, ``target`` and ``candidates`` by the last name of a call.
+    """``calls`` with ``outcome``, ``target`` and ``candidates``, the number of definitions, by the last name of a call.
 
     ``calls`` has ``call_id, leaf, external, chained, has_base``; ``definitions`` has
     ``leaf, node``. In this order: external bindings, chained calls, names of builtins
     called on something, names nobody defines, one definition (bound), several (ambiguous,
-    all listed, none bound).
+    none bound; ``ambiguous_names`` lists them). Definitions are counted per name first, so
+    a name that very many define meets its calls as one row.
     """
-    named = definitions.select("leaf", "node").distinct().groupBy("leaf").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    n = F.coalesce(F.size("nodes"), F.lit(0))
-    n = F.when(n < 0, 0).otherwise(n)
+    named = definitions.select("leaf", "node").distinct().groupBy("leaf").agg(F.count("*").alias("_n"), F.min("node").alias("_one"))
+    n = F.coalesce("_n", F.lit(0))
     outcome = (
         F.when(F.col("external"), "external")
         .when(F.col("chained"), "chained")
@@ -64,15 +64,21 @@ def match_names(calls: DataFrame, definitions: DataFrame, builtins: list[str], b
         .otherwise("ambiguous")
     )
     out = calls.join(named, "leaf", "left").withColumn("outcome", outcome)
-    listed = F.when(F.col("outcome").isin("bound", "ambiguous"), F.col("nodes")).otherwise(F.array().cast("array<string>"))
-    return out.withColumn("target", F.when(F.col("outcome") == "bound", F.col("nodes")[0])).withColumn("candidates", listed).drop("nodes")
+    return out.withColumns({"target": F.when(F.col("outcome") == "bound", F.col("_one")), "candidates": F.when(F.col("outcome").isin("bound", "ambiguous"), n).otherwise(0)}).drop("_n", "_one")
+
+
+def ambiguous_names(matched: DataFrame, definitions: DataFrame) -> DataFrame:
+    """``leaf, node``: all definitions of the names whose calls are ambiguous."""
+    return definitions.select("leaf", "node").distinct().join(matched.where("outcome = 'ambiguous'").select("leaf").distinct(), "leaf", "left_semi")
 
 
 def match_handlers(wanted: DataFrame, definitions: DataFrame) -> DataFrame:
-    """``wanted`` (``handler_id, name, file``) with ``node``: the only candidate in the file, else the only one at all, else null."""
-    d = definitions.select(F.col("name").alias("_n"), F.col("file").alias("_f"), F.col("node").alias("_node")).distinct()
-    near = F.col("_f") == F.col("file")
-    counted = wanted.join(d, F.col("name") == F.col("_n"), "left").groupBy("handler_id").agg(
-        F.count_if(near).alias("here"), F.count("_node").alias("all"), F.max(F.when(near, F.col("_node"))).alias("near_node"), F.max("_node").alias("any_node")
-    )
-    return wanted.join(counted, "handler_id").withColumn("node", F.when(F.col("here") == 1, F.col("near_node")).when(F.col("all") == 1, F.col("any_node"))).drop("here", "all", "near_node", "any_node")
+    """``wanted`` (``handler_id, name, file``) with ``node``: the only candidate in the file, else the only one at all, else null.
+
+    Definitions are counted per name and file, and per name, before anything is joined.
+    """
+    d = definitions.select(F.col("name").alias("_n"), F.col("file").alias("_f"), "node").distinct()
+    near = d.groupBy("_n", "_f").agg(F.count("*").alias("_here"), F.min("node").alias("_near"))
+    anywhere = d.groupBy(F.col("_n").alias("_m")).agg(F.count("*").alias("_all"), F.min("node").alias("_any"))
+    joined = wanted.join(near, (F.col("name") == F.col("_n")) & (F.col("file") == F.col("_f")), "left").join(anywhere, F.col("name") == F.col("_m"), "left")
+    return joined.withColumn("node", F.when(F.col("_here") == 1, F.col("_near")).when(F.col("_all") == 1, F.col("_any"))).drop("_n", "_f", "_m", "_here", "_near", "_all", "_any")

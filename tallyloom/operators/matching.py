@@ -46,8 +46,9 @@ def strip_mount(paths: DataFrame, prefixes: list[str], column: str = "path") ->
 
 def unresolved_requests(matched: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``status, n, first``: how many distinct requests weren't matched, exactly, and the first ones by name."""
-    said = F.concat_ws(" ", "method", "path")
-    return matched.where("status != 'matched'").groupBy("status").agg(F.countDistinct(said).alias("n"), F.slice(F.sort_array(F.collect_set(said)), 1, samples).alias("first"))
+    said = matched.where("status != 'matched'").select("status", F.concat_ws(" ", "method", "path").alias("said")).distinct()
+    counted = said.groupBy("status").agg(F.count("*").alias("n"))
+    return counted.join(first_of_each(said, ["status"], "said", samples), "status").select("status", "n", F.col("values").alias("first"))
 
 
 def first_of_each(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:

@@ -77,7 +77,8 @@ def test_names_handlers_definitions_residue(spark):
     calls = spark.createDataFrame([(1, "save", False, False, True), (2, "get", False, False, True), (3, "load", False, False, False), (4, "zip", False, False, False), (5, "save", True, False, False), (6, "save", False, True, False)], "call_id int, leaf string, external boolean, chained boolean, has_base boolean")
     defs = spark.createDataFrame([("save", "a"), ("get", "b"), ("load", "c"), ("load", "d")], "leaf string, node string")
     got = {r["call_id"]: (r["outcome"], r["target"], r["candidates"]) for r in I.match_names(calls, defs, ["get"]).collect()}
-    assert got == {1: ("bound", "a", ["a"]), 2: ("builtin_shadowed", None, []), 3: ("ambiguous", None, ["c", "d"]), 4: ("external", None, []), 5: ("external", None, []), 6: ("chained", None, [])}
+    assert got == {1: ("bound", "a", 1), 2: ("builtin_shadowed", None, 0), 3: ("ambiguous", None, 2), 4: ("external", None, 0), 5: ("external", None, 0), 6: ("chained", None, 0)}
+    assert {r["node"] for r in I.ambiguous_names(I.match_names(calls, defs, ["get"]), defs).collect()} == {"c", "d"}
     wanted = spark.createDataFrame([(1, "h", "f"), (2, "h", "z"), (3, "only", "z"), (4, "no", "z")], "handler_id int, name string, file string")
     d = spark.createDataFrame([("h", "f", "n1"), ("h", "g", "n2"), ("only", "q", "n3")], "name string, file string, node string")
     assert {r["handler_id"]: r["node"] for r in I.match_handlers(wanted, d).collect()} == {1: "n1", 2: None, 3: "n3", 4: None}
