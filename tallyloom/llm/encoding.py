@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.plans.lineage import spread
+
 from tallyloom.llm.bpe import DEFAULT_VOCABULARY, encoder_of
 
 
@@ -37,7 +39,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(F.col(key), F.col(text).cast("string"))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -51,4 +53,4 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
             yield pa.RecordBatch.from_arrays([batch.column(0), counts], names=[key, "n_tokens"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
+    return spread(df.select(F.col(key), F.col(text).cast("string"))).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")

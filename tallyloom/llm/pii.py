@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.plans.lineage import stash
+from tallyloom.plans.lineage import spread, stash
 
 #: A term discloses a protected entity if at least this share of its occurrences is beside one ...
 LEAST_SHARE = 0.3
@@ -475,7 +475,7 @@ def term_disclosure(documents: DataFrame, known: Lexicon, text: str = "text") ->
         columns = [pa.array(kinds, pa.string()), pa.array(terms, pa.string()), pa.array(beside, pa.int64()), pa.array(n, pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["kind", "term", "beside", "occurrences"])
 
-    parts = documents.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "kind string, term string, beside bigint, occurrences bigint")
+    parts = spread(documents.where(F.col(text).isNotNull()).select(text)).mapInArrow(run, "kind string, term string, beside bigint, occurrences bigint")
     return parts.groupBy("kind", "term").agg(F.sum("beside").alias("beside"), F.sum("occurrences").alias("occurrences"))
 
 
@@ -528,6 +528,12 @@ def learn(documents: DataFrame, name_parts: DataFrame, text: str = "text") -> Le
     return lexicon
 
 
+def _amid_capitals(line: str, start: int, end: int) -> bool:
+    """Whether the words beside a span are all in capitals, so that capitals say nothing."""
+    beside = [*re.findall(_LETTERS, line[max(0, start - 30) : start])[-1:], *re.findall(_LETTERS, line[end : end + 30])[:1]]
+    return bool(beside) and all(w.isupper() and len(w) > 1 for w in beside)
+
+
 # --- pass two: candidates that disclose enough -------------------------------------------------------
 
 
@@ -545,7 +551,10 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[str, int, int]]:
             spans.append((address.start, address.more_end if whole else address.end, "address"))
     for span in chain(name_spans(text, lexicon), initial_spans(text, lexicon) if lexicon.phrases else ()):
         keep = span.given_known and span.family_known
-        if span.style == "low" and keep:
+        plain = span.style == "low" or span.style == "CAPS" and _amid_capitals(text, span.start, span.end)
+        if plain and span.style == "CAPS" and not keep:
+            continue
+        if plain and keep:
             keep = bool(span.given) and span.given not in lexicon.common or any(p not in lexicon.common for p in span.family.split("-"))
         if not span.given_known and span.family in lexicon.weak:
             continue
@@ -597,7 +606,7 @@ def personal_information(documents: DataFrame, name_parts: DataFrame, key: str =
             yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=[key, "pii_kind", "pii_text"])
 
     kind = dict(documents.dtypes)[key]
-    return documents.select(F.col(key), F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind}, pii_kind string, pii_text string").distinct()
+    return spread(documents.select(F.col(key), F.col(text)).where(F.col(text).isNotNull())).mapInArrow(run, f"`{key}` {kind}, pii_kind string, pii_text string").distinct()
 
 
 def sanitised(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -609,4 +618,4 @@ def sanitised(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id",
             yield pd.DataFrame({key: frame.iloc[:, 0], text: [sanitise(t, shipped.value) for t in frame.iloc[:, 1]]})
 
     kind = dict(documents.dtypes)[key]
-    return documents.select(F.col(key), F.col(text)).mapInPandas(run, f"`{key}` {kind}, `{text}` string")
+    return spread(documents.select(F.col(key), F.col(text))).mapInPandas(run, f"`{key}` {kind}, `{text}` string")

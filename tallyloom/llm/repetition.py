@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.plans.lineage import spread
+
 #: Lengths in words of the runs that are measured; the run of eight decides about phrases.
 RUNS = (4, 8, 16)
 PHRASE = 8
@@ -105,7 +107,7 @@ def measure_bodies(bodies: DataFrame, key: str = "body_id", text: str = "body")
             yield pd.DataFrame([(k, *measure(t or "")) for k, t in zip(frame.iloc[:, 0], frame.iloc[:, 1])], columns=names)
 
     kind = dict(bodies.dtypes)[key]
-    return bodies.where(F.col(key).isNotNull()).select(F.col(key), F.col(text)).mapInPandas(run, f"`{key}` {kind}, {MEASURES}")
+    return spread(bodies.where(F.col(key).isNotNull()).select(F.col(key), F.col(text))).mapInPandas(run, f"`{key}` {kind}, {MEASURES}")
 
 
 def repetition_shares(bodies: DataFrame) -> DataFrame:
