@@ -48,7 +48,7 @@ def w2_duplicate_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH w AS (SELECT DISTINCT body_id, 'purpose' AS section_id FROM doc_bodies WHERE doc_type = 'policy' UNION SELECT DISTINCT body_id, 'decision' FROM doc_bodies WHERE doc_type = 'adr') SELECT body_id, section_id FROM w WHERE (body_id, section_id) NOT IN (SELECT body_id, section_id FROM sections WHERE section_id IS NOT NULL)")
-def p16_missing_sections(spark: SparkSession, d: str) -> DataFrame:
+def f16_missing_sections(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame([("policy", "purpose", True), ("adr", "decision", True), ("adr", "impact", False)], "doc_type string, section_id string, required boolean")
     return D.missing_sections(table(spark, d, "doc_bodies"), _sections(spark, d), rules)
 
@@ -100,16 +100,16 @@ SCHEMA = {
   UNION ALL SELECT 'minItems', path, 'tags' FROM frontmatter WHERE len(tags) < 2
 ) SELECT code, file, field FROM i"""
 )
-def p15_schema_issues(spark: SparkSession, d: str) -> DataFrame:
+def f15_schema_issues(spark: SparkSession, d: str) -> DataFrame:
     return D.schema_issues(table(spark, d, "frontmatter"), SCHEMA).select("code", "file", "field")
 
 
 @query(rf"SELECT path AS file FROM frontmatter WHERE NOT coalesce(example, false) AND title IS NOT NULL AND regexp_replace(regexp_replace(lower(path), '^.*/', ''), '\.[a-z0-9]+$', '') <> {_TRIMMED.format(x=_SLUG.format(c='title'))}")
-def p14_naming(spark: SparkSession, d: str) -> DataFrame:
+def f14_naming(spark: SparkSession, d: str) -> DataFrame:
     return D.naming_issues(table(spark, d, "frontmatter")).select("file")
 
 
-@query("WITH " + SQL["p15_schema_issues"].removeprefix("WITH ").replace(" SELECT code, file, field FROM i", "") + " SELECT (SELECT count(DISTINCT path) FROM frontmatter) AS files, (SELECT count(DISTINCT path) FROM frontmatter) - count(DISTINCT file) AS valid, count(*) AS errors, 0 AS warnings FROM i")
+@query("WITH " + SQL["f15_schema_issues"].removeprefix("WITH ").replace(" SELECT code, file, field FROM i", "") + " SELECT (SELECT count(DISTINCT path) FROM frontmatter) AS files, (SELECT count(DISTINCT path) FROM frontmatter) - count(DISTINCT file) AS valid, count(*) AS errors, 0 AS warnings FROM i")
 def a11_summary(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "frontmatter")
     return D.validation_summary(docs, D.schema_issues(docs, SCHEMA))
