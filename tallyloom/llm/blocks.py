@@ -270,7 +270,7 @@ _MARKS = {"heading": "# {}", "list_item": "- {}", "code_block": "```\n{}\n```",
 
 
 def clean_text(body: str | None) -> str | None:
-    """A document as clean text: headings, list items, code blocks and set-off formulas marked in one plain way."""
+    """A document as clean text: headings, list items, code blocks and set-off formulas marked in one plain way, rows of tables as lines."""
     if body is None:
         return None
     parts: list[str] = []
@@ -282,6 +282,8 @@ def clean_text(body: str | None) -> str | None:
             parts.append(_MARKS[node.kind].format(node.text))
         elif node.text and node.kind == "paragraph":
             parts.append(node.text)
+        elif node.rows:
+            parts.append("\n".join(node.rows))
     return "\n\n".join(parts)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 #: Signs of the private use area around what is kept aside while the text around it is parsed.
@@ -19,7 +20,7 @@ CODE_KEPT, KEPT_END, PLACED = "\ue000", "\ue001", "\ue002"
 
 @dataclass
 class Node:
-    """``kind`` is what the syntax says; ``origin`` the syntax itself; ``attrs`` tokens of attributes."""
+    """``kind`` is what the syntax says; ``origin`` the syntax itself; ``attrs`` tokens of attributes; ``rows`` the lines of a table."""
 
     kind: str
     origin: str
@@ -27,6 +28,7 @@ class Node:
     raw: int = 0
     attrs: tuple[str, ...] = ()
     children: list[Node] = field(default_factory=list)
+    rows: list[str] = field(default_factory=list)
 
     def add(self, node: Node) -> Node:
         self.children.append(node)
@@ -38,6 +40,16 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
+#: Where a row and a cell of a table begin; both are white space.
+ROW, CELL = "\x1d", "\x1f"
+
+
+def table_rows(said: str, inline: Callable[[str], str]) -> list[str]:
+    """The rows of a table as lines, with the text a reader sees of each cell; empty cells and rows are left out."""
+    rows = ([inline(cell) for cell in row.split(CELL)] for row in said.split(ROW))
+    return [" | ".join(filter(None, cells)) for cells in rows if any(cells)]
+
+
 _KEPT = re.compile(f"{CODE_KEPT}(\\d+){KEPT_END}")
 
 
@@ -91,8 +103,13 @@ def parse_html(source: str, root: Node, origin: str = "html") -> None:
     inline_code = 0
     kept = Kept()
 
+    def cell(said: str) -> str:
+        return squeeze(kept.restore(take_math(said, kept, Node("", ""), origin)))
+
     def close_text(entry) -> None:
         name, node, parts = entry
+        if node.kind == "table":
+            node.rows += table_rows("".join(parts), cell)
         said = take_math("".join(parts), kept, node, origin)
         said = squeeze(kept.restore(said))
         if node.kind in ("heading", "list_item"):
@@ -193,11 +210,12 @@ def parse_html(source: str, root: Node, origin: str = "html") -> None:
                 if closing:
                     if "table" in open_names():
                         pop_to(("table",))
-                        stack.pop()
+                        _, node, parts = stack.pop()
+                        node.rows += table_rows("".join(parts), cell)
                 else:
                     stack.append((name, stack[-1][1].add(Node("table", f"{origin}:table:table", "", len(m[0]), tokens)), []))
             else:
-                stack[-1][2].append(" ")
+                stack[-1][2].append(CELL if name in ("td", "th") else ROW)
         elif name == "p":
             if closing:
                 if stack[-1][0] == "p":
@@ -297,6 +315,9 @@ _MD_TABLE = re.compile(r"^ {0,3}\|.*\|[ \t]*$|^ {0,3}:?-{3,}:?[ \t]*(?:\|[ \t]*:
 _MD_HTML = re.compile(r"^ {0,3}</?(?P<name>[A-Za-z][A-Za-z0-9-]*)(?=[\s/>])|^ {0,3}<!--|^ {0,3}<![A-Z]|^ {0,3}<\?")
 _HTML_START = frozenset(_BLOCK_TAGS | {"iframe", "link", "meta", "base", "caption", "col", "colgroup", "legend", "optgroup", "option", "param", "source", "track", "math", "video"})
 
+#: The line below a table's head.
+_MD_RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+
 
 def _columns(blank: str) -> int:
     return len(blank.expandtabs(4))
@@ -483,6 +504,9 @@ def parse_markdown(source: str, root: Node) -> None:
             node = root.add(Node("table", "md:table:table", "", len(line)))
             while i < len(lines) and "|" in lines[i] and lines[i].strip():
                 node.raw += len(lines[i])
+                if not _MD_RULE.match(lines[i]):
+                    said = re.sub(r"(?<!\\)\|", CELL, lines[i]).replace("\\|", "|")
+                    node.rows += table_rows(said, lambda cell: md_inline(cell, Node("", ""), refs))
                 i += 1
             blank = True
             continue
@@ -563,6 +587,25 @@ def wiki_inline(source: str, node: Node) -> str:
     return squeeze(kept.restore(html.unescape(text)))
 
 
+def _wiki_cells(lines: list[str]) -> str:
+    """The lines of a wiki table below its first, with signs where rows and cells begin; attributes are left out."""
+    out, captioned = [], False
+    for line in lines:
+        said = line.strip()
+        if said.startswith(("{|", "|-")):
+            out.append(ROW)
+        elif said.startswith("|}"):
+            out.append(ROW + said[2:])
+        elif said.startswith(("|", "!")):
+            caption = said.startswith("|+")
+            cells = re.split(r"\|\||!!" if said[0] == "!" else r"\|\|", said[1 + caption :])
+            out.append((ROW if caption or captioned else CELL) + CELL.join(re.sub(r"^[^\[\]{}|]*=[^\[\]{}|]*\|", "", cell) for cell in cells))
+            captioned = caption
+        else:
+            out.append(" " + said)
+    return "".join(out)
+
+
 def parse_wiki(source: str, root: Node) -> None:
     """The blocks of wiki markup, below ``root``."""
     codes: list[Node] = []
@@ -610,11 +653,13 @@ def parse_wiki(source: str, root: Node) -> None:
         if re.match(r"^\s*:*\{\|", line):
             flush()
             node = root.add(Node("table", "wiki:table:table", "", len(line)))
-            depth = 1
+            depth, first = 1, i
             while i < len(lines) and depth:
                 depth += bool(re.match(r"^\s*\{\|", lines[i])) - bool(re.match(r"^\s*\|\}", lines[i]))
                 node.raw += len(lines[i])
                 i += 1
+            said = re.sub(f"{PLACED}c(\\d+){KEPT_END}", lambda c: codes[int(c[1])].text, _wiki_cells(lines[first:i]))
+            node.rows = table_rows(said, lambda cell: wiki_inline(cell, Node("", "")))
             continue
         item = re.match(r"^([*#:;]*[*#])\s*(.*)$", line)
         if item:
@@ -718,6 +763,14 @@ def tex_inline(source: str, formulas: list[Node]) -> str:
     return squeeze(kept.restore(text))
 
 
+def _tex_rows(said: str, formulas: list[Node]) -> list[str]:
+    """The rows of a part of a LaTeX table; what its columns and lines look like is left out."""
+    said = re.sub(r"\\(?:cline|cmidrule|addlinespace|multicolumn|multirow)\*?(?:\([^)]*\))?(?:\[[^\]]*\])?(?:\{[^{}]*\})?", lambda m: "\\multi" if m[0].startswith("\\multi") else " ", said)
+    said = re.sub(r"\\multi(?:\[[^\]]*\])?\{[^{}]*\}(?:\[[^\]]*\])?", "", said)
+    said = re.sub(r"(?<!\\)((?:\\\\)*)&", lambda m: m[1] + CELL, said)
+    return table_rows(re.sub(r"\\\\\*?(?:\[[^\]]*\])?|\\tabularnewline(?![A-Za-z])", ROW, said), lambda cell: tex_inline(cell, formulas))
+
+
 def parse_latex(source: str, root: Node) -> None:
     """The blocks of LaTeX, below ``root``."""
     codes: list[Node] = []
@@ -763,6 +816,8 @@ def parse_latex(source: str, root: Node) -> None:
 
     def close_text(entry) -> None:
         name, node, parts = entry
+        if node.kind == "table":
+            node.rows += _tex_rows("".join(parts), formulas)
         said = tex_inline("".join(parts), formulas)
         if node.kind == "list_item":
             node.text = said
@@ -808,6 +863,10 @@ def parse_latex(source: str, root: Node) -> None:
                 stack.append((name, stack[-1][1].add(Node("list", f"tex:list:{name}", "", 0, (m["opts"],) if m["opts"] else ())), []))
             elif name.rstrip("*") in ("tabular", "tabularx", "longtable", "array"):
                 stack.append((name, stack[-1][1].add(Node("table", f"tex:table:{name}", "", 0)), []))
+                for _ in range(1 + name.startswith("tabularx") + name.startswith("tabular*")):
+                    opened = re.compile(r"\s*(?:\[[^\]]*\])?\s*\{").match(source, at)  # the width, and how the columns are set
+                    if opened and (end := _braced(source, opened.end())) < len(source):
+                        at = end + 1
             else:
                 close_text(stack[-1]) if stack[-1][1].kind != "list_item" else None
                 stack.append((name, stack[-1][1], []))

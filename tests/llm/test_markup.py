@@ -142,3 +142,12 @@ def test_clean_text_keeps_structure():
     said = clean_text(MD)
     assert said.startswith("# A b pic link lab") and "- two & 3_4" in said and "```\n# no heading" in said and "$$ x \\in S $$" in said and "old" not in said
     assert clean_text(None) is None and clean_text("") == ""
+
+
+def test_clean_text_keeps_the_words_of_tables():
+    assert clean_text("# T\n\n| a **b** | c \\| d |\n|---|:-:|\n| `e` | $x$ |\n\nend") == "# T\n\na b | c | d\ne | x\n\nend"
+    assert clean_text("<table><caption>cap</caption><tr><th>a</th><td>b <b>c</b></td></tr><tr><td>d<p>e</p></td></tr></table><p>end</p>") == "cap\na | b c\nd\n\ne\n\nend"
+    wiki = clean_text("== T ==\n{| class=\"x\"\n|+ cap\n! h1 !! h2\n|-\n| style=\"y\" | a || [[l|b]]\n|-\n| c\nmore\n|}\nend\n")
+    assert wiki == "# T\n\ncap\nh1 | h2\na | b\nc more\n\nend"
+    tex = clean_text("\\section{T}\n\\begin{tabular}{l|c}\n\\hline a & \\textbf{b} \\\\\n\\multicolumn{2}{c}{d \\& e} \\\\ \\cline{1-2}\n$x$ & 5\\% \\\\\n\\end{tabular}\nend")
+    assert tex == "# T\n\na | b\nd & e\nx | 5%\n\nend"
