@@ -154,6 +154,15 @@ def call_graph(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(nodes.select(k.cast("string").alias("src"), ((3 * k + 1) % 150).cast("string").alias("dst")))
 
 
+def whole_call_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The same calls of all customers, however many there are: folded by their number instead of by 150."""
+    k = F.col("c_custkey")
+    nodes = table(spark, d, "customer").select(k)
+    n = max(1, nodes.count())
+    one = nodes.select(k.cast("string").alias("src"), ((7 * k + 3) % n).cast("string").alias("dst"))
+    return one.unionByName(nodes.select(k.cast("string").alias("src"), ((3 * k + 1) % n).cast("string").alias("dst")))
+
+
 _GRAPH = """
 edges AS (
   SELECT CAST(c_custkey AS VARCHAR) AS src, CAST((7 * c_custkey + 3) % 150 AS VARCHAR) AS dst FROM customer WHERE c_custkey < 150
@@ -176,16 +185,31 @@ def _direct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").cast("string").alias("node"), F.col("c_mktsegment").alias("entity"))
 
 
+def _whole_direct(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node"), F.col("c_mktsegment").alias("entity"))
+
+
+# The SQL of the graph queries walks the first 150 customers; the queries named whole_... run over all of them and have no SQL.
 @query(f"WITH RECURSIVE {_GRAPH} SELECT * FROM reached")
 def g1_distances(spark: SparkSession, d: str) -> DataFrame:
     return G.reach(_roots(spark, d), call_graph(spark, d))
 
 
+@query()
+def g1_whole_distances(spark: SparkSession, d: str) -> DataFrame:
+    return G.reach(_roots(spark, d), whole_call_graph(spark, d), None)
+
+
 @query(f"WITH RECURSIVE {_GRAPH} SELECT root, entity, min(hop) AS hops FROM reached JOIN direct USING (node) GROUP BY ALL")
 def g2_bind(spark: SparkSession, d: str) -> DataFrame:
     return G.bind(_roots(spark, d), call_graph(spark, d), _direct(spark, d))
 
 
+@query()
+def g2_whole_bind(spark: SparkSession, d: str) -> DataFrame:
+    return G.bind(_roots(spark, d), whole_call_graph(spark, d), _whole_direct(spark, d))
+
+
 @query(
     f"""WITH RECURSIVE {_GRAPH}, paths AS (
   SELECT root, root AS node, [root] AS path, 0 AS hop FROM roots
@@ -198,6 +222,11 @@ def g3_chains(spark: SparkSession, d: str) -> DataFrame:
     return G.chains(_roots(spark, d), call_graph(spark, d), _direct(spark, d)).select("root", "entity", F.array_join("chain", ">").alias("chain"))
 
 
+@query()
+def g3_whole_chains(spark: SparkSession, d: str) -> DataFrame:
+    return G.chains(_roots(spark, d), whole_call_graph(spark, d), _whole_direct(spark, d)).select("root", "entity", F.array_join("chain", ">").alias("chain"))
+
+
 @query(
     f"""WITH RECURSIVE {_GRAPH}, b AS (SELECT root, entity, min(hop) AS hops FROM reached JOIN direct USING (node) GROUP BY ALL),
 o AS (SELECT root, entity, string_agg(DISTINCT left(c_name, 10), ',' ORDER BY left(c_name, 10)) AS operations FROM reached JOIN direct USING (node) JOIN customer ON CAST(c_custkey AS VARCHAR) = node GROUP BY ALL)
@@ -209,19 +238,35 @@ def g4_capabilities(spark: SparkSession, d: str) -> DataFrame:
     return G.assemble(surfaces, call_graph(spark, d), _direct(spark, d), ops).withColumn("operations", F.array_join("operations", ","))
 
 
+@query()
+def g4_whole_capabilities(spark: SparkSession, d: str) -> DataFrame:
+    surfaces = table(spark, d, "nation").select(F.col("n_name").alias("surface"), F.col("n_nationkey").cast("string").alias("handler"))
+    ops = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node"), F.col("c_mktsegment").alias("entity"), F.substring("c_name", 1, 10).alias("op"))
+    return G.assemble(surfaces, whole_call_graph(spark, d), _whole_direct(spark, d), ops).withColumn("operations", F.array_join("operations", ","))
+
+
 @query()
 def a8_history(spark: SparkSession, d: str) -> DataFrame:
-    return G.binding_history(G.bind(_roots(spark, d), call_graph(spark, d), _direct(spark, d)), 8)
+    return G.binding_history(G.bind(_roots(spark, d), whole_call_graph(spark, d), _whole_direct(spark, d)), 8)
 
 
-@query("SELECT c_mktsegment AS kind, count(*) AS n FROM customer WHERE c_custkey < 150 GROUP BY ALL")
-def j12_namespace(spark: SparkSession, d: str) -> DataFrame:
-    """The edges inside the graph's nodes, counted by the kind of their source."""
+def _namespace(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node"), "c_mktsegment")
-    kept = G.within(call_graph(spark, d), c).select("src").distinct()
+    kept = G.within(edges, c).select("src").distinct()
     return kept.join(c, kept["src"] == c["node"]).groupBy(F.col("c_mktsegment").alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT c_mktsegment AS kind, count(*) AS n FROM customer WHERE c_custkey < 150 GROUP BY ALL")
+def j12_namespace(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of the edges inside the graph's nodes, counted by kind."""
+    return _namespace(spark, d, call_graph(spark, d))
+
+
+@query()
+def j12_whole_namespace(spark: SparkSession, d: str) -> DataFrame:
+    return _namespace(spark, d, whole_call_graph(spark, d))
+
+
 @query("SELECT DISTINCT s.s_name AS writer, c.c_name AS reader, CAST(s_nationkey AS VARCHAR) AS field FROM supplier s JOIN customer c ON s_nationkey = c_nationkey WHERE s_acctbal > 8000 AND c_acctbal > 9500")
 def j15_dependencies(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "supplier").where("s_acctbal > 8000").select(F.col("s_name").alias("src"), F.col("s_nationkey").cast("string").alias("dst"), F.lit("writes-state").alias("relation"))

@@ -44,6 +44,32 @@ def test_reach_and_chains_on_random_graphs(spark, seed):
     assert {(r["root"], r["entity"]): r["hops"] for r in G.bind(roots, e, d).collect()} == {k: len(p) - 1 for k, p in best.items()}
 
 
+def test_whole_graph_queries_cover_every_customer(spark, tmp_path):
+    from tallyloom.queries import QUERIES, SQL
+
+    n, roots = 170, [0, 7]
+    segment = {k: "late" if k == 169 else "end" if k > 150 else "start" for k in range(n)}
+    spark.createDataFrame([(k, f"Customer#{k:09d}", 1.0, segment[k]) for k in range(n)], "c_custkey long, c_name string, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, f"N{k}") for k in roots], "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    edges = [(str(k), str(m % n)) for k in range(n) for m in (7 * k + 3, 3 * k + 1)]
+    walks = {str(r): bfs(str(r), edges) for r in roots}
+    best = {}
+    for r, seen in walks.items():
+        for node, path in seen.items():
+            key = r, segment[int(node)]
+            best[key] = min(best.get(key, path), path, key=lambda p: (len(p), p))
+    got = {q: {tuple(r) for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("g1_whole_distances", "g2_whole_bind", "g3_whole_chains", "g4_whole_capabilities", "j12_whole_namespace", "a8_history")}
+    assert got["g1_whole_distances"] == {(r, node, len(p) - 1) for r, s in walks.items() for node, p in s.items()}
+    assert got["g2_whole_bind"] == {(*k, len(p) - 1) for k, p in best.items()}
+    assert got["g3_whole_chains"] == {(*k, ">".join(p)) for k, p in best.items()}
+    assert got["g4_whole_capabilities"] == {(f"N{r}", e, "Customer#0", len(p) - 1, f"call-chain:{len(p) - 1}" if len(p) > 1 else "direct") for (r, e), p in best.items()}
+    assert got["j12_whole_namespace"] == {("start", 151), ("end", 18), ("late", 1)}
+    first = {e: min(len(p) - 1 for (_, x), p in best.items() if x == e) for e in {e for _, e in best}}
+    line = [sum(h <= k for h in first.values()) for k in range(9)]
+    stop = next((k for k in range(2, 9) if line[k] == line[k - 1] == line[k - 2]), 8)
+    assert got["a8_history"] == set(enumerate(line[: stop + 1])) and "a8_history" not in SQL
+
+
 def test_hops_are_capped_in_silence(spark):
     line = spark.createDataFrame([(f"{k}", f"{k + 1}") for k in range(7)], "src string, dst string")
     assert G.reach(spark.createDataFrame([("0",)], "root string"), line, max_hops=5).count() == 6
