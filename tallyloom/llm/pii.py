@@ -15,6 +15,7 @@ always come with the same value and so disclose nothing.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -49,8 +50,9 @@ WEAK_SHARE, WEAK_SUPPORT = 0.15, 5
 #: A known part or word is common if it is in lower case this often, and not much rarer than capitalised.
 COMMON_SUPPORT, COMMON_SHARE = 5, 0.3
 
-#: A word of which more than this share of companions is the same one is no name part.
-MOST_CONSTANT = 0.8
+#: A word of which more than this share of companions is the same one is no name part if it
+#: is in so many different lines, and too few of them have a phrase that discloses names.
+MOST_CONSTANT, MANY_CONTEXTS = 0.8, 5
 
 #: A street name with one and the same house number at this many places discloses no address.
 CONSTANT_SUPPORT = 3
@@ -412,12 +414,17 @@ def count_words(tokens: Iterable[tuple[str, int]]) -> Counter:
     return counts
 
 
+def _context(kind: str, term: str, line: str, start: int, end: int) -> str:
+    return "\t".join([kind, term, hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), *phrases_around(line, start, end)])
+
+
 def count_terms(lines: Iterable[str], known: Lexicon) -> Counter:
     """Counts of ``(kind, term, beside a protected entity)`` over lines.
 
     Kinds: family (words after a known given name) and given (unknown words before a known
     family name), together with the part beside them, to see how it varies; phrase and number (phrases around certain and uncertain candidates),
     street (with the house number), and way (with the word that follows the street's name).
+    Kind context has the phrases around an unknown part, and the line they are in.
     """
     counts: Counter = Counter()
     for line in lines:
@@ -431,9 +438,12 @@ def count_terms(lines: Iterable[str], known: Lexicon) -> Counter:
                 if span.given_known:
                     for part in span.family.split("-"):
                         counts["family", f"{part}\t{span.given}", True] += 1
+                        if part not in known.family:
+                            counts["context", _context("family", part, line, span.start, span.end), True] += 1
                 # before a comma a family name may start a name of its own
                 if span.family_known and not span.given_known and line[span.end : span.end + 1] != ",":
                     counts["given", f"{span.given}\t{span.family}", True] += 1
+                    counts["context", _context("given", span.given, line, span.start, span.end), True] += 1
             for phrase in phrases_around(line, span.start, span.end):
                 counts["phrase", phrase, certain] += 1
         for kind, start, end, certain in number_spans(line):
@@ -479,6 +489,23 @@ def term_disclosure(documents: DataFrame, known: Lexicon, text: str = "text") ->
     return parts.groupBy("kind", "term").agg(F.sum("beside").alias("beside"), F.sum("occurrences").alias("occurrences"))
 
 
+#: A phrase with a word or number in it.
+_SAYING = r"[^<>^$.,;:!?() -]"
+
+
+def _contexts(counts: DataFrame) -> DataFrame:
+    """``kind, term, line, phrase``: the phrases around each part, a row for each."""
+    parts = F.split("term", "\t")
+    return counts.where("kind = 'context'").select(parts[0].alias("kind"), parts[1].alias("term"), parts[2].alias("line"), F.explode(F.slice(parts, 4, 2)).alias("phrase"))
+
+
+def _introduced(contexts: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """``kind, term, contexts, introduced``: the distinct lines of each part, and those in which a disclosing phrase is beside it."""
+    said = contexts.join(disclosing.distinct().withColumn("hit", F.lit(1)), "phrase", "left")
+    lines = said.groupBy("kind", "term", "line").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
+    return lines.groupBy("kind", "term").agg(F.count("*").alias("contexts"), F.sum("hit").alias("introduced"))
+
+
 def disclosing_terms(counts: DataFrame) -> DataFrame:
     """``kind, term, share, bits`` of the terms above the thresholds.
 
@@ -491,9 +518,12 @@ def disclosing_terms(counts: DataFrame) -> DataFrame:
 
     def shares(parts: DataFrame) -> DataFrame:
         found = parts.groupBy("kind", "term").agg(F.sum("beside").alias("beside"), F.max("beside").alias("most"), F.count("*").alias("companions"))
-        return found.join(words, "term").withColumn("share", F.col("beside") / F.col("all_n"))
+        return found.join(introduced, ["kind", "term"], "left").join(words, "term").withColumn("share", F.col("beside") / F.col("all_n"))
 
-    varied = F.expr(f"beside >= {LEAST_SUPPORT} and (beside < {CONSTANT_SUPPORT} or most < {MOST_CONSTANT} * beside)")
+    phrases = counts.where("kind in ('phrase', 'number')").withColumn("share", F.col("beside") / F.col("occurrences")).where((F.col("share") >= LEAST_PHRASE_SHARE) & (F.col("beside") >= LEAST_SUPPORT) & F.col("term").rlike(_SAYING))
+    # one companion alone is no reason to refuse a part: a person may be named often, and always in full
+    introduced = _introduced(_contexts(counts).where("kind in ('family', 'given')"), phrases.where("kind = 'phrase'").select(F.col("term").alias("phrase")))
+    varied = F.expr(f"beside >= {LEAST_SUPPORT} and (most < {MOST_CONSTANT} * beside or coalesce(contexts, 0) < {MANY_CONTEXTS} or introduced >= {LEAST_PHRASE_SHARE} * contexts)")
     followed = shares(beside.where("kind = 'family'"))
     families = followed.where(varied & (F.col("share") >= LEAST_SHARE))
     # family names that are mostly other words say nothing about the word before them
@@ -502,7 +532,6 @@ def disclosing_terms(counts: DataFrame) -> DataFrame:
     weak = seen.where(f"all_n >= {WEAK_SUPPORT} and coalesce(names, 0) < {WEAK_SHARE} * all_n").select(F.lit("weak").alias("kind"), "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
     strong = beside.where("kind = 'given'").join(weak.select(F.col("term").alias("with")), "with", "left_anti")
     givens = shares(strong).where(varied & ((F.col("share") >= LEAST_SHARE) | (F.col("companions") >= MANY_COMPANIONS)))
-    phrases = counts.where("kind in ('phrase', 'number')").withColumn("share", F.col("beside") / F.col("occurrences")).where((F.col("share") >= LEAST_PHRASE_SHARE) & (F.col("beside") >= LEAST_SUPPORT) & F.col("term").rlike(r"[^<>^$.,;:!?() -]"))
     columns = ["kind", "term", "share", F.log2("share").alias("bits")]
     kept = families.select(*columns).unionByName(givens.select(*columns)).unionByName(phrases.select(*columns))
     low = counts.where(f"kind = 'low' and occurrences >= {COMMON_SUPPORT}").join(words, "term", "left").where(f"occurrences > {COMMON_SHARE} * coalesce(all_n, 0)")

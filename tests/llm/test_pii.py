@@ -66,3 +66,14 @@ def test_unknown_parts_are_learnt_from_the_corpus(spark):
     clean = {r["doc_id"]: r["text"] for r in sanitised(docs, parts).collect()}
     assert clean[27] == "Thanks to [NAME] for all." and clean[99] is None and clean[98] == ""
     assert personal_information(docs.limit(0), parts).collect() == [] and personal_information(docs.where("doc_id = 25"), parts.limit(0)).collect() == []
+
+
+def test_a_person_named_often_and_in_copies_is_still_found(spark):
+    texts = [f"Reported by Jorvik {f}son during the night shift {k}." for k, f in enumerate(["Berg", "Croft", "Dale"] * 3)]
+    texts += ["Zelda Jardotter wrote this.", "We thank Zelda Jardotter.", "Once Zelda Jardotter left.", *["A copy by Zelda Jardotter here."] * 9]
+    texts += [f"Reported by Zelda Often during the night shift {k}." for k in range(12)]
+    texts += [f"Dawn {w} {k} went red." for k, w in enumerate(["Cycle"] * 12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts = spark.createDataFrame([("Jorvik", "given"), ("Zelda", "given"), ("Dawn", "given"), *[(f"{f}son", "family") for f in ("Berg", "Croft", "Dale")]], "name_part string, part_role string")
+    got = {(r["doc_id"], r["pii_text"]) for r in personal_information(docs, parts).collect()}
+    assert got == {(k, f"Jorvik {f}son") for k, f in enumerate(["Berg", "Croft", "Dale"] * 3)} | {(k, "Zelda Jardotter") for k in range(9, 21)} | {(k, "Zelda Often") for k in range(21, 33)}
