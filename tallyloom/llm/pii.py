@@ -51,12 +51,10 @@ WEAK_SHARE, WEAK_SUPPORT = 0.15, 5
 COMMON_SUPPORT, COMMON_SHARE = 5, 0.3
 
 #: A word of which more than this share of companions is the same one is no name part if it
-#: is in so many different lines, and too few of them have a phrase that discloses names.
+#: is in so many different lines, and too few of them have a phrase that discloses names. A street
+#: with one house number discloses no address if it is, and too few have a phrase that is beside other streets too.
 MOST_CONSTANT, MANY_CONTEXTS = 0.8, 5
 
-#: A street name with one and the same house number at this many places discloses no address.
-CONSTANT_SUPPORT = 3
-
 _MARKS = "̀-ͯ"
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 _GAP = "[    ][​‌‍﻿]?[    ]?"
@@ -424,7 +422,7 @@ def count_terms(lines: Iterable[str], known: Lexicon) -> Counter:
     Kinds: family (words after a known given name) and given (unknown words before a known
     family name), together with the part beside them, to see how it varies; phrase and number (phrases around certain and uncertain candidates),
     street (with the house number), and way (with the word that follows the street's name).
-    Kind context has the phrases around an unknown part, and the line they are in.
+    Kind context has the phrases around an unknown part or an address, and the line they are in.
     """
     counts: Counter = Counter()
     for line in lines:
@@ -451,6 +449,7 @@ def count_terms(lines: Iterable[str], known: Lexicon) -> Counter:
                 counts["number", phrase, certain] += 1
         for address in address_spans(line):
             counts["street", f"{address.street}\t{address.house}", True] += 1
+            counts["context", _context("street", address.street, line, address.start, address.more_end if address.more_end >= 0 else address.end), True] += 1
             if address.more_end >= 0:
                 counts["way", f"{address.street}\t{address.more or ''}", True] += 1
     return counts
@@ -538,8 +537,9 @@ def disclosing_terms(counts: DataFrame) -> DataFrame:
     parts = beside.select("term").unionByName(beside.select(F.col("with").alias("term"))).distinct()
     common = low.join(parts, "term", "left_semi").select(F.lit("common").alias("kind"), "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
     streets = counts.where("kind = 'street'").select(F.split("term", "\t")[0].alias("term"), "beside")
-    n = F.sum("beside")
-    constant = streets.groupBy("term").agg(n.alias("n"), F.count("*").alias("values")).where(f"values = 1 and n >= {CONSTANT_SUPPORT}").select(F.lit("constant").alias("kind"), "term", F.lit(1.0).alias("share"), F.lit(0.0).alias("bits"))
+    around = _contexts(counts).where("kind = 'street'")
+    shared = around.where(F.col("phrase").rlike(_SAYING)).groupBy("phrase").agg(F.min("term").alias("low"), F.max("term").alias("high")).where("low < high").select("phrase")
+    constant = streets.groupBy("term").agg(F.count("*").alias("values")).where("values = 1").join(_introduced(around, shared), "term").where(f"contexts >= {MANY_CONTEXTS} and introduced < {LEAST_PHRASE_SHARE} * contexts").select(F.lit("constant").alias("kind"), "term", F.lit(1.0).alias("share"), F.lit(0.0).alias("bits"))
     ways = counts.where("kind = 'way'").select(F.split("term", "\t")[0].alias("street"), F.split("term", "\t")[1].alias("more"), "beside")
     ways = ways.join(ways.groupBy("street").agg(F.sum("beside").alias("n")), "street").where(f"more != '' and beside >= {LEAST_PHRASE_SHARE} * n")
     pairs = ways.where(f"beside >= {LEAST_SUPPORT} or n < {LEAST_SUPPORT}").select(F.lit("pair").alias("kind"), F.concat_ws(" ", "street", "more").alias("term"), (F.col("beside") / F.col("n")).alias("share"), F.log2(F.col("beside") / F.col("n")).alias("bits"))

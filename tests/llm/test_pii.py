@@ -77,3 +77,12 @@ def test_a_person_named_often_and_in_copies_is_still_found(spark):
     parts = spark.createDataFrame([("Jorvik", "given"), ("Zelda", "given"), ("Dawn", "given"), *[(f"{f}son", "family") for f in ("Berg", "Croft", "Dale")]], "name_part string, part_role string")
     got = {(r["doc_id"], r["pii_text"]) for r in personal_information(docs, parts).collect()}
     assert got == {(k, f"Jorvik {f}son") for k, f in enumerate(["Berg", "Croft", "Dale"] * 3)} | {(k, "Zelda Jardotter") for k in range(9, 21)} | {(k, "Zelda Often") for k in range(21, 33)}
+
+
+def test_an_address_stated_often_is_still_found(spark):
+    texts = ["Send it to 12 Quillow Lane by noon."] * 6 + [f"Batch {k}: deliver to 7 Umber Road by noon." for k in range(8)] + ["Then deliver to 9 Vale Road by noon."]
+    texts += [f"Case {k}: open the 24 Hour Street Team channel." for k in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts = spark.createDataFrame([("Jorvik", "given")], "name_part string, part_role string")
+    got = {(r["doc_id"], r["pii_text"]) for r in personal_information(docs, parts).collect()}
+    assert got == {(k, "12 Quillow Lane") for k in range(6)} | {(k, "7 Umber Road") for k in range(6, 14)} | {(14, "9 Vale Road")}
