@@ -13,7 +13,7 @@ from tallyloom.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    tree = hierarchy(latest_links(table(spark, d, "features")), with_paths=False)
+    tree = hierarchy(latest_links(table(spark, d, "features")), with_paths=False, with_intervals=False)
     return tree.where("finding is not null").select("id", "finding")
 
 

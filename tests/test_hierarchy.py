@@ -74,3 +74,17 @@ def test_revisions_repeats_blanks_and_nulls(spark):
 
 def test_empty(spark):
     assert hierarchy(latest_links(spark.createDataFrame([], RAW))).collect() == []
+
+
+def test_deep_chain_and_long_cycle_end(spark):
+    chain = [(f"d{k}", f"d{k - 1}" if k else None, "d0") for k in range(10_000)]
+    ring = [(f"r{k}", f"r{(k + 1) % 1000}", None) for k in range(1000)]
+    tail = [("t0", "r0", None), ("t1", "t0", None)]
+    got = {r["id"]: r for r in hierarchy(spark.createDataFrame(chain + ring + tail, LINKS), with_paths=False).collect()}
+    assert (got["d9999"]["depth"], got["d9999"]["chain"], got["d9999"]["chain_pos"], got["d0"]["size"]) == (9999, "d0", 9999, 10_000)
+    assert {got[i]["finding"] for i, _, _ in ring} == {"cycle"} and got["t1"]["finding"] == "below_cycle"
+
+
+def test_hub_in_several_slices(spark, monkeypatch):
+    monkeypatch.setattr("tallyloom.operators.hierarchy.SIBLINGS_PER_SLICE", 7)
+    check(spark, [("hub", None, None), *[(f"s{k:03d}", "hub", None) for k in range(40)], *[(f"t{k}", f"s{k:03d}", None) for k in range(9)]])
