@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators.drift import schema_changes, unified_records, union_schema
+from tallyloom.operators.drift import nested_changes, schema_changes, unified_records, union_schema
 from tallyloom.operators.hierarchy import hierarchy, latest_links
-from tallyloom.operators.nesting import inventory_tables
+from tallyloom.operators.nesting import INVENTORY_ARRAYS, flat_tables, inventory_tables, rejected, shred
 from tallyloom.operators.orphans import orphan_references
 from tallyloom.sources.tables import table
 
@@ -35,6 +35,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_changes(table(spark, d, "process_files"))
 
 
+def p5_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Changes inside objects and arrays of objects."""
+    return nested_changes(table(spark, d, "process_files"))
+
+
 def p5_union(spark: SparkSession, d: str) -> DataFrame:
     return union_schema(table(spark, d, "process_files"))
 
@@ -47,7 +52,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return inventory_tables(table(spark, d, "inventories"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p3_found, p3_report, p5_found, p5_union, p5_records, p7_found)}
+def p7_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Inventories that give no rows, and why."""
+    return rejected(table(spark, d, "inventories"), "inv_id", "payload")
+
+
+def p7_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of outcomes joined to that of the obligations above them."""
+    flat = flat_tables(shred(table(spark, d, "inventories"), "inv_id", "payload", INVENTORY_ARRAYS))
+    above = flat["obligations"].select("record", F.col("node_id").alias("parent_id"), F.col("m_id").alias("obligation"))
+    return flat["obligations[].outcomes"].join(above, ["record", "parent_id"]).select(F.col("record").alias("inv_id"), "obligation", "node_id", F.col("value").alias("outcome"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p3_found, p3_report, p5_found, p5_nested, p5_union, p5_records, p7_found, p7_rejected, p7_outcomes)}
 
 _P3 = r"""
 WITH said AS (

@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators.drift import schema_changes, unified_records, union_schema
-from tallyloom.operators.nesting import INVENTORY_ARRAYS, inventory_tables, parse_payload
+from tallyloom.operators.drift import nested_changes, schema_changes, unified_records, union_schema
+from tallyloom.operators.nesting import INVENTORY_ARRAYS, flat_tables, inventory_tables, parse_payload, read_deep, rejected, shred
 from tallyloom.operators.orphans import Bitmap, orphan_references, referred_id
 
 utc = dt.timezone.utc
@@ -75,7 +75,7 @@ def test_drift_kinds(spark):
     got = {tuple(r) for r in schema_changes(df).select("file_no", "field_name", "drift", "new_name").collect()}
     assert got == {(7, "a", "renamed", "A"), (7, "gone", "removed", ""), (7, "n", "added", ""), (7, "b", "retyped", ""), (3, "b", "retyped", "")}
     types = {r["field_name"]: r["union_type"] for r in union_schema(df).collect()}
-    assert types["a"] == "string" and types["b"] == "string" and types["gone"] == "number" and types["e"] == "array<string>"
+    assert types["a"] == "string" and types["b"] == "string" and types["gone"] == "bigint" and types["e"] == "array<string>"
     table = unified_records(df)
     assert table.where("process_id = 'P1' and file_no = 7").select("field_a", "field_b").first()[:] == ("x", '["s"]')
     assert table.count() == 8
@@ -113,3 +113,56 @@ def test_inventory_tables(spark):
     }
     assert len(got.collect()) == 13 and "graphs[].edges" in INVENTORY_ARRAYS
     assert inventory_tables(spark.createDataFrame([], "inv_id bigint, payload string")).collect() == []
+
+
+def test_numbers_keep_every_digit(spark):
+    df = files(
+        spark, (1, "f", 1, '{"id": "P1", "w": 9007199254740993, "m": 1, "d": 0.1, "x": 9007199254740993, "l": 0.12345678901234567891}'), (1, "f", 1, '{"id": "P2", "w": 1, "m": 2.5, "d": 1e3, "x": 1e300, "l": 1}')
+    )
+    assert {r["field_name"]: r["union_type"] for r in union_schema(df).collect()} == {"id": "string", "w": "bigint", "m": "double", "d": "double", "x": "string", "l": "string"}
+    rows = {r["process_id"]: r for r in unified_records(df).collect()}
+    assert (rows["P1"]["field_w"], rows["P1"]["field_m"], rows["P2"]["field_m"], rows["P1"]["field_x"]) == (9007199254740993, 1.0, 2.5, "9007199254740993")
+    assert rows["P1"]["field_l"] == "0.12345678901234567891"
+    assert schema_changes(files(spark, (1, "f", 1, {"id": "P1", "n": 1}), (2, "f", 2, {"id": "P1", "n": 1.5}))).collect() == []
+
+
+def test_columns_beyond_the_limit_stay_in_a_map(spark):
+    df = files(spark, (1, "f", 1, {"id": "P1", "a": 1, "b": "x", "C": [1]}), (2, "f", 2, {"id": "P1", "a": 2}))
+    wide = unified_records(df, max_columns=1)
+    assert wide.columns == ["file_no", "feed", "exported_at", "process_id", "field_a", "more_fields"]
+    assert wide.where("file_no = 1").first()["more_fields"] == {"b": '"x"', "C": "[1]"}
+
+
+def test_changes_inside_objects_and_arrays(spark):
+    df = files(spark, (1, "f", 1, {"id": "P", "steps": [{"t": "a"}, {"t": "b", "n": 1}], "o": {"k": {"z": 1}}}), (2, "f", 2, {"id": "P", "steps": [{"t": ["a"]}], "o": {"k": {"y": 1}}}))
+    assert {tuple(r) for r in nested_changes(df).collect()} == {(2, "steps[].t", "retyped"), (2, "steps[].n", "removed"), (2, "o.k.z", "removed"), (2, "o.k.y", "added")}
+
+
+@pytest.mark.parametrize("said", ['{"a": [1, -2.5e3, true, false, null, "x\\u00e9\\"]"], "b": {}, "c": []}', " [ ] ", "3", '"s"', '[[["a"], {"b": {"c": [0]}}]]'])
+def test_deep_reader_reads_as_the_plain_one(said):
+    assert read_deep(said) == json.loads(said)
+
+
+@pytest.mark.parametrize("said", ["", "[", "[1,]", '{"a"}', '{"a":}', "{a: 1}", "[1] 2", '{"a": 1,}', "]", '["x]'])
+def test_deep_reader_refuses_what_is_broken(said):
+    with pytest.raises(ValueError):
+        read_deep(said)
+
+
+def test_deep_payloads_come_out_and_rejects_are_rows(spark):
+    deep = '{"x":' + "[" * 20_000 + "]" * 20_000 + ', "obligations": [{"id": "o"}]}'
+    nested = '{"obligations": [' + '{"a":' * 1_200 + '{"id": 1}' + "}" * 1_200 + "]}"
+    df = spark.createDataFrame([(1, deep), (2, nested), (3, " "), (4, None), (5, "{"), (None, "{}"), (6, "[" * 20_000)], "inv_id bigint, payload string")
+    assert {tuple(r) for r in inventory_tables(df).collect()} == {(1, "obligation", -1, 0, "o"), (2, "obligation", -1, 0, "")}
+    assert {tuple(r) for r in rejected(df, "inv_id", "payload").collect()} == {(3, "blank"), (4, "null"), (5, "broken"), (None, "null key"), (6, "broken")}
+
+
+def test_flat_tables_join_at_any_depth(spark):
+    body = {"a": [{"n": 1, "s": "007", "b": [{"x": 1.5, "c": ["u", None, "v"]}]}, {"n": None, "s": 7, "t": True}]}
+    flat = flat_tables(shred(spark.createDataFrame([(1, json.dumps(body)), (1, json.dumps(body))], "k bigint, p string"), "k", "p", ["a", "a[].b", "a[].b[].c"]))
+    assert dict(flat["a"].dtypes) == {"record": "bigint", "node_id": "string", "parent_id": "string", "pos": "int", "value": "string", "m_n": "bigint", "m_s": "string", "m_t": "boolean"}
+    assert {tuple(r) for r in flat["a"].select("node_id", "parent_id", "m_n", "m_s", "m_t").collect()} == {("0", "", 1, "007", None), ("1", "", None, "7", True)}
+    c = flat["a[].b[].c"].alias("c").join(flat["a[].b"].alias("b"), F.expr("c.record = b.record and c.parent_id = b.node_id"))
+    assert {tuple(r) for r in c.select("c.node_id", "b.m_x", "c.value").collect()} == {("0.0.0", 1.5, "u"), ("0.0.2", 1.5, "v")}
+    narrow = flat_tables(shred(spark.createDataFrame([(1, json.dumps(body))], "k bigint, p string"), "k", "p", ["a"]), max_columns=1)["a"]
+    assert narrow.columns[-2:] == ["m_s", "more"] and narrow.where("node_id = '0'").first()["more"] == {"n": "1"}
