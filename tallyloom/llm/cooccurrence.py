@@ -150,8 +150,18 @@ def cooccurrence(baskets: DataFrame, items: str = "items") -> DataFrame:
     return pairs.select("tag_a", "tag_b", "n_ab", "n_a", "n_b", whole.alias("n"), lift.alias("lift"), F.when(lift < 1, -llr).otherwise(llr).alias("llr"))
 
 
-def associated(pairs: DataFrame, least: int = 6, support: int = 2000, lift: int = 3) -> DataFrame:
-    """Pairs in at least ``least`` baskets and one of ``support``, ``lift`` times as often as by chance."""
+#: Below this log-likelihood ratio a pair may be chance: the 5 % point of chi-square with one degree of freedom.
+LEAST_RATIO = 3.841
+
+
+def associated(pairs: DataFrame, least: int = 6, support: int = 2000, lift: int = 3, ratio: float = LEAST_RATIO) -> DataFrame:
+    """Significant pairs in at least ``least`` baskets and one of ``support``, ``lift`` times as often as by chance.
+
+    Significance is the log-likelihood ratio. Every cell adds something that isn't
+    negative to it, the pair's own at least ``2 * n_ab * (ln(lift) - 1 + 1 / lift)``, so
+    with the defaults no pair the other thresholds let through is below 5.1.
+    """
     n_ab, n = F.col("n_ab"), F.col("n")
     wide = n_ab.cast("decimal(38,0)") * n
-    return pairs.where((n_ab >= least) & (support * n_ab >= n) & (wide >= lift * F.col("n_a").cast("decimal(38,0)") * F.col("n_b"))).select("tag_a", "tag_b")
+    often = (n_ab >= least) & (support * n_ab >= n) & (wide >= lift * F.col("n_a").cast("decimal(38,0)") * F.col("n_b"))
+    return pairs.where(often & (F.col("llr") >= ratio)).select("tag_a", "tag_b")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import DEFAULT_VOCABULARY
 from tallyloom.llm.encoding import token_counts
+from tallyloom.plans.lineage import stash
 
 #: Documents packed together; more are spread over shards by a hash of their key, each with all sizes in it.
 SHARD_DOCUMENTS = 20_000
@@ -99,23 +100,27 @@ def pack_documents(documents: DataFrame, windows: DataFrame, vocabulary: str = D
     sequences of its own, and what is left of it is packed like any other document.
     Documents without tokens take a place without room. Windows are repeated rows of a
     small fixed table; those without a positive capacity are left out. Rows without a
-    ``doc_id`` are left out; a document of several different rows gives several items.
+    ``doc_id`` are left out; every other row gives an item, so rows of one ``doc_id`` never
+    share a sequence that one of them fills. Texts are encoded once; what all windows read
+    is one narrow row per document.
     """
     sizes = [(w["window_id"], w["capacity_tokens"]) for w in windows.where("capacity_tokens > 0").select("window_id", "capacity_tokens").distinct().orderBy("window_id").collect()]
-    counted = token_counts(documents.where("doc_id is not null"), vocabulary=vocabulary)
-    shards = max(1, -(-documents.count() // shard_documents))
+    counted = token_counts(documents.where("doc_id is not null"), vocabulary=vocabulary).groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies"))
+    counted = stash(counted, rows=F.sum("copies"))
+    shards = max(1, -(-(counted.observed["rows"] or 0) // shard_documents))
+    counted = counted.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
     if sizes:
         each = F.explode(F.array(*[F.struct(F.lit(w).alias("window_id"), F.lit(c).cast("int").alias("capacity_tokens")) for w, c in sizes])).alias("w")
     else:
         each = F.explode(F.from_json(F.lit("[]"), "array<struct<window_id:string,capacity_tokens:int>>")).alias("w")
-    items = counted.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), each).select("doc_id", "n_tokens", "shard", "w.*")
+    items = counted.select("doc_id", "n_tokens", "copy", F.pmod(F.xxhash64("doc_id", "n_tokens", "copy"), F.lit(shards)).cast("int").alias("shard"), each).select("doc_id", "n_tokens", "copy", "shard", "w.*")
     whole = F.floor(F.col("n_tokens") / F.col("capacity_tokens")).cast("bigint")
     items = items.withColumn("whole", whole).withColumn("rest", F.col("n_tokens") - F.col("whole") * F.col("capacity_tokens"))
-    full = items.where("whole > 0").select("window_id", "capacity_tokens", "doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece"))
+    full = items.where("whole > 0").select("window_id", "capacity_tokens", "doc_id", "n_tokens", "copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece"))
     full = full.select(
         "window_id",
         "capacity_tokens",
-        F.concat_ws("-", "window_id", F.lit("full"), "doc_id", "piece").alias("sequence_id"),
+        F.concat_ws("-", "window_id", F.lit("full"), "doc_id", "n_tokens", "copy", "piece").alias("sequence_id"),
         "doc_id",
         F.col("piece").cast("int").alias("piece"),
         (F.col("piece") * F.col("capacity_tokens")).alias("first_token"),
@@ -142,3 +147,21 @@ def pack_documents(documents: DataFrame, windows: DataFrame, vocabulary: str = D
     packed = items.where("rest > 0 or whole = 0").groupBy("window_id", "capacity_tokens", "shard")
     packed = packed.applyInPandas(run, f"window_id string, capacity_tokens int, sequence_id string, doc_id {kind}, piece int, first_token bigint, n_tokens bigint")
     return full.unionByName(packed)
+
+
+def balance(packed: DataFrame) -> DataFrame:
+    """How evenly each window's sequences are filled: ``window_id, sequences, fill`` and the least, mean, greatest and standard deviation of their cost.
+
+    Costs are those of ``pack``: attention is paid within a document, so a sequence costs
+    what its pieces do.
+    """
+    cost = LINEAR * F.col("n_tokens") + QUADRATIC * F.col("n_tokens").cast("double") * F.col("n_tokens")
+    each = packed.groupBy("window_id", "capacity_tokens", "sequence_id").agg(F.sum("n_tokens").alias("used"), F.sum(cost).alias("cost"))
+    return each.groupBy("window_id").agg(
+        F.count("*").alias("sequences"),
+        (F.sum("used") / F.sum("capacity_tokens")).alias("fill"),
+        F.min("cost").alias("least_cost"),
+        F.avg("cost").alias("mean_cost"),
+        F.max("cost").alias("greatest_cost"),
+        F.stddev_pop("cost").alias("spread_of_cost"),
+    )

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.llm.blocks import clean_documents, document_blocks
 from tallyloom.llm.cooccurrence import associated, cooccurrence, latest_baskets
 from tallyloom.llm.encoding import encode
-from tallyloom.llm.packing import pack_documents
+from tallyloom.llm.packing import balance, pack_documents
 from tallyloom.llm.pii import personal_information, sanitised
 from tallyloom.llm.repetition import repetition_cases, repetition_shares
 from tallyloom.sources.tables import table
@@ -26,7 +27,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence(latest_baskets(table(spark, d, "frontmatter")))
+    """Every pair, with its lift and log-likelihood ratio."""
+    pairs = cooccurrence(latest_baskets(table(spark, d, "frontmatter")))
+    return pairs.withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +48,10 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), table(spark, d, "context_windows"))
 
 
+def p9_balance(spark: SparkSession, d: str) -> DataFrame:
+    return balance(p9_packed(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return personal_information(table(spark, d, "documents"), table(spark, d, "name_parts"))
 
@@ -53,7 +60,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return sanitised(table(spark, d, "documents"), table(spark, d, "name_parts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p4_found, p4_pairs, p6_found, p6_shares, p8_ids, p9_packed, p10_found, p10_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p4_found, p4_pairs, p6_found, p6_shares, p8_ids, p9_packed, p9_balance, p10_found, p10_clean)}
 
 _BASKETS = r"""
 WITH last AS (SELECT id, arg_max(tags, ingested_at) AS tags FROM frontmatter WHERE id IS NOT NULL GROUP BY id),
@@ -68,5 +75,14 @@ judged AS (
 )"""
 
 SQL = {
+    "p4_pairs": _BASKETS
+    + """, cells AS (SELECT *, CAST(n_ab AS DOUBLE) AS o, CAST(n_a AS DOUBLE) AS x, CAST(n_b AS DOUBLE) AS y, CAST(n AS DOUBLE) AS w FROM judged),
+parts AS (
+  SELECT *, o * w / (x * y) AS far,
+    2 * (o * ln(o * w / (x * y)) + CASE WHEN x > o THEN (x - o) * ln((x - o) * w / (x * (w - y))) ELSE 0 END
+      + CASE WHEN y > o THEN (y - o) * ln((y - o) * w / ((w - x) * y)) ELSE 0 END + CASE WHEN w - x - y + o > 0 THEN (w - x - y + o) * ln((w - x - y + o) * w / ((w - x) * (w - y))) ELSE 0 END) AS g
+  FROM cells
+)
+SELECT tag_a, tag_b, n_ab, n_a, n_b, n, round(far, 6) AS lift, round(CASE WHEN far < 1 THEN -g ELSE g END, 4) AS llr FROM parts""",
     "p4_found": _BASKETS + " SELECT tag_a, tag_b FROM judged WHERE n_ab >= 6 AND 2000 * n_ab >= n AND n_ab * n >= 3 * n_a * n_b",
 }

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from tallyloom.llm.bpe import DEFAULT_VOCABULARY, Encoder, Vocabulary
 from tallyloom.llm.encoding import encode, token_counts
-from tallyloom.llm.packing import pack, pack_documents
+from tallyloom.llm.packing import balance, pack, pack_documents
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -104,3 +104,14 @@ def test_documents_are_cut_only_above_the_capacity(spark):
         assert pieces[99] == [(0, 0)] and None not in pieces
     assert {r["window_id"] for r in rows} == {"w", "v"}
     assert pack_documents(docs.limit(0), windows).collect() == [] and pack_documents(docs, windows.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_never_overfill_a_sequence(spark):
+    text = " a" * 25
+    rows = pack_documents(spark.createDataFrame([(1, text), (1, text), (1, text + " b"), (1, " a" * 20)], "doc_id bigint, text string"), spark.createDataFrame([("w", 20)], "window_id string, capacity_tokens int")).collect()
+    loads = {}
+    for r in rows:
+        loads[r["sequence_id"]] = loads.get(r["sequence_id"], 0) + r["n_tokens"]
+    assert max(loads.values()) == 20 and sum(loads.values()) == 25 + 25 + 26 + 20
+    spread = balance(spark.createDataFrame(rows)).first()
+    assert spread["sequences"] == len(loads) and spread["least_cost"] <= spread["mean_cost"] <= spread["greatest_cost"]

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyloom.llm.cooccurrence import associated, cooccurrence, latest_baskets
-from tallyloom.llm.repetition import covered, measure, norm, repeated_length, repetition_cases, repetition_shares
+from tallyloom.llm.repetition import covered, measure, norm, norms, repeated_length, repeated_starts, repetition_cases, repetition_shares
 
 
 def brute_covered(words, n):
@@ -22,14 +22,37 @@ def brute_covered(words, n):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 9))
+@given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 5))
 def test_coverage_equals_brute_force(words, n):
-    assert covered(np.array(words, dtype=np.int64), n) == brute_covered(words, n)
+    codes = np.array(words, dtype=np.int64)
+    for length, starts in repeated_starts(codes, (n, 2 * n, 4 * n)).items():
+        assert covered(codes, starts, length) == brute_covered(words, length)
+
+
+def test_coverage_with_hashes_that_collide(monkeypatch):
+    monkeypatch.setattr("tallyloom.llm.repetition._BASE", np.uint64(0))
+    rng = random.Random(3)
+    words = [rng.randint(0, 2) for _ in range(60)]
+    codes = np.array(words, dtype=np.int64)
+    for length, starts in repeated_starts(codes, (2, 4, 8)).items():
+        assert covered(codes, starts, length) == brute_covered(words, length)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aB.!? \n\r\x01é1İΣ中")), max_size=40))
+def test_norms_of_parts_equal_norms_of_their_texts(text):
+    def plain(said):
+        return " ".join("".join(c if c.isalpha() else " " for c in said.lower()).split())
+
+    lines, sentences, words = norms(text)
+    clean = text.replace("\x01", " ")
+    assert lines == [plain(x) for x in clean.split("\n")] and words == plain(clean).split()
+    assert sentences == [plain(x) for x in re.split(r"(?<=[.!?])(?=\s)", clean)]
 
 
 def test_norm_and_units():
     assert norm("  Ab-c1D\n É! ") == "ab c d é" and norm("12 3") == ""
-    assert repeated_length(["A b.", "", "a  B", "12", "c"]) == (3, 7)
+    assert repeated_length(norms("A b.\n\na  B\n12\nc")[0]) == (3, 7)
     n, *_ = measure("")
     assert n == 0 and measure("one two")[0] == 2
 
@@ -94,7 +117,7 @@ def test_pairs_equal_brute_force(spark):
 
     llr = 2 * (h(k, x - k, y - k, n - x - y + k) - h(x, n - x) - h(y, n - y))
     assert abs(abs(got[a, b]["llr"]) - llr) < 1e-6
-    cases = {tuple(r) for r in associated(cooccurrence(latest_baskets(df)), least=2, support=2000, lift=1).collect()}
+    cases = {tuple(r) for r in associated(cooccurrence(latest_baskets(df)), least=2, support=2000, lift=1, ratio=float("-inf")).collect()}
     assert cases == {p for p, (k, x, y, n) in want.items() if k >= 2 and 2000 * k >= n and k * n >= x * y}
     assert cooccurrence(latest_baskets(df.limit(0))).collect() == []
 
