@@ -2,15 +2,19 @@
 
 Information-theoretic sanitisation in two passes over the corpus. The first counts, over
 all documents, how often terms occur beside something that is protected for certain: a
-word beside a known name part, or a phrase around a certain name or number. The
-disclosure of a term is the information, in bits, that its presence gives about a
-protected entity beside it. The second pass takes candidates by their shape and keeps
-those whose terms disclose enough; they are generalised to their type.
-
-Certain from the start are names of two known parts, and numbers of a shape that nothing
-else has. What the corpus adds are name parts that are not known yet, phrases that
-introduce names or numbers, and terms that look like a part of an address or name but
-always come with the same value and so disclose nothing.
+word beside a known name part, or a phrase around a certain name or number. What a term
+discloses of a protected entity beside it is their pointwise mutual information, in
+bits: how much more likely the entity is beside the term than at a random word of the
+corpus. The entity's own information is the logarithm of that prior, and a term discloses
+it if it gives away at least the share ``DISCLOSED`` of it. The second pass takes
+candidates by their shape and keeps those whose terms disclose enough; they are
+generalised to their type.
+
+Certain from the start are names of two known parts, and mail addresses, addresses and
+numbers of a shape that nothing else has. What the corpus decides are name parts that are
+not known yet, phrases that introduce names or plain numbers, words before a number that
+tell of a thing and not a person, and terms that look like a part of an address or name
+but always come with the same value and so disclose nothing.
 """
 
 from __future__ import annotations
@@ -25,22 +29,31 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.plans.lineage import spread, stash
+from tallyloom.plans.lineage import release, spread, stash
 
-#: A term discloses a protected entity if at least this share of its occurrences is beside one ...
-LEAST_SHARE = 0.3
-#: ... a phrase if at least this share of the name or number shapes beside it is certain (parts
-#: that aren't known yet keep the share low), ...
-LEAST_PHRASE_SHARE = 0.25
-#: ... and this many are.
+#: A term discloses a protected entity if it gives away this share of the entity's information ...
+DISCLOSED = 0.75
+#: ... and is beside one so often.
 LEAST_SUPPORT = 2
 
+#: A part or street of which a smaller share of contexts has a disclosing phrase isn't introduced by them.
+LEAST_INTRODUCED = 0.25
+
+#: A word before so many numbers that identity numbers follow it more rarely than any word tells of a thing.
+THING_SUPPORT = 20
+
+#: Terms of the lexicon up to which it is brought to the tasks whole; a larger one is joined to blocks of documents.
+LEXICON_TERMS = 1_000_000
+#: Documents of such a block.
+BLOCK_DOCUMENTS = 2_000
+
 #: A word beside so many different parts that disclose a name is a name part, however often it is used otherwise.
 MANY_COMPANIONS = 3
 
@@ -107,6 +120,9 @@ _HOUSE_LAST = re.compile("\\d(?:" + "|".join(rf"(?<={re.escape(w)}{_NB}\d)" for
 _SPANISH = ("Calle", "Avenida", "Avda.", "Plaza", "Paseo", "Camino", "C/ ")
 _NUMBER_HINT = re.compile(rf"\d(?:[    ./()‑–-]{{0,3}}\d){{6}}|\d\d{_NB}?\d\d{_NB}?\d\d{_NB}?[A-D]\b|\d[A-Z]\d{{5}}")
 
+# Words before the numbers of things.
+THINGS = "build|ticket|order|part|version|release|invoice|serial|batch|bestellung|teil|rechnung|auftrag|commande|pièce|facture|pedido|pieza|factura|versión"
+
 # Words that join given and family names.
 PARTICLES = "von|van|de|der|den|del|della|di|da|do|dos|du|al|el|la|le|bin|ben|zu|ter|ten|af|av|san"
 
@@ -155,9 +171,10 @@ class Lexicon:
     constant_streets: set[str] = field(default_factory=set)
     weak: set[str] = field(default_factory=set)
     street_pairs: set[str] = field(default_factory=set)
+    things: set[str] = field(default_factory=lambda: set(THINGS.split("|")))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("scanner", "patterns")}
+        return {k: v for k, v in self.__dict__.items() if k != "scanner"}
 
     def anchors(self, text: str) -> Iterator[tuple[int, int, str]]:
         """``(start, end, part)`` of each name part in a text, as a whole word in any letter case."""
@@ -172,7 +189,8 @@ class Lexicon:
             return
         low = text.lower()
         if len(low) != len(text):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+            # the only sign that is longer in lower case
+            low = text.replace("\u0130", "\u0131").lower()
         for last, (length, part) in scanner.iter(low):
             start, end = last + 1 - length, last + 1
             before, after = low[start - 1 : start], low[end : end + 1]
@@ -180,10 +198,35 @@ class Lexicon:
                 yield start, end, part
 
 
+_BLANKS = frozenset(" \u00a0\u202f\u2009\u200b\u200c\u200d\ufeff")
+_SPACE = frozenset(" \t\r\n\u00a0\u202f\u2009\u200b\u200c\u200d\ufeff\u3000")
+
+
+def _back(text: str, at: int, words: int) -> int:
+    """Where the last ``words`` words before a place begin, however long they are."""
+    for _ in range(words):
+        while at and text[at - 1] in _SPACE:
+            at -= 1
+        while at and text[at - 1] not in _SPACE:
+            at -= 1
+    return at
+
+
+def _ahead(text: str, at: int, words: int) -> int:
+    """Where the next ``words`` words after a place end."""
+    n = len(text)
+    for _ in range(words):
+        while at < n and text[at] in _SPACE:
+            at += 1
+        while at < n and text[at] not in _SPACE:
+            at += 1
+    return at
+
+
 def phrases_around(line: str, start: int, end: int) -> tuple[str, str]:
     """The two tokens before and after a span, the phrases that may introduce it; line ends count as tokens."""
-    before = ["^", *(fold(t) for t in _TOKEN.findall(line[max(0, start - 40) : start]))][-2:]
-    after = [*(fold(t) for t in _TOKEN.findall(line[end : end + 40])), "$"][:2]
+    before = ["^", *(fold(t) for t in _TOKEN.findall(line[_back(line, start, 2) : start]))][-2:]
+    after = [*(fold(t) for t in _TOKEN.findall(line[end : _ahead(line, end, 2)])), "$"][:2]
     return "<" + " ".join(before), ">" + " ".join(after)
 
 
@@ -245,7 +288,7 @@ def _around_given(text: str, start: int, end: int, given: str, lexicon: Lexicon)
                 yield NameSpan(start, stop, given, fold(family), True, known, style)
                 return
     if text[start - 2 : start - 1] == "," or text[start - 3 : start - 2] == ",":
-        low = max(0, start - 60)
+        low = max(0, _back(text, start, 2) - 1)
         head = _BEFORE_GIVEN.search(text[low:start])
         if head:
             begin, family = low + head.start("family"), head["family"]
@@ -258,7 +301,6 @@ def _around_given(text: str, start: int, end: int, given: str, lexicon: Lexicon)
 
 
 _INITIAL_ONLY = re.compile(_INITIAL)
-_BLANKS = frozenset("    ​‌‍﻿")
 _GLUE = frozenset("@_")
 
 
@@ -270,7 +312,7 @@ def _around_family(text: str, start: int, end: int, lexicon: Lexicon) -> Iterato
         return
     style = _style(family.split("-")[0])
     if before in _BLANKS:
-        low = max(0, start - 60)
+        low = max(0, _back(text, start, 6) - 1)
         words = text[low:start].split()
         at = -1
         while words and len(words) + at > 0 and words[at].casefold() in _PARTICLES:
@@ -302,6 +344,10 @@ def _same_style(style: str, others: Iterable[str]) -> bool:
     return style != "odd" and all({_style(p) for p in o.split("-")} == {style} for o in others)
 
 
+#: More than a number's shape can have before and after the seven digits of the hint: twelve more digits, each with two signs and brackets of up to five.
+_NUMBER_BEFORE, _NUMBER_AFTER = 16, 120
+
+
 def _windows(hint: re.Pattern, text: str, before: int, after: int) -> Iterator[tuple[int, int]]:
     """The stretches around what a cheap pattern finds, merged where they touch."""
     low = high = -1
@@ -315,11 +361,35 @@ def _windows(hint: re.Pattern, text: str, before: int, after: int) -> Iterator[t
         yield low, high
 
 
+_THREE_GROUPS = re.compile(r"(\d{3})\D\d\d\D(\d{4})")
+
+
+def _issued(number: str) -> bool:
+    """Whether a number isn't all zeros, nor one of three groups of which the first or last is; those are never issued."""
+    groups = _THREE_GROUPS.fullmatch(number)
+    return bool(re.search("[1-9]", number)) and not (groups and "0" * len(groups[1]) in groups.groups() or groups and groups[2] == "0000")
+
+
+def word_before(text: str, start: int) -> str:
+    """The word that stands before a number, folded; empty if none does. Words that only say number are passed over."""
+    low = _back(text, start, 4)
+    hit = _WORD_BEFORE.search(text[low:start])
+    if hit and fold(hit[1]) in _NUMBER_WORDS and (further := _WORD_BEFORE.search(text[low : low + hit.start()])):
+        hit = further
+    return fold(hit[1]) if hit else ""
+
+
+_NUMBER_WORDS = frozenset(("no", "nr", "number", "num", "nummer", "numéro", "número", "id"))
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,3}$")
+_NUMBERED = re.compile(r"([^\W\d_]{2,})[^\w\n]{1,3}(?:[A-Z]{1,2} ?)?(?=\d)")
+
+
 def number_spans(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """``(kind, start, end, certain)`` of numbers shaped like those of persons."""
-    for low, high in _windows(_NUMBER_HINT, text, 8, 60):
+    for low, high in _windows(_NUMBER_HINT, text, _NUMBER_BEFORE, _NUMBER_AFTER):
         for m in IDENTITY.finditer(text, low, high):
-            yield "identity", m.start(), m.end(), True
+            if _issued(m.group()):
+                yield "identity", m.start(), m.end(), True
         for m in PHONE.finditer(text, low, high):
             if 7 <= sum(c.isdigit() for c in m.group()) <= 15:
                 yield "phone", m.start(), m.end(), True
@@ -340,10 +410,10 @@ class AddressSpan:
 def address_spans(text: str) -> Iterator[AddressSpan]:
     """Spans shaped like a street with its house number; ``more`` is a word after it that may belong to its name."""
     found = []
-    for low, high in _windows(_HOUSE_FIRST, text, 6, 90):
-        found += [*ADDRESS_EN.finditer(text, low, high), *ADDRESS_FR.finditer(text, low, high)]
-    for low, high in _windows(_HOUSE_LAST, text, 60, 12):
-        found += ADDRESS_DE.finditer(text, low, high)
+    if _HOUSE_FIRST.search(text):
+        found += [*ADDRESS_EN.finditer(text), *ADDRESS_FR.finditer(text)]
+    if _HOUSE_LAST.search(text):
+        found += ADDRESS_DE.finditer(text)
     if any(word in text for word in _SPANISH):
         found += ADDRESS_ES.finditer(text)
     for m in found:
@@ -367,34 +437,53 @@ _RE2_SHAPES = (
 )
 
 
-def _any_of(parts: Iterable[str]) -> str:
-    written = {w for p in parts for w in (p, unicodedata.normalize("NFD", p))}
-    return "(?i:" + "|".join(re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", w) for w in sorted(written)) + ")"
-
-
-def promising(lines: pa.Array, lexicon: Lexicon) -> pa.Array:
-    """Which lines may hold anything that ``find`` or ``count_terms`` looks at.
-
-    A cheap test by linear-time patterns; it lets through more than is found, and nothing
+_NEXT_WORD = re.compile(rf"{_GAP}(?:d['’])?({_LETTERS})")
+
+
+def _worth(text: str, start: int, end: int, part: str, lexicon: Lexicon) -> bool:
+    """Whether a known part has beside it what a name needs."""
+    before, after = text[start - 1 : start], text[end : end + 1]
+    if part in lexicon.given:
+        if after in _BLANKS and (m := _NEXT_WORD.match(text, end)):
+            word = m[1]
+            if word[0].isupper() or lexicon.phrases and part not in lexicon.common or (w := fold(word)) in _PARTICLES or w in lexicon.given or w in lexicon.family:
+                return True
+        if before in _BLANKS and "," in text[max(0, start - 4) : start]:
+            return True
+    if part in lexicon.family:
+        if after == ",":
+            return True
+        if before in _BLANKS:
+            at = start - 1
+            while at and text[at - 1] in _BLANKS:
+                at -= 1
+            last = text[_back(text, at, 1) : at].lstrip("([{\"'“„«‘¿¡|>")
+            return last[:1].isupper() or last[-1:] == "." or last.casefold() in _PARTICLES or bool(re.search(r"\W", last))
+    return False
+
+
+def promising(lines: pa.Array, lexicon: Lexicon) -> tuple[pa.Array, list[int]]:
+    """Which lines may hold anything that ``find`` or ``count_terms`` looks at, and those whose name may go on in the next.
+
+    Shapes are tested by linear-time patterns, name parts by one automaton over all lines
+    together, whose size is no limit. Both let through more than is found, and nothing
     that is found is kept back.
     """
-    patterns = lexicon.__dict__.get("patterns")
-    if patterns is None:
-        given, family = _any_of(lexicon.given or {"\0"}), _any_of(lexicon.family or {"\0"})
-        low = _any_of(lexicon.given - lexicon.common if lexicon.phrases else {"\0"}).replace("(?i:", "(?:")
-        between = rf"(?i:{PARTICLES})"
-        patterns = lexicon.__dict__["patterns"] = [
-            _RE2_SHAPES,
-            rf"{given}{_RE2_GAP}(?:\p{{Lu}}|{between}{_RE2_GAP}|{given}|d['’]|{family})",
-            rf"\p{{Lu}}[\p{{L}}\p{{M}}'’-]*\.?{_RE2_GAP}(?:{between}{_RE2_GAP}){{0,2}}{family}",
-            rf"{family},{_RE2_GAP}(?:{given}|\p{{Lu}}\.)|\p{{L}}[\p{{L}}\p{{M}}-]*,{_RE2_GAP}{given}",
-            rf"(?:^|[^\p{{L}}]){low}{_RE2_GAP}\p{{Ll}}",
-            rf"\p{{Lu}}\.{_RE2_GAP}\p{{L}}",
-        ]
-    mask = pc.match_substring_regex(lines, patterns[0])
-    for pattern in patterns[1:]:
-        mask = pc.or_(mask, pc.match_substring_regex(lines, pattern))
-    return mask
+    mask = pc.or_(pc.match_substring_regex(lines, _RE2_SHAPES), pc.match_substring_regex(lines, rf"\p{{Lu}}\.{_RE2_GAP}\p{{L}}"))
+    said = lines.to_pylist()
+    text = "\n".join(said)
+    starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in said]))).astype(np.int64)
+    hits, ends = [], []
+    for start, end, part in lexicon.anchors(text):
+        if _worth(text, start, end, part, lexicon):
+            hits.append(start)
+        if (near := text.find("\n", end, end + 6)) >= 0 and text[start].isupper() and not text[end:near].strip(" \r,.ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+            ends.append(start)
+    if hits:
+        flags = np.zeros(len(said), dtype=bool)
+        flags[np.searchsorted(starts, np.array(hits), side="right") - 1] = True
+        mask = pc.or_(mask, pa.array(flags))
+    return mask, sorted(set((np.searchsorted(starts, np.array(ends, dtype=np.int64), side="right") - 1).tolist()))
 
 
 # --- pass one: what terms disclose ------------------------------------------------------------------
@@ -432,6 +521,7 @@ def count_terms(lines: Iterable[str], known: Lexicon) -> Counter:
                 continue
             seen.add((span.start, span.end))
             certain = span.given_known and span.family_known
+            counts["total", "name", certain] += 1
             if span.style == "Cap":
                 if span.given_known:
                     for part in span.family.split("-"):
@@ -445,6 +535,9 @@ def count_terms(lines: Iterable[str], known: Lexicon) -> Counter:
             for phrase in phrases_around(line, span.start, span.end):
                 counts["phrase", phrase, certain] += 1
         for kind, start, end, certain in number_spans(line):
+            if kind == "identity" and (word := word_before(line, start)):
+                counts["thing", word, True] += 1
+            counts["total", "number", certain] += 1
             for phrase in phrases_around(line, start, end):
                 counts["number", phrase, certain] += 1
         for address in address_spans(line):
@@ -455,10 +548,21 @@ def count_terms(lines: Iterable[str], known: Lexicon) -> Counter:
     return counts
 
 
-def disclosure_bits(beside: float, occurrences: float, prior: float) -> float:
-    """The information, in bits, that a term's presence gives about an entity beside it."""
-    share = (beside + 0.5) / (occurrences + 1)
-    return math.log2(max(share, 1e-9) / max(prior, 1e-9))
+def disclosure_bits(beside: Column, occurrences: Column, prior: float) -> Column:
+    """What a term gives away about an entity beside it: their pointwise mutual information, in bits."""
+    return F.log2(F.greatest(beside / occurrences, F.lit(1e-12)) / prior)
+
+
+def discloses(beside: Column, occurrences: Column, prior: float, share: float = DISCLOSED) -> Column:
+    """Whether a term gives away ``share`` of the information ``-log2(prior)`` of the entity, and is beside one often enough."""
+    return (beside >= LEAST_SUPPORT) & (disclosure_bits(beside, occurrences, prior) >= -share * math.log2(prior))
+
+
+def priors(counts: DataFrame) -> dict[str, float]:
+    """How likely a certain name or number is at a word of the corpus; at most one half, at least one in a billion."""
+    totals = counts.where("kind in ('word', 'low', 'total')").groupBy(F.when(F.col("kind") == "total", F.col("term")).otherwise("words").alias("what")).agg(F.sum("beside").alias("n"))
+    n = {r["what"]: r["n"] for r in totals.collect()}
+    return {what: min(0.5, max(1e-9, n.get(what, 0) / max(1, n.get("words", 0)))) for what in ("name", "number")}
 
 
 def known_parts(name_parts: DataFrame) -> Lexicon:
@@ -478,7 +582,9 @@ def term_disclosure(documents: DataFrame, known: Lexicon, text: str = "text") ->
             lines = pc.split_pattern(batch.column(0), "\n").flatten()
             tokens = pc.value_counts(pc.split_pattern(lines, " ").flatten())
             counts.update(count_words(zip(tokens.field("values").to_pylist(), tokens.field("counts").to_pylist())))
-            counts.update(count_terms(lines.filter(promising(lines, known)).to_pylist(), known))
+            counts.update(count_terms(lines.filter(promising(lines, known)[0]).to_pylist(), known))
+            for line in lines.filter(pc.match_substring_regex(lines, r"\pL[^\pL\pN_]{1,3}(?:[A-Z]{1,2} ?)?[0-9]")).to_pylist():
+                counts.update(("thing", fold(m[1]), False) for m in _NUMBERED.finditer(line))
         rows = [(kind, term, n if hit else 0, n) for (kind, term, hit), n in counts.items()]
         kinds, terms, beside, n = zip(*rows) if rows else ((), (), (), ())
         columns = [pa.array(kinds, pa.string()), pa.array(terms, pa.string()), pa.array(beside, pa.int64()), pa.array(n, pa.int64())]
@@ -506,57 +612,101 @@ def _introduced(contexts: DataFrame, disclosing: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(counts: DataFrame) -> DataFrame:
-    """``kind, term, share, bits`` of the terms above the thresholds.
+    """``kind, term, bits`` of the terms that disclose enough, or that tell of something else.
 
-    Kinds: given, family, weak, common, phrase, number, pair and constant. One row per word or phrase
-    that the corpus has often enough beside protected entities, so its size is that of the
-    vocabulary of names and phrases, not of the corpus.
+    Kinds: given, family, weak, common, phrase, number, pair, constant and thing. One row
+    per word or phrase that the corpus has often enough beside protected entities.
     """
+    prior = priors(counts)
     words = counts.where("kind = 'word'").select("term", F.col("occurrences").alias("all_n"))
     beside = counts.where("kind in ('given', 'family')").select("kind", F.split("term", "\t")[0].alias("term"), F.split("term", "\t")[1].alias("with"), "beside")
+    none = F.lit(0.0).alias("bits")
 
     def shares(parts: DataFrame) -> DataFrame:
         found = parts.groupBy("kind", "term").agg(F.sum("beside").alias("beside"), F.max("beside").alias("most"), F.count("*").alias("companions"))
-        return found.join(introduced, ["kind", "term"], "left").join(words, "term").withColumn("share", F.col("beside") / F.col("all_n"))
+        return found.join(introduced, ["kind", "term"], "left").join(words, "term").withColumn("bits", disclosure_bits(F.col("beside"), F.col("all_n"), prior["name"]))
+
+    def telling(kind: str, what: str) -> DataFrame:
+        said = counts.where((F.col("kind") == kind) & F.col("term").rlike(_SAYING))
+        return said.where(discloses(F.col("beside"), F.col("occurrences"), prior[what])).withColumn("bits", disclosure_bits(F.col("beside"), F.col("occurrences"), prior[what]))
 
-    phrases = counts.where("kind in ('phrase', 'number')").withColumn("share", F.col("beside") / F.col("occurrences")).where((F.col("share") >= LEAST_PHRASE_SHARE) & (F.col("beside") >= LEAST_SUPPORT) & F.col("term").rlike(_SAYING))
+    phrases = telling("phrase", "name")
     # one companion alone is no reason to refuse a part: a person may be named often, and always in full
-    introduced = _introduced(_contexts(counts).where("kind in ('family', 'given')"), phrases.where("kind = 'phrase'").select(F.col("term").alias("phrase")))
-    varied = F.expr(f"beside >= {LEAST_SUPPORT} and (most < {MOST_CONSTANT} * beside or coalesce(contexts, 0) < {MANY_CONTEXTS} or introduced >= {LEAST_PHRASE_SHARE} * contexts)")
+    introduced = _introduced(_contexts(counts).where("kind in ('family', 'given')"), phrases.select(F.col("term").alias("phrase")))
+    varied = F.expr(f"beside >= {LEAST_SUPPORT} and (most < {MOST_CONSTANT} * beside or coalesce(contexts, 0) < {MANY_CONTEXTS} or introduced >= {LEAST_INTRODUCED} * contexts)")
+    enough = discloses(F.col("beside"), F.col("all_n"), prior["name"])
     followed = shares(beside.where("kind = 'family'"))
-    families = followed.where(varied & (F.col("share") >= LEAST_SHARE))
+    families = followed.where(varied & enough)
     # family names that are mostly other words say nothing about the word before them
     seen = beside.where("kind = 'given'").select(F.col("with").alias("term")).unionByName(followed.select("term")).distinct().join(words, "term")
     seen = seen.join(followed.select("term", F.col("beside").alias("names")), "term", "left")
-    weak = seen.where(f"all_n >= {WEAK_SUPPORT} and coalesce(names, 0) < {WEAK_SHARE} * all_n").select(F.lit("weak").alias("kind"), "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
+    weak = seen.where(f"all_n >= {WEAK_SUPPORT} and coalesce(names, 0) < {WEAK_SHARE} * all_n").select(F.lit("weak").alias("kind"), "term", none)
     strong = beside.where("kind = 'given'").join(weak.select(F.col("term").alias("with")), "with", "left_anti")
-    givens = shares(strong).where(varied & ((F.col("share") >= LEAST_SHARE) | (F.col("companions") >= MANY_COMPANIONS)))
-    columns = ["kind", "term", "share", F.log2("share").alias("bits")]
-    kept = families.select(*columns).unionByName(givens.select(*columns)).unionByName(phrases.select(*columns))
+    givens = shares(strong).where(varied & (enough | (F.col("companions") >= MANY_COMPANIONS)))
+    columns = ["kind", "term", "bits"]
+    kept = families.select(*columns).unionByName(givens.select(*columns)).unionByName(phrases.select(*columns)).unionByName(telling("number", "number").select(*columns))
     low = counts.where(f"kind = 'low' and occurrences >= {COMMON_SUPPORT}").join(words, "term", "left").where(f"occurrences > {COMMON_SHARE} * coalesce(all_n, 0)")
     parts = beside.select("term").unionByName(beside.select(F.col("with").alias("term"))).distinct()
-    common = low.join(parts, "term", "left_semi").select(F.lit("common").alias("kind"), "term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
+    common = low.join(parts, "term", "left_semi").select(F.lit("common").alias("kind"), "term", none)
     streets = counts.where("kind = 'street'").select(F.split("term", "\t")[0].alias("term"), "beside")
     around = _contexts(counts).where("kind = 'street'")
     shared = around.where(F.col("phrase").rlike(_SAYING)).groupBy("phrase").agg(F.min("term").alias("low"), F.max("term").alias("high")).where("low < high").select("phrase")
-    constant = streets.groupBy("term").agg(F.count("*").alias("values")).where("values = 1").join(_introduced(around, shared), "term").where(f"contexts >= {MANY_CONTEXTS} and introduced < {LEAST_PHRASE_SHARE} * contexts").select(F.lit("constant").alias("kind"), "term", F.lit(1.0).alias("share"), F.lit(0.0).alias("bits"))
+    constant = streets.groupBy("term").agg(F.count("*").alias("values")).where("values = 1").join(_introduced(around, shared), "term")
+    constant = constant.where(f"contexts >= {MANY_CONTEXTS} and introduced < {LEAST_INTRODUCED} * contexts").select(F.lit("constant").alias("kind"), "term", none)
     ways = counts.where("kind = 'way'").select(F.split("term", "\t")[0].alias("street"), F.split("term", "\t")[1].alias("more"), "beside")
-    ways = ways.join(ways.groupBy("street").agg(F.sum("beside").alias("n")), "street").where(f"more != '' and beside >= {LEAST_PHRASE_SHARE} * n")
-    pairs = ways.where(f"beside >= {LEAST_SUPPORT} or n < {LEAST_SUPPORT}").select(F.lit("pair").alias("kind"), F.concat_ws(" ", "street", "more").alias("term"), (F.col("beside") / F.col("n")).alias("share"), F.log2(F.col("beside") / F.col("n")).alias("bits"))
-    return kept.unionByName(pairs).unionByName(weak).unionByName(common).unionByName(constant)
+    ways = ways.join(ways.groupBy("street").agg(F.sum("beside").alias("n")), "street").where(f"more != '' and beside >= {LEAST_INTRODUCED} * n")
+    pairs = ways.where(f"beside >= {LEAST_SUPPORT} or n < {LEAST_SUPPORT}").select(F.lit("pair").alias("kind"), F.concat_ws(" ", "street", "more").alias("term"), F.log2(F.col("beside") / F.col("n")).alias("bits"))
+    # a word that numbers of all kinds follow, but identity numbers more rarely than at any word
+    numbered = counts.where("kind = 'thing'").withColumn("all_n", F.col("occurrences") - F.col("beside")).where(f"all_n >= {THING_SUPPORT}")
+    base = counts.where("kind = 'thing'").agg(F.sum("beside").alias("hit"), F.sum(F.col("occurrences") - F.col("beside")).alias("all")).first()
+    rate = min(0.5, max(1e-9, (base["hit"] or 0) / max(1, base["all"] or 0)))
+    bits = disclosure_bits(F.col("beside"), F.col("all_n"), rate)
+    things = numbered.where(bits < 0).select(F.lit("thing").alias("kind"), "term", bits.alias("bits"))
+    return kept.unionByName(pairs).unionByName(weak).unionByName(common).unionByName(constant).unionByName(things)
 
 
-def learn(documents: DataFrame, name_parts: DataFrame, text: str = "text") -> Lexicon:
-    """The known parts and what the corpus adds to them."""
-    known = known_parts(name_parts)
+_FIELDS = {"given": "given", "family": "family", "common": "common", "phrase": "phrases", "number": "number_phrases", "constant": "constant_streets", "weak": "weak", "pair": "street_pairs", "thing": "things"}
+
+
+def _with_terms(known: Lexicon, terms: Iterable[tuple[str, str]]) -> Lexicon:
     lexicon = Lexicon(set(known.given), set(known.family))
-    target = {"given": lexicon.given, "family": lexicon.family, "common": lexicon.common, "phrase": lexicon.phrases, "number": lexicon.number_phrases, "constant": lexicon.constant_streets, "weak": lexicon.weak, "pair": lexicon.street_pairs}
-    counts = stash(term_disclosure(documents, known, text))
-    for row in disclosing_terms(counts).collect():
-        target[row["kind"]].add(row["term"])
+    for kind, term in terms:
+        getattr(lexicon, _FIELDS[kind]).add(term)
     return lexicon
 
 
+def disclosed(documents: DataFrame, name_parts: DataFrame, text: str = "text") -> tuple[Lexicon, DataFrame, int]:
+    """The known parts, the terms the corpus adds to them (``kind, term``, written once), and how many there are."""
+    known = known_parts(name_parts)
+    counts = stash(term_disclosure(documents, known, text))
+    terms = stash(disclosing_terms(counts).select("kind", "term").distinct(), n=F.count("*"))
+    release(counts)
+    return known, terms, terms.observed["n"]
+
+
+def learn(documents: DataFrame, name_parts: DataFrame, text: str = "text") -> Lexicon:
+    """The known parts and what the corpus adds to them, brought to the driver whole."""
+    known, terms, _ = disclosed(documents, name_parts, text)
+    return _with_terms(known, terms.collect())
+
+
+def terms_of(texts: Iterable[str | None], known: Lexicon) -> set[str]:
+    """Every term that ``find`` may look up in some texts: words, phrases beside any place, streets."""
+    asked: set[str] = set()
+    for text in texts:
+        for line in (text or "").split("\n"):
+            tokens = [fold(t) for t in _TOKEN.findall(line)]
+            asked.update(tokens, (p for t in tokens for p in t.split("-")), (_trim(t) for t in tokens))
+            asked.update(fold(w) for m in _DOUBLE.finditer(line) for w in (m.group(), _trim(m.group())))
+            before, after = ["^", *tokens], [*tokens, "$"]
+            asked.update("<" + " ".join(before[max(0, i - 1) : i + 1]) for i in range(len(before)))
+            asked.update(">" + " ".join(after[i : i + 2]) for i in range(len(after)))
+            asked.update(phrases_around(line, m.start(), m.start())[1] for m in re.finditer("['’](?=[sS])", line))
+            for address in address_spans(line):
+                asked.update((address.street, f"{address.street} {address.more}"))
+    return asked
+
+
 def _amid_capitals(line: str, start: int, end: int) -> bool:
     """Whether the words beside a span are all in capitals, so that capitals say nothing."""
     beside = [*re.findall(_LETTERS, line[max(0, start - 30) : start])[-1:], *re.findall(_LETTERS, line[end : end + 30])[:1]]
@@ -572,6 +722,8 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[str, int, int]]:
     if _MAIL_HINT.search(text):
         spans += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
     for kind, start, end, certain in number_spans(text):
+        if kind == "identity" and word_before(text, start) in lexicon.things:
+            continue
         if certain or any(p in lexicon.number_phrases for p in phrases_around(text, start, end)):
             spans.append((start, end, kind))
     for address in address_spans(text):
@@ -602,49 +754,126 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[str, int, int]]:
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[IDENTITY]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
+def wrapped_name(line: str, following: str, lexicon: Lexicon) -> tuple[int, int] | None:
+    """A name of two known parts that a line end cuts: where it begins in its line, and where it ends in the next."""
+    tail = line.rstrip()
+    low = _back(tail, len(tail), 5)
+    indent = len(following) - len(following.lstrip(" \t"))
+    head = following[indent : _ahead(following, indent, 5)]
+    joined, cut = f"{tail[low:]} {head}", len(tail) - low
+    for span in name_spans(joined, lexicon):
+        if span.start < cut < span.end and span.given_known and span.family_known and span.style == "Cap" and not (span.given in lexicon.common and span.family in lexicon.common):
+            return low + span.start, indent + span.end - cut - 1
+    return None
+
+
+def find_lines(lines: list[str], looked_at: Iterable[int], cut_at: Iterable[int], lexicon: Lexicon) -> Iterator[tuple[int, str, int, int, int]]:
+    """``(line, kind, start, last line, end)`` of everything found in some lines, and of names that go on in the line after one of ``cut_at``."""
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for at in looked_at:
+        for kind, start, end in find(lines[at], lexicon):
+            taken.setdefault(at, []).append((start, end))
+            yield at, kind, start, at, end
+    for at in cut_at:
+        if at + 1 < len(lines) and (span := wrapped_name(lines[at], lines[at + 1], lexicon)):
+            start, end = span
+            if not any(start < e for _, e in taken.get(at, ())) and not any(s < end for s, _ in taken.get(at + 1, ())):
+                taken.setdefault(at + 1, []).append((0, end))
+                yield at, "name", start, at + 1, end
+
+
 def sanitise(text: str | None, lexicon: Lexicon) -> str | None:
     """The text with a placeholder for each thing found; null stays null."""
     if not text:
         return text
-    out = []
-    for line in text.split("\n"):
-        at = 0
-        for kind, start, end in find(line, lexicon):
-            out += [line[at:start], PLACEHOLDERS[kind]]
-            at = end
-        out += [line[at:], "\n"]
-    return "".join(out[:-1])
+    lines = text.split("\n")
+    begins = [0]
+    for line in lines:
+        begins.append(begins[-1] + len(line) + 1)
+    spans = sorted((begins[a] + start, begins[b] + end, kind) for a, kind, start, b, end in find_lines(lines, range(len(lines)), range(len(lines)), lexicon))
+    out, at = [], 0
+    for start, end, kind in spans:
+        out += [text[at:start], PLACEHOLDERS[kind]]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def _found(texts: pa.Array, lexicon: Lexicon) -> list[tuple[int, str, str]]:
+    """``(row, kind, its characters)`` of everything found in some texts, each once per text."""
+    split = pc.split_pattern(texts, "\n")
+    lines, owner = split.flatten(), pc.list_parent_indices(split).to_pylist()
+    mask, cut_at = promising(lines, lexicon)
+    said = lines.to_pylist()
+    cut_at = [k for k in cut_at if k + 1 < len(said) and owner[k] == owner[k + 1]]
+    rows = {}
+    for a, kind, start, b, end in find_lines(said, np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist(), cut_at, lexicon):
+        rows[owner[a], kind, said[a][start:end] if a == b else f"{said[a][start:]}\n{said[b][:end]}"] = None
+    return list(rows)
+
+
+def _by_blocks(documents: DataFrame, known: Lexicon, terms: DataFrame, key: str, text: str, schema: str, work) -> DataFrame:
+    """``work(frame, lexicon)`` on blocks of documents, each with the terms of the lexicon that are in its texts.
+
+    The terms asked for by each block are joined to the lexicon, so no task holds more of
+    it than its documents have words.
+    """
+    blocks = max(1, -(-documents.count() // BLOCK_DOCUMENTS))
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("said"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"))
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for block, part in frame.groupby("block"):
+                yield pd.DataFrame({"block": block, "term": sorted(terms_of(part["said"], known))})
+
+    asked = rows.select("block", "said").mapInPandas(ask, "block bigint, term string").distinct()
+    hits = asked.join(terms, "term").select("block", "kind", "term")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return work(left[["key", "said"]], _with_terms(known, zip(right["kind"], right["term"])))
+
+    return rows.groupBy("block").cogroup(hits.groupBy("block")).applyInPandas(run, schema)
 
 
 def personal_information(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, pii_kind, pii_text`` of everything found, each once per document.
 
-    Null and empty texts give no rows. The lexicon goes to the tasks as a broadcast; it
-    grows with the vocabulary of names, not with the number of documents.
+    Null and empty texts give no rows. A lexicon of at most ``LEXICON_TERMS`` terms goes
+    to the tasks as a broadcast; a larger one is joined to blocks of documents, with the
+    same result. A name of two known parts may be cut by a line end; then its characters
+    are those on both lines and the line end between.
     """
-    shipped = documents.sparkSession.sparkContext.broadcast(learn(documents, name_parts, text))
+    known, terms, n = disclosed(documents, name_parts, text)
+    kind = dict(documents.dtypes)[key]
+    schema = f"`{key}` {kind}, pii_kind string, pii_text string"
+    said = documents.select(F.col(key), F.col(text)).where(F.col(text).isNotNull())
+    if n > LEXICON_TERMS:
+
+        def work(frame: pd.DataFrame, lexicon: Lexicon) -> pd.DataFrame:
+            keys = frame["key"].tolist()
+            return pd.DataFrame([(keys[at], kind, span) for at, kind, span in _found(pa.array(frame["said"], pa.string()), lexicon)], columns=[key, "pii_kind", "pii_text"])
+
+        return _by_blocks(said, known, terms, key, text, schema, work).distinct()
+    shipped = documents.sparkSession.sparkContext.broadcast(_with_terms(known, terms.collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shipped.value
         for batch in batches:
-            split = pc.split_pattern(batch.column(1), "\n")
-            lines, owner = split.flatten(), pc.list_parent_indices(split)
-            mask = promising(lines, lexicon)
-            rows = {(at, kind, line[start:end]): None for at, line in zip(owner.filter(mask).to_pylist(), lines.filter(mask).to_pylist()) for kind, start, end in find(line, lexicon)}
+            rows = _found(batch.column(1), shipped.value)
             keys = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=[key, "pii_kind", "pii_text"])
 
-    kind = dict(documents.dtypes)[key]
-    return spread(documents.select(F.col(key), F.col(text)).where(F.col(text).isNotNull())).mapInArrow(run, f"`{key}` {kind}, pii_kind string, pii_text string").distinct()
+    return spread(said).mapInArrow(run, schema).distinct()
 
 
 def sanitised(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, text`` of every row, with placeholders; null and empty texts stay as they are."""
-    shipped = documents.sparkSession.sparkContext.broadcast(learn(documents, name_parts, text))
+    known, terms, n = disclosed(documents, name_parts, text)
+    schema = f"`{key}` {dict(documents.dtypes)[key]}, `{text}` string"
+    if n > LEXICON_TERMS:
+        return _by_blocks(documents, known, terms, key, text, schema, lambda frame, lexicon: pd.DataFrame({key: frame["key"], text: [sanitise(t, lexicon) for t in frame["said"]]}))
+    shipped = documents.sparkSession.sparkContext.broadcast(_with_terms(known, terms.collect()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({key: frame.iloc[:, 0], text: [sanitise(t, shipped.value) for t in frame.iloc[:, 1]]})
 
-    kind = dict(documents.dtypes)[key]
-    return spread(documents.select(F.col(key), F.col(text))).mapInPandas(run, f"`{key}` {kind}, `{text}` string")
+    return spread(documents.select(F.col(key), F.col(text))).mapInPandas(run, schema)
