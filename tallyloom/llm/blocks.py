@@ -1,11 +1,13 @@
 """Headings, list items, code blocks and formulas of marked-up documents.
 
 Gradient-boosted trees judge every node of a document's tree by features of the tree: how
-dense its text is, its attribute tokens, its depth, and what its siblings are. They are
-fitted on a bounded sample of documents, on labels from the table of known headings and
-from the syntax. Hierarchical decoding then takes the most likely labels of the whole
-tree that don't contradict each other: nothing is listed inside code, formulas and
-tables, and a heading holds no blocks.
+dense its text is, its attribute tokens, its depth, and what its siblings are; the markup
+a node is written in isn't among them. They are fitted on a bounded sample of documents,
+on labels from the table of known headings and, for what has no such table, from the
+syntax. How far a piece of syntax is to be trusted is counted on the same sample, so
+syntax that the known headings don't bear out leaves the word to the trees. Hierarchical
+decoding then takes the most likely labels of the whole tree that don't contradict each
+other: nothing is listed inside code, formulas and tables, and a heading holds no blocks.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +33,13 @@ SAMPLE_DOCUMENTS = 400
 #: Rounds, depth, learning rate and bins of the trees.
 ROUNDS, DEPTH, RATE, BINS = 14, 3, 0.5, 32
 
+#: The trees say at most so much against a class, in natural logarithms: syntax that is right in more than 95 % of the sample stands.
+LOUDEST = 3.0
+
 CLASSES = ("other", *LISTED)
 _LANGUAGES = ("md", "html", "wiki", "tex", "front", "root")
-_FAMILIES = ("h", "li", "code", "math", "list", "text", "table", "hidden")
-_DETAILS, _TOKENS = 12, 6
+_TOKENS = 6
+_SIGNS = "=+-^_{}<>/|"
 
 
 def _bucket(token: str, size: int) -> int:
@@ -40,54 +47,47 @@ def _bucket(token: str, size: int) -> int:
 
 
 def node_features(root: Node) -> tuple[list[Node], list[int], np.ndarray]:
-    """The nodes of a tree, the place of each one's parent, and a row of features for each."""
-    nodes, parents, depths = [], [], []
-    places: dict[int, int] = {}
-    for node, depth in walk(root):
-        places[id(node)] = len(nodes)
+    """The nodes of a tree, the place of each one's parent, and a row of features for each.
+
+    Features: depth, children, nodes and text below, density of text, place among the
+    siblings and how many of them are alike, length, blanks, share of letters, signs and
+    ends of the whole text, attribute tokens, and the language of the markup.
+    """
+    nodes, parents, rows = [], [], []
+    todo = [(root, -1, 0, 0, 1, 1.0, False)]
+    while todo:
+        node, parent, depth, place, count, alike, twin = todo.pop()
+        at = len(nodes)
         nodes.append(node)
-        parents.append(-1)
-        depths.append(depth)
-        for child in node.children:
-            places[id(child)] = -1
-    for at, node in enumerate(nodes):
-        for child in node.children:
-            parents[places[id(child)]] = at
+        parents.append(parent)
+        said = node.text
+        size = len(said)
+        rows.append((
+            depth, len(node.children), 0.0, 0.0, 0.0, 0.0, place, count, alike, twin,
+            size, said.count(" "), sum(map(str.isalpha, said)) / max(1, size), said.count("\\"), sum(map(said.count, _SIGNS)) if size else 0, said[:1].isupper(), said[-1:] in ".!?:", len(node.attrs),
+        ))
+        if node.children:
+            total = len(node.children)
+            origins = Counter([x.origin for x in node.children])
+            before = ["", *[x.origin for x in node.children[:-1]]]
+            todo += [(child, at, depth + 1, k, total, origins[child.origin] / total, before[k] == child.origin) for k, child in reversed(list(enumerate(node.children)))]
     n = len(nodes)
-    below, text = np.ones(n), np.array([len(x.text) for x in nodes], dtype=float)
-    subtree = text.copy()
+    below, subtree = [1.0] * n, [float(r[10]) for r in rows]
     for at in range(n - 1, 0, -1):
         below[parents[at]] += below[at]
         subtree[parents[at]] += subtree[at]
-    spots: dict[int, tuple[int, int, Counter]] = {}
-    for node in [Node("", "", children=[root]), *nodes]:
-        origins = Counter(x.origin for x in node.children)
-        for k, child in enumerate(node.children):
-            spots[id(child)] = (k, len(node.children), origins)
-    rows = np.zeros((n, 18 + len(_LANGUAGES) + len(_FAMILIES) + _DETAILS + _TOKENS), dtype=np.float32)
+    out = np.zeros((n, 18 + len(_LANGUAGES) + _TOKENS), dtype=np.float32)
+    out[:, :18] = rows
+    out[:, 2], out[:, 3] = below, subtree
+    out[:, 4] = out[:, 3] / (np.array([x.raw for x in nodes]) + out[:, 3] + 1)
+    out[:, 5] = out[:, 2] / (out[:, 3] + 1)
     for at, node in enumerate(nodes):
-        said = node.text
-        size = max(1, len(said))
-        letters = sum(c.isalpha() for c in said[:400]) / min(size, 400)
-        place, count, origins = spots[id(node)]
-        twin = place > 0 and nodes[parents[at]].children[place - 1].origin == node.origin
-        rows[at, :18] = (
-            depths[at], len(node.children), below[at], subtree[at], subtree[at] / (node.raw + subtree[at] + 1), below[at] / (subtree[at] + 1),
-            place, count, origins[node.origin] / count, twin,
-            len(said), said.count(" "), letters, said.count("\\"), sum(c in "=+-^_{}<>/|" for c in said[:400]), said[:1].isupper(), said[-1:] in ".!?:", len(node.attrs),
-        )
-        language, _, rest = node.origin.partition(":")
-        family, _, detail = rest.partition(":")
-        at_language = 18
+        language = node.origin.partition(":")[0]
         if language in _LANGUAGES:
-            rows[at, at_language + _LANGUAGES.index(language)] = 1
-        if family in _FAMILIES:
-            rows[at, at_language + len(_LANGUAGES) + _FAMILIES.index(family)] = 1
-        at_detail = at_language + len(_LANGUAGES) + len(_FAMILIES)
-        rows[at, at_detail + _bucket(detail, _DETAILS)] = 1
+            out[at, 18 + _LANGUAGES.index(language)] = 1
         for token in node.attrs:
-            rows[at, at_detail + _DETAILS + _bucket(token, _TOKENS)] += 1
-    return nodes, parents, rows
+            out[at, 18 + len(_LANGUAGES) + _bucket(token, _TOKENS)] += 1
+    return nodes, parents, out
 
 
 class BoostedTrees:
@@ -173,6 +173,22 @@ _CLOSED = {CLASSES.index("code_block"), CLASSES.index("formula")}
 _HEADING, _FORMULA = CLASSES.index("heading"), CLASSES.index("formula")
 
 
+def _contradictory(nodes: list[Node], parents: list[int], classes: list[int]) -> bool:
+    """Whether classes taken one by one contradict each other somewhere in a tree."""
+    above = [0] * len(nodes)  # 0 free, 1 in a heading, 2 in code, formulas and tables
+    for at, c in enumerate(classes):
+        state = above[at] = _below(above[parents[at]], classes[parents[at]], nodes[parents[at]].kind) if at else 0
+        if c and (state == 2 or state == 1 and c != _FORMULA):
+            return True
+    return False
+
+
+def _below(state: int, c: int, kind: str) -> int:
+    if state == 2 or c in _CLOSED or kind in ("table", "hidden"):
+        return 2
+    return 1 if state == 1 or c == _HEADING else 0
+
+
 def decode(nodes: list[Node], parents: list[int], logs: np.ndarray) -> list[int]:
     """The most likely classes of a tree's nodes of which no ancestor and descendant contradict each other.
 
@@ -180,15 +196,16 @@ def decode(nodes: list[Node], parents: list[int], logs: np.ndarray) -> list[int]
     formulas and tables nothing that is listed.
     """
     n, classes = len(nodes), logs.shape[1]
+    likely = logs.argmax(axis=1).tolist()
+    if not _contradictory(nodes, parents, likely):
+        return likely
     free, inside, shut = 0, 1, 2
     best = np.zeros((n, 3))
     choice = np.zeros((n, 3), dtype=np.int32)
     gathered = np.zeros((n, 3))
 
     def state_below(at: int, state: int, c: int) -> int:
-        if state == shut or c in _CLOSED or nodes[at].kind in ("table", "hidden"):
-            return shut
-        return inside if state == inside or c == _HEADING else free
+        return _below(state, c, nodes[at].kind)
 
     for at in range(n - 1, -1, -1):
         for state in (free, inside, shut):
@@ -215,10 +232,49 @@ def weak_labels(root: Node, titles: set[str] | None) -> list[int]:
     return labels
 
 
-def fit_blocks(bodies: DataFrame, sections: DataFrame, key: str = "body_id", text: str = "body", sample: int = SAMPLE_DOCUMENTS) -> BoostedTrees | None:
-    """Trees fitted on the sample; None if there is nothing to fit them on.
+@dataclass
+class Judge:
+    """Fitted trees, and how often each piece of syntax was each class in the sample."""
+
+    trees: BoostedTrees
+    syntax: dict[str, list[float]]
+
+    def log_odds(self, trees: list[tuple[list[Node], list[int], np.ndarray]]) -> np.ndarray:
+        """The logarithm of each class's weight for each node of some documents: what the syntax says, and what the trees do."""
+        if not trees:
+            return np.zeros((0, len(CLASSES)))
+        said = np.array([self.syntax.get(node.origin) or _trusted(node.kind) for nodes, _, _ in trees for node in nodes])
+        return np.log(said) + np.maximum(self.trees.log_odds(np.concatenate([t[2] for t in trees])), -LOUDEST)
+
+
+def _trusted(kind: str, counts: list[int] | None = None) -> list[float]:
+    """The weight of each class: what was counted, and one more count for what the syntax says."""
+    own = CLASSES.index(kind) if kind in LISTED else 0
+    counts = counts or [0] * len(CLASSES)
+    total = sum(counts) + 1
+    return [max((n + (c == own)) / total, 1e-6) for c, n in enumerate(counts)]
+
 
-    At most ``sample`` documents and their headings come to the driver.
+def fit_judge(bodies: list[str], titles: list[set[str] | None]) -> Judge:
+    """A judge fitted on some bodies and the known headings of each, None where they aren't known."""
+    features, labels, counted = [], [], {}
+    for body, known in zip(bodies, titles):
+        root = parse(body)
+        nodes, _, rows = node_features(root)
+        said = weak_labels(root, known)
+        features.append(rows)
+        labels += said
+        for node, c in zip(nodes, said):
+            counted.setdefault((node.origin, node.kind), [0] * len(CLASSES))[c] += 1
+    trees = BoostedTrees(len(CLASSES)).fit(np.concatenate(features), np.array(labels))
+    return Judge(trees, {origin: _trusted(kind, counts) for (origin, kind), counts in counted.items()})
+
+
+def fit_blocks(bodies: DataFrame, sections: DataFrame, key: str = "body_id", text: str = "body", sample: int = SAMPLE_DOCUMENTS) -> Judge | None:
+    """A judge fitted on the sample; None if there is nothing to fit it on.
+
+    At most ``sample`` documents and their headings come to the driver. Documents without
+    any known heading say nothing about headings; theirs are taken from the syntax.
     """
     rows = bodies.where(F.col(key).isNotNull() & (F.trim(text) != "")).select(key, text).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(sample).collect()
     wanted = sorted({r[0] for r in rows})
@@ -226,24 +282,23 @@ def fit_blocks(bodies: DataFrame, sections: DataFrame, key: str = "body_id", tex
     if wanted:
         for r in sections.where(F.col(key).isin(wanted) & F.col("title").isNotNull()).select(key, "title").distinct().collect():
             titles.setdefault(r[0], set()).add(" ".join(r[1].split()))
-    features, labels = [], []
-    for body_id, body in dict((r[0], r[1]) for r in rows).items():
-        root = parse(body)
-        features.append(node_features(root)[2])
-        labels += weak_labels(root, titles.get(body_id))
-    return BoostedTrees(len(CLASSES)).fit(np.concatenate(features), np.array(labels)) if features else None
+    chosen = dict((r[0], r[1]) for r in rows)
+    return fit_judge(list(chosen.values()), [titles.get(k) for k in chosen]) if chosen else None
 
 
-def list_blocks(bodies: list[str | None], model: BoostedTrees) -> list[list[tuple[str, str]]]:
-    """``(block_kind, block_text)`` of each body, in order, without empty ones."""
+def _decoded(bodies: list[str | None], judge: Judge) -> Iterator[list[tuple[Node, str]]]:
+    """The nodes of each body in order, and the class of each."""
     trees = [node_features(parse(b)) for b in bodies]
-    logs = model.log_odds(np.concatenate([t[2] for t in trees])) if trees else np.zeros((0, len(CLASSES)))
-    out, at = [], 0
+    logs, at = judge.log_odds(trees), 0
     for nodes, parents, rows in trees:
         classes = decode(nodes, parents, logs[at : at + len(rows)])
         at += len(rows)
-        out.append([(CLASSES[c], node.text) for node, c in zip(nodes, classes) if c and node.text])
-    return out
+        yield [(node, CLASSES[c]) for node, c in zip(nodes, classes)]
+
+
+def list_blocks(bodies: list[str | None], judge: Judge) -> list[list[tuple[str, str]]]:
+    """``(block_kind, block_text)`` of each body, in order, without empty ones."""
+    return [[(kind, node.text) for node, kind in nodes if kind != "other" and node.text] for nodes in _decoded(bodies, judge)]
 
 
 def document_blocks(bodies: DataFrame, sections: DataFrame, key: str = "body_id", text: str = "body", sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
@@ -252,47 +307,51 @@ def document_blocks(bodies: DataFrame, sections: DataFrame, key: str = "body_id"
     Null and blank bodies give no rows; repeated rows of a body count once. Bodies are
     parsed whole, each by itself. An empty table gives an empty result.
     """
-    model = fit_blocks(bodies, sections, key, text, sample)
+    shipped = bodies.sparkSession.sparkContext.broadcast(fit_blocks(bodies, sections, key, text, sample))
     kind = dict(bodies.dtypes)[key]
-    schema = f"`{key}` {kind}, block_kind string, block_text string"
-    shipped = bodies.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            listed = list_blocks(frame.iloc[:, 1].tolist(), shipped.value)
-            yield pd.DataFrame([(k, *b) for k, blocks in zip(frame.iloc[:, 0], listed) for b in blocks], columns=[key, "block_kind", "block_text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = list_blocks(batch.column(1).to_pylist(), shipped.value)
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(listed)), [len(x) for x in listed])))
+            rows = [b for blocks in listed for b in blocks]
+            yield pa.RecordBatch.from_arrays([keys, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=[key, "block_kind", "block_text"])
 
     rows = bodies.where(F.col(key).isNotNull() & (F.trim(text) != "")).select(F.col(key), F.col(text))
-    return spread(rows).mapInPandas(run, schema).distinct()
+    return spread(rows).mapInArrow(run, f"`{key}` {kind}, block_kind string, block_text string").distinct()
 
 
 _MARKS = {"heading": "# {}", "list_item": "- {}", "code_block": "```\n{}\n```", "formula": "$$ {} $$"}
 
 
-def clean_text(body: str | None) -> str | None:
+def clean_text(nodes: list[tuple[Node, str]]) -> str:
     """A document as clean text: headings, list items, code blocks and set-off formulas marked in one plain way, rows of tables as lines."""
-    if body is None:
-        return None
     parts: list[str] = []
-
-    for node, _ in walk(parse(body)):
-        if node.kind == "formula" and not node.origin.endswith(("display", "fence", "env")):
+    for node, kind in nodes:
+        if kind == "formula" and not node.origin.endswith(("display", "fence", "env")):
             continue
-        if node.text and node.kind in _MARKS:
-            parts.append(_MARKS[node.kind].format(node.text))
-        elif node.text and node.kind == "paragraph":
+        if node.text and kind in _MARKS:
+            parts.append(_MARKS[kind].format(node.text))
+        elif node.text and node.kind in ("paragraph", "heading", "list_item", "code_block"):
             parts.append(node.text)
         elif node.rows:
             parts.append("\n".join(node.rows))
     return "\n\n".join(parts)
 
 
-def clean_documents(bodies: DataFrame, key: str = "body_id", text: str = "body") -> DataFrame:
-    """``key, clean`` of each distinct body: its clean text; null for null bodies, empty for blank ones."""
+def clean_documents(bodies: DataFrame, sections: DataFrame, key: str = "body_id", text: str = "body", sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """``key, clean`` of each distinct body: its clean text; null for null bodies, empty for blank ones.
+
+    What is marked as what is decoded as in ``document_blocks``.
+    """
+    shipped = bodies.sparkSession.sparkContext.broadcast(fit_blocks(bodies, sections, key, text, sample))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({key: frame.iloc[:, 0], "clean": [clean_text(t) for t in frame.iloc[:, 1]]})
+            said = frame.iloc[:, 1].tolist()
+            judge = shipped.value
+            clean = [clean_text(nodes) for nodes in _decoded(said, judge)] if judge is not None else [""] * len(said)
+            yield pd.DataFrame({key: frame.iloc[:, 0], "clean": [None if t is None else c for t, c in zip(said, clean)]})
 
     kind = dict(bodies.dtypes)[key]
     return spread(bodies.where(F.col(key).isNotNull()).select(F.col(key), F.col(text))).mapInPandas(run, f"`{key}` {kind}, clean string").distinct()

@@ -40,6 +40,11 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
+def _masked(source: str) -> str:
+    """A document without what can't be markup of its own."""
+    return _MASKED.sub("\n", source) if "`" in source or "~~~" in source or "<" in source or "\\begin" in source else source
+
+
 #: Where a row and a cell of a table begin; both are white space.
 ROW, CELL = "\x1d", "\x1f"
 
@@ -64,6 +69,8 @@ class Kept:
         return f"{CODE_KEPT}{len(self.pieces) - 1}{KEPT_END}"
 
     def restore(self, text: str) -> str:
+        if CODE_KEPT not in text:
+            return text
         before = None
         while before != text:
             before, text = text, _KEPT.sub(lambda m: self.pieces[int(m[1])], text)
@@ -86,6 +93,8 @@ def _attrs(said: str) -> dict[str, str]:
 
 def take_math(text: str, kept: Kept, into: Node, origin: str, pattern: re.Pattern = _HTML_MATH) -> str:
     """``text`` with its formulas kept aside, each a node below ``into``."""
+    if "$" not in text and "\\" not in text and "<" not in text:
+        return text
 
     def found(m: re.Match) -> str:
         source = squeeze(kept.restore(next(g for g in m.groups() if g is not None)))
@@ -95,6 +104,10 @@ def take_math(text: str, kept: Kept, into: Node, origin: str, pattern: re.Patter
     return pattern.sub(found, text)
 
 
+_ENTITY = re.compile(r"&#?\w+;")
+_H = frozenset(f"h{k}" for k in range(1, 7))
+
+
 def parse_html(source: str, root: Node, origin: str = "html") -> None:
     """The blocks of an HTML fragment, below ``root``."""
     stack: list[tuple[str, Node, list]] = [("", root, [])]
@@ -134,8 +147,7 @@ def parse_html(source: str, root: Node, origin: str = "html") -> None:
             stack[-1][2].append(kept.put(html.unescape(said)))
         else:
             # an escaped sign is no delimiter of a formula
-            said = re.sub(r"&#?\w+;", lambda m: kept.put(html.unescape(m[0])), said)
-            stack[-1][2].append(said)
+            stack[-1][2].append(_ENTITY.sub(lambda m: kept.put(html.unescape(m[0])), said) if "&" in said else said)
 
     at = 0
     for m in _TAG.finditer(source):
@@ -178,10 +190,10 @@ def parse_html(source: str, root: Node, origin: str = "html") -> None:
         elif name == "pre":
             if not closing:
                 pre, pre_attrs = [], tokens
-        elif re.fullmatch(r"h[1-6]", name):
+        elif name in _H:
             if closing:
-                if any(re.fullmatch(r"h[1-6]", n) for n in open_names()):
-                    pop_to([n for n in open_names() if re.fullmatch(r"h[1-6]", n)][-1:])
+                if any(n in _H for n in open_names()):
+                    pop_to([n for n in open_names() if n in _H][-1:])
                     close_text(stack.pop())
             else:
                 pop_to([n for n in open_names() if n in ("", "li", "td", "th", "div", "section", "article", "main", "body", "blockquote")])
@@ -224,7 +236,7 @@ def parse_html(source: str, root: Node, origin: str = "html") -> None:
                     stack[-1][2].append(" ")
             elif stack[-1][0] in ("li", "p"):
                 stack[-1][2].append(" ")
-            elif not re.fullmatch(r"h[1-6]", stack[-1][0]):
+            elif stack[-1][0] not in _H:
                 stack.append((name, stack[-1][1].add(Node("paragraph", f"{origin}:text:p", "", len(m[0]), tokens)), []))
         elif name in _BLOCK_TAGS:
             stack[-1][2].append(" ")
@@ -247,6 +259,7 @@ _MD_TOKEN = re.compile(
     r"|(?P<entity>&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)",
     re.S,
 )
+_MD_SIGNS = re.compile(r"[\\`*_\[\]<&!$~]")
 _MD_IMAGE = re.compile(r"!\[([^\[\]]*)\](?:\([^()]*(?:\([^()]*\)[^()]*)*\)|\[[^\[\]]*\])?")
 _MD_WIKI = re.compile(r"\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]")
 _MD_LINK = re.compile(r"\[([^\[\]]*)\]\(\s*(?:<[^<>]*>|[^()\s]*(?:\([^()]*\)[^()\s]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
@@ -259,6 +272,8 @@ _MD_STRIKE = re.compile(r"~~(?=\S)(.+?)(?<=\S)~~", re.S)
 
 def md_inline(source: str, node: Node, refs: frozenset[str] | set[str] = frozenset(), origin: str = "md") -> str:
     """The text a reader sees; formulas become nodes below ``node``."""
+    if not _MD_SIGNS.search(source):
+        return squeeze(source)
     kept = Kept()
 
     def token(m: re.Match) -> str:
@@ -316,7 +331,7 @@ _MD_HTML = re.compile(r"^ {0,3}</?(?P<name>[A-Za-z][A-Za-z0-9-]*)(?=[\s/>])|^ {0
 _HTML_START = frozenset(_BLOCK_TAGS | {"iframe", "link", "meta", "base", "caption", "col", "colgroup", "legend", "optgroup", "option", "param", "source", "track", "math", "video"})
 
 #: The line below a table's head.
-_MD_RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+_MD_TABLE_RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 
 
 def _columns(blank: str) -> int:
@@ -504,7 +519,7 @@ def parse_markdown(source: str, root: Node) -> None:
             node = root.add(Node("table", "md:table:table", "", len(line)))
             while i < len(lines) and "|" in lines[i] and lines[i].strip():
                 node.raw += len(lines[i])
-                if not _MD_RULE.match(lines[i]):
+                if not _MD_TABLE_RULE.match(lines[i]):
                     said = re.sub(r"(?<!\\)\|", CELL, lines[i]).replace("\\|", "|")
                     node.rows += table_rows(said, lambda cell: md_inline(cell, Node("", ""), refs))
                 i += 1
@@ -546,6 +561,7 @@ def parse_markdown(source: str, root: Node) -> None:
 # --- wiki markup ------------------------------------------------------------------------------------
 
 _WIKI_CODE = re.compile(r"<(syntaxhighlight|source|pre)(?P<attrs>(?:\s[^>]*)?)>(?P<said>.*?)</\1\s*>", re.S | re.I)
+_WIKI_SIGNS = re.compile(r"[<\[{&_]|''")
 _WIKI_HEADING = re.compile(r"^(={1,6})(.+?)(={1,6})\s*((?:<!--.*?-->\s*)*)$")
 _WIKI_MATH = re.compile(r"<(?:math|chem)(?:\s[^>]*)?>(?P<a>.*?)</(?:math|chem)\s*>", re.S | re.I)
 _WIKI_FILE = re.compile(r"\[\[\s*(?:File|Image|Datei|Fichier|Archivo|Media)\s*:([^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*)\]\]", re.I)
@@ -562,6 +578,8 @@ def _wiki_picture(m: re.Match) -> str:
 
 def wiki_inline(source: str, node: Node) -> str:
     """The text a reader sees of a line of wiki markup."""
+    if not _WIKI_SIGNS.search(source):
+        return squeeze(source)
     kept = Kept()
     text = source
     text = re.sub(r"<nowiki>(.*?)</nowiki>", lambda m: kept.put(html.unescape(m[1])), text, flags=re.S | re.I)
@@ -702,6 +720,7 @@ _TEX_TOKEN = re.compile(
 )
 _TEX_DROP = frozenset("label ref eqref pageref autoref cref Cref cite citep citet index vspace hspace includegraphics footnote footnotetext thanks pagestyle thispagestyle setlength bibliography bibliographystyle input include usepackage documentclass title author date newcommand renewcommand".split())
 _TEX_SIGNS = {"textbackslash": "\\", "ldots": "…", "dots": "…", "textasciitilde": "~", "textasciicircum": "^", "quad": " ", "qquad": " ", "newline": " ", "par": " ", "LaTeX": "LaTeX", "TeX": "TeX", "textendash": "–", "textemdash": "—", "S": "§", "copyright": "©", "ss": "ß", "textless": "<", "textgreater": ">", "textbar": "|", "textunderscore": "_", "space": " "}
+_TEX_SIGNS_IN = re.compile(f"[\\\\{{}}~`{PLACED}{CODE_KEPT}]|--|''")
 _TEX_ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
 
 
@@ -721,6 +740,8 @@ def _braced(text: str, at: int) -> int:
 
 def tex_inline(source: str, formulas: list[Node]) -> str:
     """The text a reader sees of LaTeX, without blocks."""
+    if not _TEX_SIGNS_IN.search(source):
+        return squeeze(source)
     kept = Kept()
     text = re.sub(r"\\verb\*?([^\sA-Za-z*])(.*?)\1", lambda m: kept.put(m[2]), source)
     text = re.sub(f"{PLACED}f(\\d+){KEPT_END}", lambda m: kept.put(formulas[int(m[1])].text), text)
@@ -900,22 +921,48 @@ def parse_latex(source: str, root: Node) -> None:
 
 _MASKED = re.compile(r"(?ms)^ {0,3}(`{3,}|~{3,}).*?(?:^ {0,3}\1[`~]*[ \t]*$|\Z)|<(pre|syntaxhighlight|source|style|script)\b.*?(?:</\2\s*>|\Z)|\\begin\{(verbatim|lstlisting|minted|Verbatim)\}.*?\\end\{\3\}|<!--.*?(?:-->|\Z)")
 _TEX_SIGNALS = re.compile(r"(?m)\\(?:documentclass|usepackage|(?:sub)*section\*?\s*[\[{]|begin\{|end\{|item\b|chapter\*?\{|textbf\{|emph\{|texttt\{|href\{|verb\b|label\{)")
-_WIKI_SIGNALS = re.compile(r"(?m)^={1,6}[^=\n].*?=+[ \t]*$|^\{\||^\|\}|'''?[^'\n]+'''?|\[https?://\S+ [^\]\n]*\]|^\*\*+[^*\n]+$|^:+<math|<math>|<nowiki>|^[*#]+[^\s*#`!-]|\{\{[^}\n]+\}\}")
-_MD_SIGNALS = re.compile(r"(?m)^ {0,3}#{1,6} [^\n]*$|\]\([^)\n]*\)|\*\*[^*\n]+\*\*|__[^_\n]+__|~~[^~\n]+~~|^ {0,3}(?:\d+[.)]|[-+]) +\S|^ {0,3}(?:=+|-{3,})[ \t]*$|^\|[-:| ]+\|$|(?<!`)`[^`\n]+`")
+# Signs of wiki markup and Markdown: at the start of a line, by its first sign, and inside lines, by what they can't be without.
+_WIKI_STARTS = {
+    "=": re.compile(r"={1,6}[^=\n].*?=+[ \t]*$"), "{": re.compile(r"\{\|"), "|": re.compile(r"\|\}"), ":": re.compile(r":+<math"), "*": re.compile(r"\*\*+[^*\n]+$|[*#]+[^\s*#`!-]"), "#": re.compile(r"[*#]+[^\s*#`!-]"),
+}
+_WIKI_INSIDE = (("''", re.compile(r"'''?[^'\n]+'''?")), ("[http", re.compile(r"\[https?://\S+ [^\]\n]*\]")), ("<math>", re.compile("<math>")), ("<nowiki>", re.compile("<nowiki>")), ("{{", re.compile(r"\{\{[^}\n]+\}\}")))
+_MD_STARTS = {
+    "#": re.compile(r"#{1,6} "), "=": re.compile(r"=+[ \t]*$"), "-": re.compile(r"- +\S|-{3,}[ \t]*$"), "+": re.compile(r"\+ +\S"), "|": re.compile(r"\|[-:| ]+\|$"), **dict.fromkeys("0123456789", re.compile(r"\d+[.)] +\S")),
+}
+_MD_INSIDE = (("](", re.compile(r"\]\([^)\n]*\)")), ("**", re.compile(r"\*\*[^*\n]+\*\*")), ("__", re.compile(r"__[^_\n]+__")), ("~~", re.compile(r"~~[^~\n]+~~")), ("`", re.compile(r"(?<!`)`[^`\n]+`")))
+
+
+def _signs(bare: str) -> tuple[int, int]:
+    """How many signs of wiki markup and of Markdown a text has."""
+    wiki = sum(len(pattern.findall(bare)) for sign, pattern in _WIKI_INSIDE if sign in bare)
+    md = sum(len(pattern.findall(bare)) for sign, pattern in _MD_INSIDE if sign in bare)
+    for line in bare.split("\n"):
+        if line and (pattern := _WIKI_STARTS.get(line[0])) and pattern.match(line):
+            wiki += 1
+        said = line.lstrip(" ") if line[:1] == " " else line
+        if said and len(line) - len(said) < 4 and (pattern := _MD_STARTS.get(said[0])) and pattern.match(said):
+            md += 1
+    return wiki, md
+
+
 _WIKI_CODES = re.compile(r"<(?:syntaxhighlight|source)\b", re.I)
 
 
 def host_markup(source: str) -> str:
-    """tex, wiki or md: the markup that a document's blocks are written in; HTML is read as part of md."""
-    bare = _MASKED.sub("\n", source)
-    tex = len(_TEX_SIGNALS.findall(bare)) + 2 * len(re.findall(r"\\begin\{(?:verbatim|lstlisting|minted)\}", source)) * (r"\section" in bare or r"\begin{document}" in source)
-    wiki_heads = len(re.findall(r"(?m)^={1,6}[^=\n].*?[^=\n]?={1,6}[ \t]*(?:<!--.*)?$", bare))
-    wiki = len(_WIKI_SIGNALS.findall(bare)) + 2 * len(_WIKI_CODES.findall(source)) + 2 * wiki_heads
+    """tex, wiki or md: the markup that most of a document's blocks are written in; HTML is read as part of md."""
+    bare = _masked(source)
+    tex = 0
+    if "\\" in source:
+        tex = len(_TEX_SIGNALS.findall(bare)) + 2 * len(_TEX_CODE_BEGINS.findall(source)) * (r"\section" in bare or r"\begin{document}" in source)
+    wiki_heads = len(_WIKI_HEADS.findall(bare)) if "=" in bare else 0
+    wiki_codes = len(_WIKI_CODES.findall(source)) if "<" in source else 0
+    wiki, md = _signs(bare)
+    wiki += 2 * wiki_codes + 2 * wiki_heads
     # number signs start list items in wiki markup and headings in Markdown
-    md = len(_MD_SIGNALS.findall(bare)) + 2 * len(re.findall(r"(?m)^ {0,3}(?:`{3,}|~{3,})", source)) // 2
-    if wiki_heads or _WIKI_CODES.search(source):
-        md -= len(re.findall(r"(?m)^# [^\n]*$", bare))
-    markup = len(re.findall(r"(?m)^\s*<(?:h[1-6]|p|ul|ol|li|pre|div|table)\b", source, re.I))
+    md += 2 * (len(_FENCE_LINES.findall(source)) if "```" in source or "~~~" in source else 0) // 2
+    if wiki_heads or wiki_codes:
+        md -= len(_NUMBER_LINES.findall(bare))
+    markup = len(_HTML_LINES.findall(source)) if "<" in source else 0
     if tex > max(wiki, md, markup):
         return "tex"
     if wiki > max(md, 0) and wiki > markup:
@@ -923,22 +970,73 @@ def host_markup(source: str) -> str:
     return "md"
 
 
+_TEX_CODE_BEGINS = re.compile(r"\\begin\{(?:verbatim|lstlisting|minted)\}")
+_WIKI_HEADS = re.compile(r"(?m)^={1,6}[^=\n].*?[^=\n]?={1,6}[ \t]*(?:<!--.*)?$")
+_FENCE_LINES = re.compile(r"(?m)^ {0,3}(?:`{3,}|~{3,})")
+_NUMBER_LINES = re.compile(r"(?m)^# [^\n]*$")
+_HTML_LINES = re.compile(r"(?mi)^\s*<(?:h[1-6]|p|ul|ol|li|pre|div|table)\b")
+
+# What can only be a block of another markup than that of the document around it.
+_WIKI_BLOCK = r"^={2,6}[ \t]*[^=\s][^=\n]*[^=\n]={2,6}[ \t]*$"
+_TEX_BLOCK = r"^[ \t]*\\(?:chapter|(?:sub){0,2}section)\*?\{[^\n]*\}[ \t]*$|^[ \t]*\\begin\{(?P<env>itemize|enumerate|description|verbatim|lstlisting|minted)\}(?s:.*?)\\end\{(?P=env)\}[ \t]*$"
+_FENCE_BLOCK = r"^ {0,3}(?P<fence>`{3,}|~{3,})[^`\n]*\n(?s:.*?)^ {0,3}(?P=fence)[`~]*[ \t]*$"
+_FOREIGN = {
+    "md": (("wiki", re.compile(rf"(?m){_WIKI_BLOCK}"), "=="), ("tex", re.compile(rf"(?m){_TEX_BLOCK}"), "\\")),
+    "wiki": (("tex", re.compile(rf"(?m){_TEX_BLOCK}"), "\\"), ("md", re.compile(rf"(?m)(?:^#{{1,6}} [^\n]*\n\n?)*(?:^- \S[^\n]*(?:\n|\Z))+|{_FENCE_BLOCK}"), "")),
+    "tex": (("md", re.compile(rf"(?m)^#{{1,6}}[ \t]+\S[^\n]*$|{_FENCE_BLOCK}"), ""), ("wiki", re.compile(rf"(?m){_WIKI_BLOCK}"), "==")),
+}
+
+
+_WITHOUT_TEX = re.compile(r"(?:\n(?![#=`~])[^\\$%\n]*(?=\n|\Z))*")
+
+
+def segments(source: str, host: str) -> list[tuple[str, str]]:
+    """``(markup, text)`` of a document block by block: blocks that can only be of another markup, and those of its host between them.
+
+    Nothing inside code, comments and the like is cut out.
+    """
+    found = [(m.start(), m.end(), markup) for markup, pattern, sign in _FOREIGN[host] if sign in source for m in pattern.finditer(source)]
+    if not found:
+        return [(host, source)]
+    masked = [m.span() for m in _MASKED.finditer(source)]
+    out, at = [], 0
+    for start, end, markup in sorted(found):
+        whole = [(a, b) for a, b in masked if a < end and start < b]
+        if start < at or any(not (start <= a and b <= end + 1) for a, b in whole):
+            continue
+        if host == "tex" and not whole:
+            # what follows a heading of another markup is of that markup too, as long as no line has a sign of LaTeX
+            end = _WITHOUT_TEX.match(source, end).end()
+        out += [(host, source[at:start]), (markup, source[start:end])]
+        at = end
+    out.append((host, source[at:]))
+    return [(markup, text) for markup, text in out if text.strip()]
+
+
 def parse(body: str | None) -> Node:
     """The tree of a document; a root without children for null and blank ones."""
     root = Node("root", "root")
     if not body or not body.strip():
         return root
     source = body.replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff")
-    for sign in (CODE_KEPT, KEPT_END, PLACED):
-        source = source.replace(sign, "")
+    # signs the parsers use themselves are others while they work
+    taken = [sign for sign in (CODE_KEPT, KEPT_END, PLACED) if sign in source]
+    others = [c for c in map(chr, range(0xF0000, 0xF0000 + len(source) + 3)) if c not in source][: len(taken)] if taken else []
+    if taken:
+        source = source.translate({ord(a): b for a, b in zip(taken, others)})
     front = re.match(r"\s*---[ \t]*\n(.*?\n)?(?:---|\.\.\.)[ \t]*(?:\n|\Z)", source, re.S)
     if front and (front[1] is None or re.search(r"(?m)^[\w-]+[ \t]*:", front[1])):
         root.add(Node("hidden", "front:hidden:matter", "", len(front[0])))
         source = source[front.end() :]
     host = host_markup(source)
-    {"tex": parse_latex, "wiki": parse_wiki, "md": parse_markdown}[host](source, root)
+    for markup, text in segments(source, host):
+        {"tex": parse_latex, "wiki": parse_wiki, "md": parse_markdown}[markup](text, root)
     root.origin = f"root:{host}"
     root.raw = len(source)
+    if taken:
+        back = {ord(b): a for a, b in zip(taken, others)}
+        for node, _ in walk(root):
+            node.text, node.rows = node.text.translate(back), [r.translate(back) for r in node.rows]
     return root
 
 

@@ -49,6 +49,9 @@ LEAST_INTRODUCED = 0.25
 #: A word before so many numbers that identity numbers follow it more rarely than any word tells of a thing.
 THING_SUPPORT = 20
 
+#: Name parts up to which lines are first tested by one pattern of all of them; the automaton alone gives the same.
+FEW_PARTS = 5_000
+
 #: Terms of the lexicon up to which it is brought to the tasks whole; a larger one is joined to blocks of documents.
 LEXICON_TERMS = 1_000_000
 #: Documents of such a block.
@@ -174,7 +177,14 @@ class Lexicon:
     things: set[str] = field(default_factory=lambda: set(THINGS.split("|")))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "scanner"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("scanner", "any_part")}
+
+    def pattern(self) -> str:
+        """A pattern that is in every line with a name part, in any letter case."""
+        if "any_part" not in self.__dict__:
+            written = {w for p in self.given | self.family or {"\0"} for w in (p, unicodedata.normalize("NFD", p))}
+            self.__dict__["any_part"] = "(?i:" + "|".join(re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", w) for w in sorted(written)) + ")"
+        return self.__dict__["any_part"]
 
     def anchors(self, text: str) -> Iterator[tuple[int, int, str]]:
         """``(start, end, part)`` of each name part in a text, as a whole word in any letter case."""
@@ -370,18 +380,29 @@ def _issued(number: str) -> bool:
     return bool(re.search("[1-9]", number)) and not (groups and "0" * len(groups[1]) in groups.groups() or groups and groups[2] == "0000")
 
 
+# Words that only say that a number follows.
+_NUMBER_WORDS = frozenset(("no", "nr", "number", "num", "nummer", "numéro", "número", "id"))
+
+
 def word_before(text: str, start: int) -> str:
-    """The word that stands before a number, folded; empty if none does. Words that only say number are passed over."""
-    low = _back(text, start, 4)
-    hit = _WORD_BEFORE.search(text[low:start])
-    if hit and fold(hit[1]) in _NUMBER_WORDS and (further := _WORD_BEFORE.search(text[low : low + hit.start()])):
-        hit = further
-    return fold(hit[1]) if hit else ""
+    """The word that stands before a number, at most three signs away, folded; empty if none does. Words that only say number are passed over."""
+    at, word = start, ""
+    for _ in range(2):
+        signs = 0
+        while at and signs < 3 and not (text[at - 1].isalnum() or text[at - 1] == "_"):
+            at, signs = at - 1, signs + 1
+        end = at
+        while at and text[at - 1].isalpha():
+            at -= 1
+        if at == end:
+            break
+        word = fold(text[at:end])
+        if word not in _NUMBER_WORDS:
+            break
+    return word
 
 
-_NUMBER_WORDS = frozenset(("no", "nr", "number", "num", "nummer", "numéro", "número", "id"))
-_WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,3}$")
-_NUMBERED = re.compile(r"([^\W\d_]{2,})[^\w\n]{1,3}(?:[A-Z]{1,2} ?)?(?=\d)")
+_NUMBER_STARTS = re.compile(r"\d(?<![\w.:/,-]\d)")
 
 
 def number_spans(text: str) -> Iterator[tuple[str, int, int, bool]]:
@@ -470,20 +491,23 @@ def promising(lines: pa.Array, lexicon: Lexicon) -> tuple[pa.Array, list[int]]:
     that is found is kept back.
     """
     mask = pc.or_(pc.match_substring_regex(lines, _RE2_SHAPES), pc.match_substring_regex(lines, rf"\p{{Lu}}\.{_RE2_GAP}\p{{L}}"))
-    said = lines.to_pylist()
+    # few parts fit into one more pattern, which is quicker and lets through all that the automaton finds
+    few = len(lexicon.given) + len(lexicon.family) <= FEW_PARTS
+    places = np.flatnonzero(pc.match_substring_regex(lines, lexicon.pattern()).to_numpy(zero_copy_only=False)) if few else np.arange(len(lines))
+    said = lines.take(pa.array(places)).to_pylist()
     text = "\n".join(said)
     starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in said]))).astype(np.int64)
     hits, ends = [], []
     for start, end, part in lexicon.anchors(text):
         if _worth(text, start, end, part, lexicon):
             hits.append(start)
-        if (near := text.find("\n", end, end + 6)) >= 0 and text[start].isupper() and not text[end:near].strip(" \r,.ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        if ((near := text.find("\n", end, end + 6)) >= 0 or (near := len(text)) - end < 6) and text[start].isupper() and not text[end:near].strip(" \r,.ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
             ends.append(start)
     if hits:
-        flags = np.zeros(len(said), dtype=bool)
-        flags[np.searchsorted(starts, np.array(hits), side="right") - 1] = True
+        flags = np.zeros(len(lines), dtype=bool)
+        flags[places[np.searchsorted(starts, np.array(hits), side="right") - 1]] = True
         mask = pc.or_(mask, pa.array(flags))
-    return mask, sorted(set((np.searchsorted(starts, np.array(ends, dtype=np.int64), side="right") - 1).tolist()))
+    return mask, sorted(set(places[np.searchsorted(starts, np.array(ends, dtype=np.int64), side="right") - 1].tolist())) if ends else []
 
 
 # --- pass one: what terms disclose ------------------------------------------------------------------
@@ -583,8 +607,8 @@ def term_disclosure(documents: DataFrame, known: Lexicon, text: str = "text") ->
             tokens = pc.value_counts(pc.split_pattern(lines, " ").flatten())
             counts.update(count_words(zip(tokens.field("values").to_pylist(), tokens.field("counts").to_pylist())))
             counts.update(count_terms(lines.filter(promising(lines, known)[0]).to_pylist(), known))
-            for line in lines.filter(pc.match_substring_regex(lines, r"\pL[^\pL\pN_]{1,3}(?:[A-Z]{1,2} ?)?[0-9]")).to_pylist():
-                counts.update(("thing", fold(m[1]), False) for m in _NUMBERED.finditer(line))
+            for line in lines.filter(pc.match_substring_regex(lines, "[0-9]")).to_pylist():
+                counts.update(("thing", word, False) for m in _NUMBER_STARTS.finditer(line) if (word := word_before(line, m.start())))
         rows = [(kind, term, n if hit else 0, n) for (kind, term, hit), n in counts.items()]
         kinds, terms, beside, n = zip(*rows) if rows else ((), (), (), ())
         columns = [pa.array(kinds, pa.string()), pa.array(terms, pa.string()), pa.array(beside, pa.int64()), pa.array(n, pa.int64())]

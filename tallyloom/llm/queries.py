@@ -19,7 +19,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
-    return clean_documents(table(spark, d, "doc_bodies"))
+    return clean_documents(table(spark, d, "doc_bodies"), table(spark, d, "sections"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

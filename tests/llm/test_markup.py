@@ -1,6 +1,7 @@
 import pytest
 
-from tallyloom.llm.blocks import CLASSES, BoostedTrees, clean_text, decode, document_blocks, node_features, weak_labels
+from tallyloom.llm.blocks import CLASSES, BoostedTrees, clean_documents, decode, document_blocks, fit_judge, list_blocks, node_features, weak_labels
+from tallyloom.llm.blocks import clean_text as clean_nodes
 from tallyloom.llm.markup import LISTED, parse, walk
 
 
@@ -8,6 +9,10 @@ def listed(body):
     return [(n.kind, n.text) for n, _ in walk(parse(body)) if n.kind in LISTED]
 
 
+def clean_text(body):
+    return clean_nodes([(n, n.kind if n.kind in LISTED else "other") for n, _ in walk(parse(body))])
+
+
 H, L, C, F = "heading", "list_item", "code_block", "formula"
 MD = """---
 type: sop
@@ -136,12 +141,15 @@ def test_blocks_in_spark(spark):
     want = {(k, *b) for k, body, _ in rows[:20] for b in listed(body)}
     assert len(got) == len(set(got)) and len(want - set(got)) <= 0.02 * len(want) and set(got) <= want
     assert document_blocks(bodies.limit(0), sections).collect() == []
+    clean = {r["body_id"]: r["clean"] for r in clean_documents(bodies, sections).collect()}
+    assert clean[50] is None and clean[51] == "" and clean[0] == clean_text(MD) and len(clean) == 22
+    assert {r["body_id"]: r["clean"] for r in clean_documents(bodies.where("body_id > 49"), sections).collect()} == {50: None, 51: ""}
 
 
 def test_clean_text_keeps_structure():
     said = clean_text(MD)
     assert said.startswith("# A b pic link lab") and "- two & 3_4" in said and "```\n# no heading" in said and "$$ x \\in S $$" in said and "old" not in said
-    assert clean_text(None) is None and clean_text("") == ""
+    assert clean_text(None) == "" and clean_text("") == ""
 
 
 def test_clean_text_keeps_the_words_of_tables():
@@ -151,3 +159,25 @@ def test_clean_text_keeps_the_words_of_tables():
     assert wiki == "# T\n\ncap\nh1 | h2\na | b\nc more\n\nend"
     tex = clean_text("\\section{T}\n\\begin{tabular}{l|c}\n\\hline a & \\textbf{b} \\\\\n\\multicolumn{2}{c}{d \\& e} \\\\ \\cline{1-2}\n$x$ & 5\\% \\\\\n\\end{tabular}\nend")
     assert tex == "# T\n\na | b\nd & e\nx | 5%\n\nend"
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("# A\n- b\n\n== Wiki ==\n\n* c", [(H, "A"), (L, "b"), (H, "Wiki"), (L, "c")]),
+        ("== W ==\n\n'''x'''\n\n* a\n\n\\section{Tex \\emph{t}}\n\n\\begin{itemize}\n\\item one\n\\end{itemize}", [(H, "W"), (L, "a"), (H, "Tex t"), (L, "one")]),
+        ("\\section{One}\n\\textbf{x} \\emph{y}\n\n## Md head\n\n```\n\\section{no}\n```\n\n\\section{Two}", [(H, "One"), (H, "Md head"), (C, "\\section{no}"), (H, "Two")]),
+        ("# Md\n\n- a\n\n\\begin{verbatim}\n== no ==\n\\end{verbatim}\n\n```\n== no ==\n\\section{no}\n```\n\n**b**\n", [(H, "Md"), (L, "a"), (C, "== no =="), (C, "== no == \\section{no}")]),
+        ("a\n\n***\n\n- x\n\n* * *\n\n_ _ _\n\n- y", [(L, "x"), (L, "y")]),
+        ("# sign \ue000 and \ue001 \ue002\n\n- `\ue0001\ue001`", [(H, "sign \ue000 and \ue001 \ue002"), (L, "\ue0001\ue001")]),
+    ],
+)
+def test_mixed_markup_block_by_block(body, want):
+    assert sorted(listed(body)) == sorted(want)
+
+
+def test_trees_have_the_word_where_syntax_is_not_borne_out():
+    bodies = [f"# Real {k}\n\nsome words here\n\nMaybe {k}\n=======\n\n- an item\n" for k in range(30)]
+    judge = fit_judge(bodies, [{f"Real {k}"} for k in range(30)])
+    assert set(list_blocks([bodies[3]], judge)[0]) == {(H, "Real 3"), (L, "an item")}
+    assert set(list_blocks([bodies[3]], fit_judge(bodies, [None] * 30))[0]) == {(H, "Real 3"), (H, "Maybe 3"), (L, "an item")}
