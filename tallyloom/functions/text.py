@@ -38,16 +38,30 @@ def plugin_kebab(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.replace(slug(c), F.lit("_"), F.lit("-")), "-+", "-"), "^-+|-+$", "")
 
 
+# Fixed value: the form of a wiki link.
+_WIKI_LINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
+
+
 def wikilinks(c: Column) -> Column:
     """The targets of ``[[target|label]]`` links, trimmed, each once, in the order of their first appearance."""
-    found = F.regexp_extract_all(c, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), 1)
+    found = F.regexp_extract_all(c, F.lit(_WIKI_LINK), 1)
     return F.array_distinct(F.filter(F.transform(found, strip), lambda t: t != ""))
 
 
+# Words in double braces that are helpers, not names.
+HELPERS = ("now", "each", "unless", "if", "with")
+
+
 def placeholders(c: Column) -> Column:
-    """The names in double braces, first word of each, each once."""
-    found = F.regexp_extract_all(c, F.lit(r"\{\{\s*([A-Za-z_][A-Za-z0-9_.]*)[^}]*\}\}"), 1)
-    return F.array_distinct(found)
+    """The names in double braces, each once.
+
+    A block helper such as ``{{#each items}}`` names its first argument, ``{{/each}}``
+    nothing, and a plain helper isn't a name. Nothing may stand between braces and name.
+    """
+    found = F.regexp_extract_all(c, F.lit(r"\{\{([#/]?[^}#/\s]+(?:\s+[^}]+)?)\}\}"), 1)
+    words = F.transform(found, lambda x: F.split(F.trim(x), r"\s+"))
+    named = F.transform(words, lambda w: F.when(w[0].startswith("#"), F.try_element_at(w, F.lit(2))).when(~w[0].startswith("/") & ~w[0].isin(*HELPERS), w[0]))
+    return F.array_distinct(F.array_compact(named))
 
 
 def front_keys(c: Column) -> Column:
@@ -88,17 +102,44 @@ def template_vars(c: Column) -> Column:
     return F.map_from_entries(F.reverse(F.aggregate(F.reverse(pairs), F.array().cast("array<struct<k:string,v:string>>"), lambda acc, x: F.when(F.exists(acc, lambda a: a["k"] == x["k"]), acc).otherwise(F.concat(acc, F.array(x))))))
 
 
+# Hosts with a name of their own, and hosts whose pages belong to many.
+SOURCE_NAMES = {
+    "docs.claude.com": "claude-code", "claude.ai": "claude", "dora.dev": "dora", "docs.mercury.com": "mercury", "api.mercury.com": "mercury", "huggingface.co": "huggingface", "readme.io": "readme",
+}
+SHARED_HOSTS = ("github", "stackoverflow", "medium", "dev", "substack")
+
+
 def source_prefix(url: Column) -> Column:
-    """The name of a URL's source: the second-level domain, after dropping docs., api. and www.; empty for what is no URL."""
-    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
-    bare = F.regexp_replace(host, r"^(?:www|docs|api)\.", "")
-    parts = F.split(bare, r"\.")
-    return F.when(host == "", "").when(F.size(parts) >= 2, F.element_at(parts, -2)).otherwise(parts[0])
+    """The name of a URL's source; empty for what is no URL.
+
+    In this order: hosts with a name of their own; the name in docs.NAME.TLD and
+    api.NAME.TLD; the second-level domain; for hosts whose pages belong to many the first
+    part of the path as a slug; the first part of the host.
+    """
+    host = F.lower(F.coalesce(F.try_parse_url(F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/\s]"), url), F.lit("HOST")), F.lit("")))
+    parts = F.split(host, r"\.")
+    second = F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2)))
+    first = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda x: x != "")[0]
+    sub = F.regexp_extract(host, r"^(?:docs|api)\.([a-z0-9-]+)\.[a-z]+$", 1)
+    out = F.when(host == "", "")
+    for said, name in SOURCE_NAMES.items():
+        out = out.when(host == said, name)
+    shared = second.isin(*SHARED_HOSTS)
+    return out.when(sub != "", sub).when(second.isNotNull() & ~shared, second).when(shared & first.isNotNull(), slug(first)).otherwise(parts[0])
+
+
+# Endings of source files.
+ENDINGS = "ts|js|py|tsx|jsx|go|rs|java|rb|md"
+_FILE = rf"([A-Za-z0-9_/.-]+\.(?:{ENDINGS}))"
 
 
 def text_paths(c: Column) -> Column:
-    """The file paths a free text names, in backquotes, at line starts or as words with an ending, each once."""
-    ticked = F.regexp_extract_all(c, F.lit(r"`([A-Za-z0-9_./-]+\.[A-Za-z0-9]+)`"), 1)
-    listed = F.regexp_extract_all(c, F.lit(r"(?m)^\s*[-*]\s+([A-Za-z0-9_./-]+\.[A-Za-z0-9]+)"), 1)
-    words = F.regexp_extract_all(c, F.lit(r"(?:^|[\s(\"'])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+)"), 1)
-    return F.array_distinct(F.flatten(F.array(ticked, listed, words)))
+    """The source files a free text names, each once.
+
+    Named are the head of a code fence, without a line range; the first file in a
+    second-level heading; what a line range follows; and what stands in backquotes, after
+    two slashes, or in bold.
+    """
+    fenced = F.transform(F.regexp_extract_all(c, F.lit(rf"```(\S+\.(?:{ENDINGS}))"), 1), lambda x: F.regexp_replace(x, r":\d+-\d+.*$", ""))
+    shapes = [rf"(?m)^##\s+.*?{_FILE}", rf"{_FILE}:\d+-\d+", rf"`{_FILE}`", rf"//\s+{_FILE}", rf"\*\*{_FILE}\*\*"]
+    return F.array_distinct(F.flatten(F.array(fenced, *[F.regexp_extract_all(c, F.lit(x), 1) for x in shapes])))

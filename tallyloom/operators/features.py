@@ -6,9 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.patterns import glob_regex
+from tallyloom.operators.trees import path_states, sound_links, subtree_members, subtree_sums
 from tallyloom.plans.lineage import stash
 
 PRESENT = ("required", "selected")
+STATUSES = ("required", "selected", "unassessed", "deselected")
+
+
+#: Globs compiled into conditions of one plan.
+COMPILED_GLOBS = 500
+
+
+def _by_prefix(values: DataFrame, key: str, globs: DataFrame) -> DataFrame:
+    """``key, feature`` of the values each glob matches: values meet the globs whose literal start they have, and those without one."""
+    start = F.regexp_extract("g", r"^[^*?\[]*", 0)
+    pattern = F.udf(glob_regex)("g")
+    rules = globs.withColumns({"start": start, "rx": pattern})
+    sizes = [r[0] for r in rules.select(F.length("start").alias("n")).distinct().collect()]
+    found = None
+    for n in sizes:
+        met = values.withColumn("start", F.substring(key, 1, n)).join(rules.where(F.length("start") == n), "start").where(F.regexp_like(F.col(key), F.col("rx"))).select(key, "feature")
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
 
 
 def match_rules(surfaces: DataFrame, rules: DataFrame) -> DataFrame:
@@ -16,8 +35,9 @@ def match_rules(surfaces: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``surfaces`` has ``id, tags, file``; ``rules`` has ``feature, surfaces, tags, files``
     (arrays): globs on ids, tags in common, or globs on files. Rules by tag are an equi-join.
-    Globs are joined on the distinct ids and files, so repeated ones are tested once; rules
-    are a configuration, collected and compiled into one condition per glob.
+    Globs are tested on the distinct ids and files, so repeated ones are tested once. Up to
+    ``COMPILED_GLOBS`` are compiled into one condition each; more are joined as patterns, by
+    the literal text before their first sign where they have one.
     """
     spark = surfaces.sparkSession
     claims = None
@@ -29,9 +49,12 @@ def match_rules(surfaces: DataFrame, rules: DataFrame) -> DataFrame:
     tagged = rules.select("feature", F.explode("tags").alias("tag"))
     add(surfaces.select("id", F.explode("tags").alias("tag")).join(tagged, "tag").select("feature", "id"))
     for column, key in (("surfaces", "id"), ("files", "file")):
-        globs = [(r["feature"], r["g"]) for r in rules.select("feature", F.explode(column).alias("g")).distinct().collect()]
-        if globs:
-            values = surfaces.select(key).where(F.col(key).isNotNull()).distinct()
+        listed = rules.select("feature", F.explode(column).alias("g")).where("g is not null").distinct()
+        globs = [(r["feature"], r["g"]) for r in listed.limit(COMPILED_GLOBS + 1).collect()]
+        values = surfaces.select(key).where(F.col(key).isNotNull()).distinct()
+        if len(globs) > COMPILED_GLOBS:
+            add(surfaces.select(F.col("id"), *([key] if key != "id" else [])).join(_by_prefix(values, key, listed), key).select("feature", "id"))
+        elif globs:
             owners = F.array_compact(F.array(*[F.when(F.col(key).rlike(glob_regex(g)), F.lit(f)) for f, g in globs]))
             hit = values.select(key, F.explode(owners).alias("feature"))
             add(surfaces.select(F.col("id"), *([key] if key != "id" else [])).join(hit, key).select("feature", "id"))
@@ -63,42 +86,34 @@ def resolve_status(features: DataFrame, selected: list[str] | None = None) -> Da
     """
     open_choice = selected is None
     chosen = F.col("id").isin(list(selected)) if selected else F.lit(False)
-    nodes = stash(features.select("id", "parent", "decomposition", F.col("feature_group").isNotNull().alias("group")))
-    level = nodes.where("parent is null").select("id", "parent", F.lit("required").alias("status"), "group")
-    done, total = level, nodes.count()
-    while True:
-        up = level.select(F.col("id").alias("parent"), F.col("status").alias("above"), F.col("group").alias("in_group"))
-        choice = F.lit("unassessed") if open_choice else F.when(chosen, F.when(F.col("in_group"), "required").otherwise("selected")).otherwise("deselected")
-        status = F.when(~F.col("above").isin(*PRESENT), F.col("above")).when(~F.col("in_group") & (F.col("decomposition") == "mandatory"), "required").otherwise(choice)
-        level = stash(nodes.join(up, "parent").select("id", "parent", status.alias("status"), "group"))
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    done = stash(done.drop("group"))
-    if done.count() < total:
+    nodes = stash(features.select("id", "parent", "decomposition", F.col("feature_group").isNotNull().alias("group")), n=F.count("*"))
+    links = sound_links(nodes)
+    above = nodes.select(F.col("id").alias("up"), F.col("group").alias("in_group"))
+    known = links.join(nodes.select("id", "parent", "decomposition"), "id").join(above, "up", "left")
+    required, selected_, unassessed, deselected = (F.lit(k) for k in range(4))
+    choice = unassessed if open_choice else F.when(chosen, F.when(F.col("in_group"), required).otherwise(selected_)).otherwise(deselected)
+    own = F.when(~F.col("in_group") & F.coalesce(F.col("decomposition") == "mandatory", F.lit(False)), required).otherwise(choice)
+    # below a node that isn't present its status goes on
+    step = F.when(F.col("up").isNull(), F.array(*[required] * 4)).otherwise(F.array(own, own, unassessed, deselected))
+    names = F.array(*[F.lit(x) for x in STATUSES])
+    done = stash(path_states(known.where("parent is null or up is not null"), step, 4).select("id", F.element_at(names, F.col("state") + 1).alias("status")), n=F.count("*"))
+    if done.observed["n"] < nodes.observed["n"]:
         raise ValueError("features that no root reaches")
-    return done
+    return nodes.select("id", "parent").join(done, "id")
 
 
 def roll_up(status: DataFrame, own: DataFrame) -> DataFrame:
     """``id, status, self_covered, self_total, covered, total``: own numbers, and those with all present descendants.
 
-    ``own`` has ``feature, covered, total``. Each feature's numbers travel up to every
-    ancestor as long as all nodes on the way are present; each level is one join, and
-    sums are taken once at the end.
+    ``own`` has ``feature, covered, total``. Each feature's numbers count for every
+    ancestor as long as all nodes on the way are present: links above a node that isn't
+    are cut, and sums are taken over what hangs together.
     """
-    base = status.join(own.select(F.col("feature").alias("id"), F.col("covered").alias("c"), F.col("total").alias("t")), "id", "left")
-    base = stash(base.select("id", "parent", "status", F.coalesce("c", F.lit(0)).alias("self_covered"), F.coalesce("t", F.lit(0)).alias("self_total")))
-    level = base.select(F.col("id").alias("at"), F.col("self_covered").alias("c"), F.col("self_total").alias("t"))
-    gathered = level
-    links = base.select(F.col("id").alias("at"), "parent", "status")
-    while True:
-        up = level.join(links, "at").where(F.col("status").isin(*PRESENT) & F.col("parent").isNotNull())
-        level = stash(up.groupBy(F.col("parent").alias("at")).agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
-        if level.isEmpty():
-            break
-        gathered = gathered.unionByName(level)
-    sums = gathered.groupBy(F.col("at").alias("id")).agg(F.sum("c").alias("covered"), F.sum("t").alias("total"))
+    numbers = own.groupBy(F.col("feature").alias("id")).agg(F.sum("covered").alias("c"), F.sum("total").alias("t"))
+    base = status.join(numbers, "id", "left").select("id", "parent", "status", F.coalesce("c", F.lit(0)).alias("self_covered"), F.coalesce("t", F.lit(0)).alias("self_total"))
+    base = stash(base)
+    cut = sound_links(base.select("id", F.when(F.col("status").isin(*PRESENT), F.col("parent")).alias("parent")))
+    sums = subtree_sums(cut, base.select("id", F.col("self_covered").alias("covered"), F.col("self_total").alias("total")), ["covered", "total"])
     return base.join(sums, "id").select("id", "status", "self_covered", "self_total", "covered", "total")
 
 
@@ -121,9 +136,7 @@ def tree_totals(rolled: DataFrame) -> DataFrame:
 
 def glyph(covered: Column, total: Column, status: Column | None = None) -> Column:
     """A ball filled to the nearest quarter, never empty or full unless it is; ``?`` where nothing was to be covered."""
-    balls = F.array(*[F.lit(b) for b in ("○", "◔", "◑", "◕", "●")])
-    quarter = F.least(F.greatest(F.floor((8 * covered + total) / F.greatest(2 * total, F.lit(1))), F.lit(1)), F.lit(3))
-    ball = F.when(total <= 0, "?").when(covered >= total, "●").when(covered <= 0, "○").otherwise(F.element_at(balls, (quarter + 1).cast("int")))
+    ball = F.when(total <= 0, "?").when(covered >= total, "●").when(covered <= 0, "○").when(8 * covered < 3 * total, "◔").when(8 * covered < 5 * total, "◑").otherwise("◕")
     return ball if status is None else F.when(status.isin("unassessed", "deselected"), "?").otherwise(ball)
 
 
@@ -165,29 +178,19 @@ def binary_roll_up(status: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def set_roll_up(links: DataFrame, own: DataFrame) -> DataFrame:
-    """``id, members``: the distinct members of each feature and all its descendants. ``links`` has ``id, parent``, ``own`` has ``feature, member``."""
-    level = stash(own.select(F.col("feature").alias("id"), "member").distinct())
-    gathered = level
-    while True:
-        level = stash(level.join(links.where("parent is not null").select("id", "parent"), "id").select(F.col("parent").alias("id"), "member").distinct())
-        if level.isEmpty():
-            break
-        gathered = gathered.unionByName(level)
-    return gathered.distinct().groupBy("id").agg(F.sort_array(F.collect_list("member")).alias("members"))
+    """``id, members``: the distinct members of each feature and all its descendants. ``links`` has ``id, parent``, ``own`` has ``feature, member``. Features that lead into a cycle have their own members alone."""
+    return subtree_members(sound_links(links), own.select(F.col("feature").alias("id"), "member")).groupBy("id").agg(F.sort_array(F.collect_list("member")).alias("members"))
 
 
 def frontier_problems(links: DataFrame, frontier: DataFrame, required: DataFrame) -> DataFrame:
-    """``reason, subject`` of a frontier of ``id`` rows: members that lie below another, and required features below or on none."""
+    """``reason, subject`` of a frontier of ``id`` rows: members that lie below another, and required features below or on none.
+
+    Features that lead into a cycle are below none.
+    """
     chosen = stash(frontier.select("id").distinct())
-    up = links.where("parent is not null").select("id", "parent")
-    level = stash(links.select("id", F.col("id").alias("at")))
-    above = level
-    while True:
-        level = stash(level.join(up.select(F.col("id").alias("at"), "parent"), "at").select("id", F.col("parent").alias("at")))
-        if level.isEmpty():
-            break
-        above = above.unionByName(level)
-    covered = above.join(chosen.select(F.col("id").alias("at")), "at", "left_semi")
-    nested = covered.join(chosen, "id", "left_semi").where("id != at").select("id").distinct()
-    outside = required.select("id").distinct().join(covered, "id", "left_anti")
+    sound = stash(sound_links(links).join(chosen.withColumn("on", F.lit(1)), "id", "left").select("id", "up", F.coalesce("on", F.lit(0)).alias("on")))
+    # state 1: a member of the frontier is on the way from the top, the node itself counted
+    below = stash(path_states(sound, F.array(F.col("on"), F.lit(1)), 2).where("state = 1").select("id"))
+    nested = sound.where("on = 1").join(below.select(F.col("id").alias("up")), "up", "left_semi").select("id")
+    outside = required.select("id").distinct().join(below, "id", "left_anti")
     return nested.select(F.lit("nested").alias("reason"), F.col("id").alias("subject")).unionByName(outside.select(F.lit("outside").alias("reason"), F.col("id").alias("subject")))

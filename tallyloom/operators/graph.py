@@ -7,36 +7,39 @@ from pyspark.sql import functions as F
 
 from tallyloom.plans.lineage import stash
 
-#: Nodes this many hops away aren't expanded any further.
-MAX_HOPS = 64
-
-
-def reach(roots: DataFrame, edges: DataFrame, max_hops: int | None = MAX_HOPS) -> DataFrame:
+def reach(roots: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``root, node, hop``: the shortest distance from each root to every node it reaches.
 
     ``roots`` has ``root``, ``edges`` has ``src, dst``. Each level joins only the pairs
     that are new, and pairs already known are taken out before the next, so cycles end.
-    Edges and roots may be repeated; those with nulls lead nowhere.
+    With ``max_hops`` nodes so far away aren't expanded any further; ``beyond`` tells what
+    that cut off. Edges and roots may be repeated; those with nulls lead nowhere.
     """
     steps = stash(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    level = stash(roots.where("root is not null").select("root", F.col("root").alias("node")).distinct())
+    level = stash(roots.where("root is not null").select("root", F.col("root").alias("node")).distinct(), n=F.count("*"))
     known, hop = level.withColumn("hop", F.lit(0)), 0
-    while (max_hops is None or hop < max_hops) and not level.isEmpty():
+    while (max_hops is None or hop < max_hops) and level.observed["n"]:
         hop += 1
         found = level.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        level = stash(found.join(known.select("root", "node"), ["root", "node"], "left_anti"))
+        level = stash(found.join(known.select("root", "node"), ["root", "node"], "left_anti"), n=F.count("*"))
         known = _gathered(known.unionByName(level.withColumn("hop", F.lit(hop))), hop)
     return known
 
 
+def beyond(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """``root, node, next``: the edges that lead out of what was reached, none unless hops were limited."""
+    out = reached.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").select("root", "node", "next").where("next is not null").distinct()
+    return out.join(reached.select("root", F.col("node").alias("next")), ["root", "next"], "left_anti").select("root", "node", "next")
+
+
 def _gathered(known: DataFrame, level: int) -> DataFrame:
     """The union of all levels so far, written as one table every few levels so that plans stay short."""
     return stash(known) if level % 8 == 0 else known
 
 
-def bind(roots: DataFrame, edges: DataFrame, direct: DataFrame) -> DataFrame:
+def bind(roots: DataFrame, edges: DataFrame, direct: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``root, entity, hops``: the entities each root reaches, and over how few hops. ``direct`` has ``node, entity``."""
-    return reach(roots, edges).join(direct.select("node", "entity").distinct(), "node").groupBy("root", "entity").agg(F.min("hop").alias("hops"))
+    return reach(roots, edges, max_hops).join(direct.select("node", "entity").distinct(), "node").groupBy("root", "entity").agg(F.min("hop").alias("hops"))
 
 
 def binding_history(bound: DataFrame, depth: int) -> DataFrame:
@@ -55,23 +58,23 @@ def chains(roots: DataFrame, edges: DataFrame, direct: DataFrame) -> DataFrame:
     Paths are carried along and the smallest of each (root, node) is kept at every level.
     """
     steps = stash(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    level = stash(roots.where("root is not null").select("root", F.col("root").alias("node"), F.array("root").alias("path")).distinct())
+    level = stash(roots.where("root is not null").select("root", F.col("root").alias("node"), F.array("root").alias("path")).distinct(), n=F.count("*"))
     known, hop = level, 0
-    while not level.isEmpty():
+    while level.observed["n"]:
         hop += 1
         found = level.join(steps, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        level = stash(found.join(known.select("root", "node"), ["root", "node"], "left_anti"))
+        level = stash(found.join(known.select("root", "node"), ["root", "node"], "left_anti"), n=F.count("*"))
         known = _gathered(known.unionByName(level), hop)
     return known.join(direct.select("node", "entity").distinct(), "node").groupBy("root", "entity").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("chain"))
 
 
-def assemble(surfaces: DataFrame, edges: DataFrame, direct: DataFrame, ops: DataFrame) -> DataFrame:
+def assemble(surfaces: DataFrame, edges: DataFrame, direct: DataFrame, ops: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``surface, entity, operations, hops, kind``: what each surface does to each entity.
 
     ``surfaces`` has ``surface, handler``, ``ops`` has ``node, entity, op``. Operations are
     those of all nodes a surface reaches, not only of those on its chain.
     """
-    reached = reach(surfaces.select(F.col("handler").alias("root")), edges)
+    reached = stash(reach(surfaces.select(F.col("handler").alias("root")), edges, max_hops))
     bound = reached.join(direct.select("node", "entity").distinct(), "node").groupBy("root", "entity").agg(F.min("hop").alias("hops"))
     done = reached.join(ops.select("node", "entity", "op").distinct(), "node").groupBy("root", "entity").agg(F.sort_array(F.collect_set("op")).alias("operations"))
     kind = F.when(F.col("hops") == 0, "direct").otherwise(F.concat(F.lit("call-chain:"), "hops"))
@@ -92,14 +95,25 @@ def catalog(nodes: DataFrame, edges: DataFrame, root_kinds: list[str], relations
     of ``loose_kinds``.
     """
     roots = nodes.where(F.col("kind").isin(root_kinds)).select(F.col("id").alias("root"))
-    owned = reach(roots, edges.where(F.col("relation").isin(relations)), None).join(nodes.select(F.col("id").alias("node"), "kind"), "node")
+    owned = reach(roots, edges.where(F.col("relation").isin(relations))).join(nodes.select(F.col("id").alias("node"), "kind"), "node")
     families = owned.groupBy("root", "kind").agg(F.count("*").alias("n"))
     unrooted = nodes.where(~F.col("kind").isin(loose_kinds)).join(owned.select(F.col("node").alias("id")), "id", "left_anti").select("id", "kind")
     return families, unrooted
 
 
+def state_links(edges: DataFrame) -> DataFrame:
+    """``field, writers, readers, links``: how many write and read each field, and how many dependencies that makes."""
+    ends = edges.where("relation in ('writes-state', 'reads-field')").select("src", F.col("dst").alias("field"), "relation").distinct()
+    counted = ends.groupBy("field").agg(F.count_if(F.col("relation") == "writes-state").alias("writers"), F.count_if(F.col("relation") == "reads-field").alias("readers"))
+    return counted.where("writers > 0 and readers > 0").withColumn("links", F.col("writers") * F.col("readers"))
+
+
 def state_dependencies(edges: DataFrame) -> DataFrame:
-    """``writer, reader, field`` of edges that write and read one field: ``src, dst, relation``."""
+    """``writer, reader, field`` of edges that write and read one field: ``src, dst, relation``.
+
+    One row per dependency; where a field has very many writers and readers, ``state_links``
+    says the same in one row per field.
+    """
     writes = edges.where("relation = 'writes-state'").select(F.col("src").alias("writer"), F.col("dst").alias("field")).distinct()
     reads = edges.where("relation = 'reads-field'").select(F.col("src").alias("reader"), F.col("dst").alias("field")).distinct()
     return writes.join(reads, "field").select("writer", "reader", "field")

@@ -10,19 +10,21 @@ def innermost(points: DataFrame, spans: DataFrame, key: str, at: str, start: str
     """``points`` with ``value`` of the innermost span of their key that holds them, null where none does.
 
     Innermost is the span of the greatest start, then of the smallest end, then the
-    smallest value. Points need a unique column ``point_id``. With a ``width``, spans are
-    cut into bins of that width and points are joined to their bin alone, which bounds the
-    pairs of a key with very many spans; ends are inclusive.
+    smallest value. Points need a unique column ``point_id``. Spans are cut into bins of
+    one ``width`` and points are joined to their bin alone, which bounds the pairs of a
+    key with very many spans; ends are inclusive. Without a width it is the mean length of
+    the spans, so that a span is in about two bins.
     """
     p = points.select("point_id", F.col(key).alias("_k"), F.col(at).alias("_at"))
     s = spans.select(F.col(key).alias("_sk"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"))
     on = (F.col("_k") == F.col("_sk")) & (F.col("_at") >= F.col("_s")) & (F.col("_at") <= F.col("_e"))
-    if width is not None:
-        w = F.lit(width) if isinstance(width, int) else width
-        p = p.withColumn("_bin", F.floor(F.col("_at") / w))
-        s = s.where(F.col("_e") >= F.col("_s")).withColumn("_sbin", F.explode(F.sequence(F.floor(F.col("_s") / w), F.floor(F.col("_e") / w))))
-        on = on & (F.col("_bin") == F.col("_sbin"))
-    best = p.join(s, on).groupBy("point_id").agg(F.max_by("_v", F.struct(F.col("_s"), -F.col("_e"))).alias(value))
+    if width is None:
+        width = max(1, round(s.agg(F.avg(F.col("_e") - F.col("_s") + 1)).first()[0] or 1))
+    w = F.lit(width) if isinstance(width, int) else width
+    p = p.withColumn("_bin", F.floor(F.col("_at") / w))
+    s = s.where(F.col("_e") >= F.col("_s")).withColumn("_sbin", F.explode(F.sequence(F.floor(F.col("_s") / w), F.floor(F.col("_e") / w))))
+    on = on & (F.col("_bin") == F.col("_sbin"))
+    best = p.join(s, on).groupBy("point_id").agg(F.min_by("_v", F.struct(-F.col("_s"), "_e", "_v")).alias(value))
     return points.join(best, "point_id", "left")
 
 

@@ -16,17 +16,17 @@ def match_requests(requests: DataFrame, surfaces: DataFrame) -> DataFrame:
 
     ``requests`` has ``method, url``, ``surfaces`` has ``id, method, path``. Requests are
     reduced to distinct (method, path) before anything is compared. Literal surfaces are an
-    equi-join; only requests without one meet templates, and only those of their method
-    and number of segments, so the pattern is tested on few pairs. Several candidates bind nothing.
+    equi-join; only requests without one meet templates, and those by an equi-join too: on
+    method, number of segments and the literal segment of the template that the fewest
+    requests have. Only templates without any literal segment meet all requests of their
+    method and length, which they match. Several candidates bind nothing.
     """
     asked = requests.select(F.upper("method").alias("method"), plain_path(F.col("url")).alias("path")).where("method is not null and path is not null").distinct()
     known = surfaces.select("id", F.upper("method").alias("method"), plain_path(F.col("path")).alias("template")).distinct()
     literal = known.where(~is_template(F.col("template"))).select("method", F.col("template").alias("path"), "id")
     exact = asked.join(literal, ["method", "path"])
     rest = asked.join(literal.select("method", "path").distinct(), ["method", "path"], "left_anti")
-    segments = F.size(F.split("path", "/"))
-    shapes = known.where(is_template(F.col("template"))).select("method", "id", template_regex(F.col("template")).alias("rx"), F.size(F.split("template", "/")).alias("n"))
-    shaped = rest.withColumn("n", segments).join(shapes, ["method", "n"]).where(F.regexp_like("path", F.col("rx"))).select("method", "path", "id")
+    shaped = _by_segments(rest, known.where(is_template(F.col("template"))))
     found = exact.select("method", "path", "id").unionByName(shaped).groupBy("method", "path").agg(F.sort_array(F.collect_set("id")).alias("candidates"))
     size = F.coalesce(F.size("candidates"), F.lit(0))
     status = F.when(F.col("candidates").isNull(), "unmatched").when(size > 1, "ambiguous").otherwise("matched")
@@ -35,6 +35,20 @@ def match_requests(requests: DataFrame, surfaces: DataFrame) -> DataFrame:
     )
 
 
+def _by_segments(asked: DataFrame, templates: DataFrame) -> DataFrame:
+    """``method, path, id`` of the requests each template answers."""
+    asked = asked.withColumn("parts", F.split("path", "/")).withColumn("n", F.size("parts"))
+    shapes = templates.select("method", "id", F.split("template", "/").alias("shape"), template_regex(F.col("template")).alias("rx")).withColumn("n", F.size("shape"))
+    literal = shapes.select("method", "id", "rx", "n", F.posexplode("shape").alias("at", "said")).where((F.col("said") != "") & ~is_template(F.concat(F.lit("/"), "said")))
+    wanted = literal.select("method", "n", "at", "said").distinct()
+    each = asked.select("method", "path", "n", F.posexplode("parts").alias("at", "said"))
+    often = each.join(wanted, ["method", "n", "at", "said"]).groupBy("method", "n", "at", "said").agg(F.count("*").alias("often"))
+    rarest = literal.join(often, ["method", "n", "at", "said"], "left").groupBy("method", "id", "rx", "n").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "at", "said")).alias("k")).where("k.often > 0")
+    keyed = each.join(rarest.select("method", "n", F.col("k.at").alias("at"), F.col("k.said").alias("said"), "id", "rx"), ["method", "n", "at", "said"]).select("method", "path", "id", "rx")
+    open_ones = asked.join(shapes.join(literal.select("method", "id").distinct(), ["method", "id"], "left_anti").select("method", "n", "id", "rx"), ["method", "n"]).select("method", "path", "id", "rx")
+    return keyed.unionByName(open_ones).where(F.regexp_like("path", F.col("rx"))).select("method", "path", "id")
+
+
 def strip_mount(paths: DataFrame, prefixes: list[str], column: str = "path") -> DataFrame:
     """``paths`` without the first mount prefix that a path lies under; ``/v2beta`` isn't under ``/v2``."""
     out = F.col(column)

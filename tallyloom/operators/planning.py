@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tallyloom.plans.lineage import stash
 
 
+#: Stands for the fact that every state has; no fact of a model is empty.
+ALWAYS = ""
+
+
 def _facts(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(c, F.array().cast("array<string>"))
@@ -31,10 +35,12 @@ def plan(transitions: DataFrame, initial: list[str], max_states: int = 10_000) -
     """
     moves = stash(transitions.select("id", "requires", "forbids", "adds", "removes").distinct())
     level = stash(moves.sparkSession.createDataFrame([(sorted(set(initial)), [])], "state array<string>, path array<string>"))
+    keyed = moves.withColumn("_key", F.coalesce(F.array_min("requires"), F.lit(ALWAYS)))
     known, done, count = level.select("state"), None, 1
     while not level.isEmpty():
-        # every state meets every transition: the guard is the join condition
-        tried = level.join(moves, enabled(F.col("state"), F.col("requires"), F.col("forbids"))).select(
+        # states meet the moves that one of their facts lets in, and those that require nothing
+        facts = level.select("state", "path", F.explode(F.array_append("state", F.lit(ALWAYS))).alias("_key"))
+        tried = facts.join(keyed, "_key").where(enabled(F.col("state"), F.col("requires"), F.col("forbids"))).select(
             "id", F.concat("path", F.array("id")).alias("path"), advance(F.col("state"), F.col("adds"), F.col("removes")).alias("next")
         )
         tried = stash(tried)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The actions of a resource, their methods and paths below it.
@@ -41,11 +41,15 @@ def expand_resources(resources: DataFrame) -> DataFrame:
 def dispose(surfaces: DataFrame, methods: list[str], position: str = "pos") -> DataFrame:
     """``surfaces`` with ``disposition``: kept, excluded by method, or duplicate of an earlier METHOD and path; surfaces without a method are kept.
 
-    Nothing is dropped, so what isn't kept stays in the count.
+    Nothing is dropped, so what isn't kept stays in the count. Positions are unique.
     """
-    first = F.row_number().over(Window.partitionBy("method", "path").orderBy(position))
-    said = F.when(F.col("method").isNotNull() & ~F.upper("method").isin(methods), "excluded-method").when(first > 1, "duplicate").otherwise("kept")
-    return surfaces.withColumn("disposition", said)
+    key = [F.coalesce(c, F.lit("")) for c in ("method", "path")] + [F.col("method").isNull(), F.col("path").isNull()]
+    names = [f"_k{k}" for k in range(4)]
+    keyed = surfaces.withColumns(dict(zip(names, key)))
+    # the first of a key is found by a partial minimum, so a key of very many surfaces isn't one task's work
+    firsts = keyed.groupBy(*names).agg(F.min(position).alias("_first"))
+    said = F.when(F.col("method").isNotNull() & ~F.upper("method").isin(methods), "excluded-method").when(F.col(position) != F.col("_first"), "duplicate").otherwise("kept")
+    return keyed.join(firsts, names).withColumn("disposition", said).select(*surfaces.columns, "disposition")
 
 
 def template_shape(path: Column) -> Column:
@@ -55,11 +59,16 @@ def template_shape(path: Column) -> Column:
 
 def shape_collisions(templates: DataFrame, path: str = "path", position: str = "pos") -> DataFrame:
     """``path, first``: templates whose shape an earlier one has, with the first of that shape."""
-    line = Window.partitionBy(template_shape(F.col(path))).orderBy(position)
-    return templates.select(path, position, F.first(path).over(line).alias("first"), F.row_number().over(line).alias("_n")).where("_n > 1").select(path, "first")
+    shaped = templates.select(path, position, template_shape(F.col(path)).alias("_shape"))
+    firsts = shaped.groupBy("_shape").agg(F.min_by(path, position).alias("first"), F.min(position).alias("_first"))
+    return shaped.join(firsts, "_shape").where(F.col(position) != F.col("_first")).select(path, "first")
 
 
-EFFECTS = {"select": "read", "read": "read", "insert": "create", "create": "create", "update": "update", "upsert": "update", "delete": "delete", "remove": "delete"}
+# The operation of each pipeline effect.
+EFFECTS = {
+    "extract": "read", "read": "read", "select": "read", "load": "create", "insert": "create", "append": "create",
+    "upsert": "update", "merge": "update", "update": "update", "delete": "delete", "truncate": "delete",
+}
 
 
 def effect_operation(effect: Column) -> Column:

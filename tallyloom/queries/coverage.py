@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.patterns import template_regex
@@ -28,18 +28,16 @@ def query(sql: str | None = None):
     return add
 
 
-# The two accounts: customers are declared, urgent finished orders are the static account, purchases the observed one.
+# The two accounts: customers are declared, orders are the static account, events the observed one.
 def accounts(spark: SparkSession, d: str):
     entities = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("entity"))
     static = (
         table(spark, d, "orders")
-        .where("o_orderpriority like '1-%' and o_orderstatus = 'F'")
         .select(F.col("o_custkey").cast("string").alias("entity"), F.col("o_orderpriority").alias("surface"), F.array("o_orderstatus").alias("operations"))
     )
     surface = F.when(F.col("value") < 20, F.concat(F.lit("test:"), "event_type")).otherwise(F.col("event_type"))
     runtime = (
         table(spark, d, "events")
-        .where("event_type = 'purchase'")
         .select((F.col("user_id") * 11).cast("string").alias("entity"), surface.alias("surface"), F.array(F.lit("P")).alias("operations"), F.array(F.col("event_id").cast("string")).alias("tests"))
     )
     return entities, static, runtime
@@ -47,8 +45,8 @@ def accounts(spark: SparkSession, d: str):
 
 _ACCOUNTS = """
 WITH entities AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS entity FROM customer),
-st AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, o_orderpriority AS surface, o_orderstatus AS op FROM orders WHERE o_orderpriority LIKE '1-%' AND o_orderstatus = 'F'),
-rt AS (SELECT CAST(user_id * 11 AS VARCHAR) AS entity, CASE WHEN value < 20 THEN 'test:' || event_type ELSE event_type END AS surface, 'P' AS op, CAST(event_id AS VARCHAR) AS test FROM events WHERE event_type = 'purchase'),
+st AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, o_orderpriority AS surface, o_orderstatus AS op FROM orders),
+rt AS (SELECT CAST(user_id * 11 AS VARCHAR) AS entity, CASE WHEN value < 20 THEN 'test:' || event_type ELSE event_type END AS surface, 'P' AS op, CAST(event_id AS VARCHAR) AS test FROM events),
 sg AS (SELECT entity, string_agg(DISTINCT surface, ',' ORDER BY surface) AS ss, string_agg(DISTINCT op, ',' ORDER BY op) AS so FROM st GROUP BY entity),
 rg AS (SELECT entity, string_agg(DISTINCT surface, ',' ORDER BY surface) AS rs, string_agg(DISTINCT op, ',' ORDER BY op) AS ro, string_agg(DISTINCT test, ',' ORDER BY test) AS tests, bool_or(NOT starts_with(surface, 'test:')) AS via FROM rt GROUP BY entity),
 keys AS (SELECT entity FROM entities UNION SELECT entity FROM rg),
@@ -146,16 +144,8 @@ def u1_carriers(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("origin").agg(F.count("*").alias("n"))
 
 
-# A cyclic graph over the customers: each calls two others.
 def call_graph(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    nodes = table(spark, d, "customer").where("c_custkey < 150").select(k)
-    one = nodes.select(k.cast("string").alias("src"), ((7 * k + 3) % 150).cast("string").alias("dst"))
-    return one.unionByName(nodes.select(k.cast("string").alias("src"), ((3 * k + 1) % 150).cast("string").alias("dst")))
-
-
-def whole_call_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The same calls of all customers, however many there are: folded by their number instead of by 150."""
+    """A cyclic graph over all customers, however many there are: each calls two others."""
     k = F.col("c_custkey")
     nodes = table(spark, d, "customer").select(k)
     n = max(1, nodes.count())
@@ -163,18 +153,19 @@ def whole_call_graph(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(nodes.select(k.cast("string").alias("src"), ((3 * k + 1) % n).cast("string").alias("dst")))
 
 
+# DuckDB keeps one row per root and node: the first hop that reaches it.
 _GRAPH = """
 edges AS (
-  SELECT CAST(c_custkey AS VARCHAR) AS src, CAST((7 * c_custkey + 3) % 150 AS VARCHAR) AS dst FROM customer WHERE c_custkey < 150
-  UNION SELECT CAST(c_custkey AS VARCHAR), CAST((3 * c_custkey + 1) % 150 AS VARCHAR) FROM customer WHERE c_custkey < 150
+  SELECT CAST(c_custkey AS VARCHAR) AS src, CAST((7 * c_custkey + 3) % (SELECT count(*) FROM customer) AS VARCHAR) AS dst FROM customer
+  UNION SELECT CAST(c_custkey AS VARCHAR), CAST((3 * c_custkey + 1) % (SELECT count(*) FROM customer) AS VARCHAR) FROM customer
 ),
 roots AS (SELECT CAST(n_nationkey AS VARCHAR) AS root FROM nation),
-walk AS (
-  SELECT root, root AS node, 0 AS hop FROM roots
-  UNION SELECT w.root, e.dst, w.hop + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.hop < 16
+walk(root, node, hop) USING KEY (root, node) AS (
+  SELECT root, root, 0 FROM roots
+  UNION SELECT w.root, e.dst, min(w.hop) + 1 FROM walk w JOIN edges e ON e.src = w.node LEFT JOIN recurring.walk k ON k.root = w.root AND k.node = e.dst WHERE k.node IS NULL GROUP BY w.root, e.dst
 ),
-reached AS (SELECT root, node, min(hop) AS hop FROM walk GROUP BY root, node),
-direct AS (SELECT CAST(c_custkey AS VARCHAR) AS node, c_mktsegment AS entity FROM customer WHERE c_acctbal > 9000)"""
+reached AS (SELECT root, node, hop FROM walk),
+direct AS (SELECT CAST(c_custkey AS VARCHAR) AS node, c_mktsegment AS entity FROM customer)"""
 
 
 def _roots(spark: SparkSession, d: str) -> DataFrame:
@@ -182,96 +173,68 @@ def _roots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _direct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").cast("string").alias("node"), F.col("c_mktsegment").alias("entity"))
-
-
-def _whole_direct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node"), F.col("c_mktsegment").alias("entity"))
 
 
-# The SQL of the graph queries walks the first 150 customers; the queries named whole_... run over all of them and have no SQL.
 @query(f"WITH RECURSIVE {_GRAPH} SELECT * FROM reached")
 def g1_distances(spark: SparkSession, d: str) -> DataFrame:
     return G.reach(_roots(spark, d), call_graph(spark, d))
 
 
-@query()
-def g1_whole_distances(spark: SparkSession, d: str) -> DataFrame:
-    return G.reach(_roots(spark, d), whole_call_graph(spark, d), None)
-
-
 @query(f"WITH RECURSIVE {_GRAPH} SELECT root, entity, min(hop) AS hops FROM reached JOIN direct USING (node) GROUP BY ALL")
 def g2_bind(spark: SparkSession, d: str) -> DataFrame:
     return G.bind(_roots(spark, d), call_graph(spark, d), _direct(spark, d))
 
 
-@query()
-def g2_whole_bind(spark: SparkSession, d: str) -> DataFrame:
-    return G.bind(_roots(spark, d), whole_call_graph(spark, d), _whole_direct(spark, d))
-
-
 @query(
-    f"""WITH RECURSIVE {_GRAPH}, paths AS (
+    f"""WITH RECURSIVE {_GRAPH},
+near AS (SELECT root, entity, min(hop) AS far FROM reached JOIN direct USING (node) GROUP BY ALL),
+paths AS (
   SELECT root, root AS node, [root] AS path, 0 AS hop FROM roots
   UNION SELECT p.root, e.dst, list_append(p.path, e.dst), p.hop + 1 FROM paths p JOIN edges e ON e.src = p.node JOIN reached r ON r.root = p.root AND r.node = e.dst AND r.hop = p.hop + 1
-), ends AS (SELECT p.root, d.entity, p.hop, p.path FROM paths p JOIN direct d USING (node)),
-best AS (SELECT root, entity, min(hop) AS hop FROM ends GROUP BY ALL)
-SELECT root, entity, array_to_string(min(path), '>') AS chain FROM ends JOIN best USING (root, entity, hop) GROUP BY ALL"""
+    WHERE p.hop < (SELECT max(far) FROM near)
+), ends AS (SELECT p.root, d.entity, p.hop, p.path FROM paths p JOIN direct d USING (node))
+SELECT e.root, e.entity, array_to_string(min(path), '>') AS chain FROM ends e JOIN near n ON n.root = e.root AND n.entity = e.entity AND n.far = e.hop GROUP BY ALL"""
 )
 def g3_chains(spark: SparkSession, d: str) -> DataFrame:
     return G.chains(_roots(spark, d), call_graph(spark, d), _direct(spark, d)).select("root", "entity", F.array_join("chain", ">").alias("chain"))
 
 
-@query()
-def g3_whole_chains(spark: SparkSession, d: str) -> DataFrame:
-    return G.chains(_roots(spark, d), whole_call_graph(spark, d), _whole_direct(spark, d)).select("root", "entity", F.array_join("chain", ">").alias("chain"))
-
-
 @query(
     f"""WITH RECURSIVE {_GRAPH}, b AS (SELECT root, entity, min(hop) AS hops FROM reached JOIN direct USING (node) GROUP BY ALL),
 o AS (SELECT root, entity, string_agg(DISTINCT left(c_name, 10), ',' ORDER BY left(c_name, 10)) AS operations FROM reached JOIN direct USING (node) JOIN customer ON CAST(c_custkey AS VARCHAR) = node GROUP BY ALL)
 SELECT n_name AS surface, b.entity, o.operations, b.hops, CASE WHEN b.hops = 0 THEN 'direct' ELSE 'call-chain:' || b.hops END AS kind FROM nation JOIN b ON b.root = CAST(n_nationkey AS VARCHAR) JOIN o ON o.root = b.root AND o.entity = b.entity"""
 )
 def g4_capabilities(spark: SparkSession, d: str) -> DataFrame:
-    surfaces = table(spark, d, "nation").select(F.col("n_name").alias("surface"), F.col("n_nationkey").cast("string").alias("handler"))
-    ops = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").cast("string").alias("node"), F.col("c_mktsegment").alias("entity"), F.substring("c_name", 1, 10).alias("op"))
-    return G.assemble(surfaces, call_graph(spark, d), _direct(spark, d), ops).withColumn("operations", F.array_join("operations", ","))
-
-
-@query()
-def g4_whole_capabilities(spark: SparkSession, d: str) -> DataFrame:
     surfaces = table(spark, d, "nation").select(F.col("n_name").alias("surface"), F.col("n_nationkey").cast("string").alias("handler"))
     ops = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node"), F.col("c_mktsegment").alias("entity"), F.substring("c_name", 1, 10).alias("op"))
-    return G.assemble(surfaces, whole_call_graph(spark, d), _whole_direct(spark, d), ops).withColumn("operations", F.array_join("operations", ","))
+    return G.assemble(surfaces, call_graph(spark, d), _direct(spark, d), ops).withColumn("operations", F.array_join("operations", ","))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_GRAPH}, first AS (SELECT entity, min(hop) AS hops FROM reached JOIN direct USING (node) GROUP BY entity),
+line AS (SELECT CAST(k AS INT) AS k, (SELECT count(*) FROM first WHERE hops <= r.k) AS n FROM range(9) AS r(k)),
+still AS (SELECT *, k >= 2 AND n = lag(n, 1) OVER (ORDER BY k) AND n = lag(n, 2) OVER (ORDER BY k) AS same FROM line)
+SELECT k, n FROM still WHERE k <= coalesce((SELECT min(k) FROM still WHERE same), 8)"""
+)
 def a8_history(spark: SparkSession, d: str) -> DataFrame:
-    return G.binding_history(G.bind(_roots(spark, d), whole_call_graph(spark, d), _whole_direct(spark, d)), 8)
+    return G.binding_history(G.bind(_roots(spark, d), call_graph(spark, d), _direct(spark, d)), 8)
 
 
-def _namespace(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
-    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node"), "c_mktsegment")
-    kept = G.within(edges, c).select("src").distinct()
-    return kept.join(c, kept["src"] == c["node"]).groupBy(F.col("c_mktsegment").alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT c_mktsegment AS kind, count(*) AS n FROM customer WHERE c_custkey < 150 GROUP BY ALL")
+@query("SELECT c_mktsegment AS kind, count(*) AS n FROM customer WHERE (7 * c_custkey + 3) % (SELECT count(*) FROM customer) IN (SELECT c_custkey FROM customer) OR (3 * c_custkey + 1) % (SELECT count(*) FROM customer) IN (SELECT c_custkey FROM customer) GROUP BY ALL")
 def j12_namespace(spark: SparkSession, d: str) -> DataFrame:
     """The sources of the edges inside the graph's nodes, counted by kind."""
-    return _namespace(spark, d, call_graph(spark, d))
-
-
-@query()
-def j12_whole_namespace(spark: SparkSession, d: str) -> DataFrame:
-    return _namespace(spark, d, whole_call_graph(spark, d))
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node"), "c_mktsegment")
+    kept = G.within(call_graph(spark, d), c).select("src").distinct()
+    return kept.join(c, kept["src"] == c["node"]).groupBy(F.col("c_mktsegment").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT s.s_name AS writer, c.c_name AS reader, CAST(s_nationkey AS VARCHAR) AS field FROM supplier s JOIN customer c ON s_nationkey = c_nationkey WHERE s_acctbal > 8000 AND c_acctbal > 9500")
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS field, count(DISTINCT s.s_name) AS writers, count(DISTINCT c.c_name) AS readers, count(DISTINCT s.s_name) * count(DISTINCT c.c_name) AS links FROM supplier s JOIN customer c ON s_nationkey = c_nationkey GROUP BY s_nationkey")
 def j15_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "supplier").where("s_acctbal > 8000").select(F.col("s_name").alias("src"), F.col("s_nationkey").cast("string").alias("dst"), F.lit("writes-state").alias("relation"))
-    r = table(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_name").alias("src"), F.col("c_nationkey").cast("string").alias("dst"), F.lit("reads-field").alias("relation"))
-    return G.state_dependencies(w.unionByName(r))
+    """Every field that is written and read, with how many dependencies that makes."""
+    w = table(spark, d, "supplier").select(F.col("s_name").alias("src"), F.col("s_nationkey").cast("string").alias("dst"), F.lit("writes-state").alias("relation"))
+    r = table(spark, d, "customer").select(F.col("c_name").alias("src"), F.col("c_nationkey").cast("string").alias("dst"), F.lit("reads-field").alias("relation"))
+    return G.state_links(w.unionByName(r))
 
 
 # Feature rules over brands and types of parts.
@@ -361,14 +324,27 @@ def a7_tree_totals(spark: SparkSession, d: str) -> DataFrame:
     return X.tree_totals(X.roll_up(X.resolve_status(features), own))
 
 
-@query("SELECT 'mandatory' AS reason, s_name AS subject FROM supplier WHERE s_acctbal > 5000 AND s_acctbal <= 8000 AND s_nationkey IN (SELECT s_nationkey FROM supplier)")
+@query(
+    """WITH rich AS (SELECT s_name AS id, s_nationkey FROM supplier WHERE s_acctbal > 8000),
+picked AS (SELECT id FROM rich UNION SELECT n_name FROM nation WHERE n_regionkey <> 4 UNION SELECT r_name FROM region UNION SELECT 'world' UNION SELECT 'nowhere'),
+rules AS (SELECT CASE WHEN n_nationkey < 12 THEN 'requires' ELSE 'excludes' END AS type, n_name AS a, CASE WHEN n_nationkey % 2 = 0 THEN r_name ELSE 'gone' END AS b FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT 'unknown' AS reason, 'nowhere' AS subject
+UNION ALL SELECT 'parent', id FROM rich JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 4
+UNION ALL SELECT 'mandatory', n_name FROM nation WHERE n_regionkey = 4
+UNION ALL SELECT 'mandatory', s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 5000 AND s_acctbal <= 8000 AND n_regionkey <> 4
+UNION ALL SELECT 'group', 'AMERICA' FROM region WHERE r_name = 'AMERICA' AND (SELECT count(*) FROM nation WHERE n_regionkey = 1) < 1
+UNION ALL SELECT 'requires', a FROM rules WHERE type = 'requires' AND a IN (SELECT id FROM picked) AND b NOT IN (SELECT id FROM picked)
+UNION ALL SELECT 'excludes', a FROM rules WHERE type = 'excludes' AND a IN (SELECT id FROM picked) AND b IN (SELECT id FROM picked)"""
+)
 def g11_configuration(spark: SparkSession, d: str) -> DataFrame:
-    """All regions and nations are selected, and the suppliers with much on account: the other mandatory ones are missing."""
+    """All regions and the nations of four are selected, the suppliers with much on account, and something unknown; nations require or exclude their region or what isn't there."""
     features, _ = supply_tree(spark, d)
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
     rich = table(spark, d, "supplier").where("s_acctbal > 8000").select(F.col("s_name").alias("id"))
-    inner = features.join(table(spark, d, "supplier").select(F.col("s_name").alias("id")), "id", "left_anti").select("id")
-    none = spark.createDataFrame([], "type string, a string, b string")
-    return X.configuration_violations(features, none, inner.unionByName(rich))
+    inner = nation.where("n_regionkey != 4").select(F.col("n_name").alias("id")).unionByName(region.select(F.col("r_name").alias("id"))).unionByName(spark.createDataFrame([("world",), ("nowhere",)], "id string"))
+    joined = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rules = joined.select(F.when(F.col("n_nationkey") < 12, "requires").otherwise("excludes").alias("type"), F.col("n_name").alias("a"), F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).otherwise("gone").alias("b"))
+    return X.configuration_violations(features, rules, inner.unionByName(rich))
 
 
 # Requests: the paths of front matter files against literal and templated surfaces.
@@ -495,22 +471,29 @@ def s11_phases(spark: SparkSession, d: str) -> DataFrame:
     return O.fold_phases(table(spark, d, "events").select(F.col("user_id").cast("string").alias("nodeid"), phase.alias("phase"), result.alias("result")))
 
 
-TRANSITIONS = [
-    ("login", [], ["in"], ["in"], []),
-    ("logout", ["in"], [], [], ["in"]),
-    ("edit", ["in"], ["draft"], ["draft"], []),
-    ("save", ["in", "draft"], [], ["saved"], ["draft"]),
-    ("history", ["saved"], ["in"], [], []),
-    ("admin", ["root"], [], [], []),
-]
-
-
-@query()
+@query(
+    """WITH RECURSIVE n AS (SELECT n_name, n_regionkey, lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_name) AS before FROM nation),
+way AS (
+  SELECT n_name AS id, n_name AS scenario FROM n WHERE before IS NULL
+  UNION ALL SELECT n.n_name, w.scenario || '>' || n.n_name FROM way w JOIN n ON n.before = w.id
+)
+SELECT n.n_name AS id, CASE WHEN n_regionkey <> 4 THEN scenario END AS scenario, n_regionkey <> 4 AS reachable FROM n JOIN way ON way.id = n.n_name"""
+)
 def g6_plan(spark: SparkSession, d: str) -> DataFrame:
-    moves = spark.createDataFrame(TRANSITIONS, "id string, requires array<string>, forbids array<string>, adds array<string>, removes array<string>")
+    """Each nation can be reached once the one before it in its region has been; one region needs a fact that nothing adds, and a region's way shuts the others'."""
+    nation = table(spark, d, "nation")
+    before = F.lag("n_name").over(Window.partitionBy("n_regionkey").orderBy("n_name"))
+    region = F.concat(F.lit("in "), F.col("n_regionkey").cast("string"))
+    moves = nation.withColumns({"before": before, "region": region}).select(
+        F.col("n_name").alias("id"),
+        F.array_compact(F.array("before", F.when(F.col("n_regionkey") == 4, F.lit("never")))).alias("requires"),
+        F.filter(F.array(*[F.lit(f"in {k}") for k in range(5)]), lambda x: x != F.col("region")).alias("forbids"),
+        F.array("n_name", "region").alias("adds"),
+        F.array_compact(F.array("before")).alias("removes"),
+    )
     return P.plan(moves, []).select("id", F.array_join("scenario", ">").alias("scenario"), "reachable")
 
 
 @query("SELECT DISTINCT path, regexp_full_match(path, '20_Standards/[^/]+/[^/]+') AS hit FROM frontmatter")
-def f8_template_paths(spark: SparkSession, d: str) -> DataFrame:
+def op_p8_template_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "frontmatter").select("path").distinct().withColumn("hit", F.regexp_like("path", template_regex(F.lit("20_Standards/{name}/{file}"))))

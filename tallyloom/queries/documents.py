@@ -48,7 +48,7 @@ def w2_duplicate_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH w AS (SELECT DISTINCT body_id, 'purpose' AS section_id FROM doc_bodies WHERE doc_type = 'policy' UNION SELECT DISTINCT body_id, 'decision' FROM doc_bodies WHERE doc_type = 'adr') SELECT body_id, section_id FROM w WHERE (body_id, section_id) NOT IN (SELECT body_id, section_id FROM sections WHERE section_id IS NOT NULL)")
-def f16_missing_sections(spark: SparkSession, d: str) -> DataFrame:
+def op_p16_missing_sections(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame([("policy", "purpose", True), ("adr", "decision", True), ("adr", "impact", False)], "doc_type string, section_id string, required boolean")
     return D.missing_sections(table(spark, d, "doc_bodies"), _sections(spark, d), rules)
 
@@ -62,7 +62,10 @@ def a10_duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
     return D.duplicate_titles(table(spark, d, "frontmatter"), ["doc_type"])
 
 
-@query(f"SELECT DISTINCT title, {_TRIMMED.format(x=_SLUG.format(c='title'))} AS slug, {_SLUG.format(c='title')} AS title_key, {_TRIMMED.format(x=chr(114) + 'egexp_replace(lower(title), ' + chr(39) + '[^a-z0-9]+' + chr(39) + ', ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS kebab FROM frontmatter WHERE title IS NOT NULL")
+_KEBAB = "regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g')"
+
+
+@query(f"SELECT DISTINCT title, {_TRIMMED.format(x=_SLUG.format(c='title'))} AS slug, {_SLUG.format(c='title')} AS title_key, {_TRIMMED.format(x=_KEBAB)} AS kebab FROM frontmatter WHERE title IS NOT NULL")
 def f2_slugs(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("title")
     return table(spark, d, "frontmatter").select("title").where("title is not null").distinct().select("title", T.slug(t).alias("slug"), T.title_key(t).alias("title_key"), T.kebab(t).alias("kebab"))
@@ -100,16 +103,16 @@ SCHEMA = {
   UNION ALL SELECT 'minItems', path, 'tags' FROM frontmatter WHERE len(tags) < 2
 ) SELECT code, file, field FROM i"""
 )
-def f15_schema_issues(spark: SparkSession, d: str) -> DataFrame:
+def op_p15_schema_issues(spark: SparkSession, d: str) -> DataFrame:
     return D.schema_issues(table(spark, d, "frontmatter"), SCHEMA).select("code", "file", "field")
 
 
 @query(rf"SELECT path AS file FROM frontmatter WHERE NOT coalesce(example, false) AND title IS NOT NULL AND regexp_replace(regexp_replace(lower(path), '^.*/', ''), '\.[a-z0-9]+$', '') <> {_TRIMMED.format(x=_SLUG.format(c='title'))}")
-def f14_naming(spark: SparkSession, d: str) -> DataFrame:
+def op_p14_naming(spark: SparkSession, d: str) -> DataFrame:
     return D.naming_issues(table(spark, d, "frontmatter")).select("file")
 
 
-@query("WITH " + SQL["f15_schema_issues"].removeprefix("WITH ").replace(" SELECT code, file, field FROM i", "") + " SELECT (SELECT count(DISTINCT path) FROM frontmatter) AS files, (SELECT count(DISTINCT path) FROM frontmatter) - count(DISTINCT file) AS valid, count(*) AS errors, 0 AS warnings FROM i")
+@query("WITH " + SQL["op_p15_schema_issues"].removeprefix("WITH ").replace(" SELECT code, file, field FROM i", "") + " SELECT (SELECT count(DISTINCT path) FROM frontmatter) AS files, (SELECT count(DISTINCT path) FROM frontmatter) - count(DISTINCT file) AS valid, count(*) AS errors, 0 AS warnings FROM i")
 def a11_summary(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "frontmatter")
     return D.validation_summary(docs, D.schema_issues(docs, SCHEMA))
@@ -200,7 +203,7 @@ def o4_truncated(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT event_type AS entity, CASE event_type WHEN 'view' THEN 'read' WHEN 'signup' THEN 'create' WHEN 'click' THEN 'update' ELSE 'delete' END AS operation, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'users', 'read', count(*) FROM events WHERE event_type = 'view'")
-def f3_statements(spark: SparkSession, d: str) -> DataFrame:
+def op_p10_statements(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_type")
     sql = (
         F.when(e == "view", F.concat(F.lit("SELECT * FROM "), e, F.lit(" v JOIN app.users u ON u.id = v.id JOIN pg_catalog.pg_class c ON true")))
@@ -268,9 +271,24 @@ def k4_fixed_width(spark: SparkSession, d: str) -> DataFrame:
     return K.fixed_width(table(spark, d, "customer"), {"c_name": 20, "c_mktsegment": 12, "c_nationkey": 1})
 
 
-@query()
+# A text of every form a file is named in, of each part.
+_NAMED = ["```src/{b}/{k}.ts:0-45 x", "## Changes in lib/{k}.go and more", "see pkg/{b}.rs:10-20.", "`{b}_{k}.py` and `no/{k}.txt`", "// {k}.java - comes first", "**a-{k}.rb** but not {k}.py alone", "```python"]
+
+
+@query("SELECT DISTINCT p_partkey, x AS path FROM (SELECT p_partkey, replace(p_brand, '#', '-') AS b, unnest(['src/' || replace(p_brand, '#', '-') || '/' || p_partkey || '.ts', 'lib/' || p_partkey || '.go', 'pkg/' || replace(p_brand, '#', '-') || '.rs', replace(p_brand, '#', '-') || '_' || p_partkey || '.py', p_partkey || '.java', 'a-' || p_partkey || '.rb']) AS x FROM part)")
 def f12_text_paths(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "doc_bodies").select("body_id", F.explode(T.text_paths(F.col("body"))).alias("path")).distinct()
+    said = F.lit("\n".join(_NAMED))
+    filled = F.replace(F.replace(said, F.lit("{b}"), F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("{k}"), F.col("p_partkey").cast("string"))
+    return table(spark, d, "part").select("p_partkey", F.explode(T.text_paths(filled)).alias("path"))
+
+
+_BRACES = "{{NAME}} {{#each list_NAME}}{{item}}{{/each}} {{now}} {{if x}} {{#if}} {{ spaced }} {{a.b_NAME c}} {{NAME}}"
+
+
+@query("SELECT n_name, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT n_name, unnest(['item', n_name_, 'list_' || n_name_, 'a.b_' || n_name_]) AS x FROM (SELECT n_name, replace(n_name, ' ', '_') AS n_name_ FROM nation)) GROUP BY n_name")
+def f6_placeholders(spark: SparkSession, d: str) -> DataFrame:
+    said = F.replace(F.lit(_BRACES), F.lit("NAME"), F.replace("n_name", F.lit(" "), F.lit("_")))
+    return table(spark, d, "nation").select("n_name", F.array_join(F.array_sort(T.placeholders(said)), ",").alias("names"))
 
 
 @query("SELECT DISTINCT p_name AS word, regexp_replace(p_name, ' ', '_', 'g') AS snake, CASE WHEN regexp_matches(p_name, '(?i)[^e]y$') THEN regexp_replace(p_name, '[yY]$', '') || 'ies' WHEN regexp_matches(p_name, '(?i)(s|x|ch)$') THEN p_name || 'es' ELSE p_name || 's' END AS plural FROM part")
@@ -279,10 +297,19 @@ def f7_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_name").distinct().select(w.alias("word"), T.snake(F.replace(F.initcap(w), F.lit(" "), F.lit(""))).alias("snake"), T.plural(w).alias("plural"))
 
 
-@query("SELECT DISTINCT source, split_part(source, '-', 2) AS prefix FROM documents")
+# Hosts and paths of every kind, for each customer.
+_URLS = ["https://docs.claude.com/x", "https://claude.ai", "https://dora.dev/a", "https://docs.NAME.com/y", "https://api.NAME.io", "https://www.NAME.org/z", "https://github.com/NAME/tool", "https://github.com", "https://NAME", "https://a.b.NAME.net?q", "NAME", "http://My.NAME.Medium.com/The/x"]
+
+
+@query(
+    """WITH n AS (SELECT replace(lower(c_name), '#', '-') AS k FROM customer)
+SELECT k || ' ' || i AS id, CASE i WHEN 0 THEN 'claude-code' WHEN 1 THEN 'claude' WHEN 2 THEN 'dora' WHEN 7 THEN 'github' WHEN 10 THEN '' WHEN 11 THEN 'the' ELSE k END AS prefix FROM n, range(12) AS r(i)"""
+)
 def f5_source_prefix(spark: SparkSession, d: str) -> DataFrame:
-    url = F.concat(F.lit("https://docs."), F.split("source", "-")[1], F.lit(".example/"), F.split("source", "-")[0])
-    return table(spark, d, "documents").select("source").distinct().withColumn("prefix", T.source_prefix(url))
+    name = F.replace(F.lower("c_name"), F.lit("#"), F.lit("-"))
+    urls = F.transform(F.array(*[F.lit(u) for u in _URLS]), lambda u: F.replace(u, F.lit("NAME"), name))
+    each = table(spark, d, "customer").select(name.alias("name"), F.posexplode(urls).alias("i", "url"))
+    return each.select(F.concat_ws(" ", "name", F.col("i").cast("string")).alias("id"), T.source_prefix(F.col("url")).alias("prefix"))
 
 
 @query("SELECT 'http:' || m || ' /v1/' || n_name || '/' || chr(126) || 'x' AS id, m AS method, '/v1/' || n_name || '/' || chr(126) || 'x' AS path, '/paths/' || chr(126) || '1v1' || chr(126) || '1' || n_name || chr(126) || '1' || chr(126) || '0x/' || lower(m) AS pointer FROM nation, (VALUES ('GET'), ('POST')) AS v(m)")

@@ -26,27 +26,30 @@ def query(sql: str | None = None):
 
 
 @query(
-    """WITH s AS (SELECT s_nationkey, bool_and(s_acctbal > 2000) AS ok FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey)
-SELECT s_name AS id, s_acctbal > 2000 AS covered FROM supplier UNION ALL SELECT n_name, coalesce(s.ok, true) FROM nation LEFT JOIN s ON s_nationkey = n_nationkey WHERE n_regionkey IN (0, 2)"""
+    """WITH s AS (SELECT s_nationkey, bool_and(s_acctbal > 2000) AS ok FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey),
+n AS (SELECT n_name, n_regionkey, coalesce(s.ok, true) AS ok FROM nation LEFT JOIN s ON s_nationkey = n_nationkey),
+g AS (SELECT r_regionkey, r_name, coalesce(bool_and(n.ok), true) AS ok FROM region LEFT JOIN n ON n_regionkey = r_regionkey AND r_regionkey IN (0, 2) GROUP BY ALL)
+SELECT s_name AS id, s_acctbal > 2000 AS covered FROM supplier
+UNION ALL SELECT n_name, ok OR n_regionkey NOT IN (0, 2) FROM n
+UNION ALL SELECT r_name, ok FROM g
+UNION ALL SELECT 'world', bool_and(ok) FROM g WHERE r_regionkey IN (0, 2)"""
 )
 def g9_binary(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers, and the nations of the two regions that are mandatory without a choice."""
+    """All nodes; below the regions that aren't mandatory, or are a choice, nothing is present."""
     features, own = supply_tree(spark, d)
     inner = features.join(own, features["id"] == own["feature"], "left_anti").select(F.col("id").alias("feature"), F.lit(True).alias("covered"))
-    out = X.binary_roll_up(X.resolve_status(features), own.select("feature", (F.col("covered") == 1).alias("covered")).unionByName(inner))
-    kept = own.select(F.col("feature").alias("id")).unionByName(table(spark, d, "nation").where("n_regionkey in (0, 2)").select(F.col("n_name").alias("id")))
-    return out.join(kept, "id", "left_semi")
+    return X.binary_roll_up(X.resolve_status(features), own.select("feature", (F.col("covered") == 1).alias("covered")).unionByName(inner))
 
 
 @query(
-    """WITH m AS (SELECT s_name, n_name, r_name, CAST(l_linenumber AS VARCHAR) AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_quantity = 50),
+    """WITH m AS (SELECT DISTINCT s_name, n_name, r_name, CAST(l_linenumber AS VARCHAR) || l_returnflag AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 u AS (SELECT s_name AS id, member FROM m UNION SELECT n_name, member FROM m UNION SELECT r_name, member FROM m UNION SELECT 'world', member FROM m)
 SELECT id, string_agg(member, ',' ORDER BY member) AS members FROM u GROUP BY id"""
 )
 def g10_sets(spark: SparkSession, d: str) -> DataFrame:
     features, _ = supply_tree(spark, d)
-    lines = table(spark, d, "lineitem").where("l_quantity = 50").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    own = lines.select(F.col("s_name").alias("feature"), F.col("l_linenumber").cast("string").alias("member"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    own = lines.select(F.col("s_name").alias("feature"), F.concat(F.col("l_linenumber").cast("string"), "l_returnflag").alias("member"))
     return X.set_roll_up(features, own).withColumn("members", F.array_join("members", ","))
 
 
@@ -73,10 +76,10 @@ def s21_resources(spark: SparkSession, d: str) -> DataFrame:
     return R.expand_resources(table(spark, d, "nation").select(F.col("n_name").alias("name"), (r == 0).alias("api"), only.alias("only"), F.when(r == 2, F.array(F.lit("destroy"))).alias("excepted")))
 
 
-@query("WITH s AS (SELECT o_orderkey, o_orderpriority AS path, o_orderstatus AS method, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS n FROM orders) SELECT CASE WHEN method = 'P' THEN 'excluded-method' WHEN n > 1 THEN 'duplicate' ELSE 'kept' END AS disposition, count(*) AS n FROM s GROUP BY 1")
-def f5_dispositions(spark: SparkSession, d: str) -> DataFrame:
+@query("WITH s AS (SELECT o_orderkey, o_orderpriority AS path, o_orderstatus AS method, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS n FROM orders) SELECT o_orderkey AS pos, CASE WHEN method = 'P' THEN 'excluded-method' WHEN n > 1 THEN 'duplicate' ELSE 'kept' END AS disposition FROM s")
+def op_p5_dispositions(spark: SparkSession, d: str) -> DataFrame:
     surfaces = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("path"), F.col("o_orderstatus").alias("method"))
-    return R.dispose(surfaces, ["F", "O"]).groupBy("disposition").agg(F.count("*").alias("n"))
+    return R.dispose(surfaces, ["F", "O"]).select("pos", "disposition")
 
 
 @query("WITH t AS (SELECT p_partkey AS pos, '/' || p_brand || '/{' || p_name || '}' AS path, p_brand FROM part), n AS (SELECT path, first_value(path) OVER (PARTITION BY p_brand ORDER BY pos) AS first, row_number() OVER (PARTITION BY p_brand ORDER BY pos) AS k FROM t) SELECT path, first FROM n WHERE k > 1")
@@ -85,9 +88,17 @@ def w5_collisions(spark: SparkSession, d: str) -> DataFrame:
     return R.shape_collisions(table(spark, d, "part").select(F.col("p_partkey").alias("pos"), path.alias("path")))
 
 
-@query("SELECT event_type, CASE lower(event_type) WHEN 'view' THEN 'view' ELSE lower(event_type) END AS operation, count(*) AS n FROM events GROUP BY ALL")
-def f9_effects(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type", R.effect_operation(F.upper("event_type")).alias("operation")).agg(F.count("*").alias("n"))
+_EFFECTS = ["Extract", "read", "SELECT", "load", "Insert", "append", "upsert", "Merge", "update", "delete", "Truncate", "create", "Remove", "other"]
+
+
+@query(
+    """WITH e AS (SELECT event_id, ['Extract', 'read', 'SELECT', 'load', 'Insert', 'append', 'upsert', 'Merge', 'update', 'delete', 'Truncate', 'create', 'Remove', 'other'][1 + event_id % 14] AS effect FROM events)
+SELECT effect, CASE WHEN lower(effect) IN ('extract', 'read', 'select') THEN 'read' WHEN lower(effect) IN ('load', 'insert', 'append') THEN 'create' WHEN lower(effect) IN ('upsert', 'merge', 'update') THEN 'update' WHEN lower(effect) IN ('delete', 'truncate') THEN 'delete' ELSE lower(effect) END AS operation, count(*) AS n FROM e GROUP BY ALL"""
+)
+def op_p3_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Every event has one of the effects; two of them are no known ones."""
+    effect = F.array(*[F.lit(x) for x in _EFFECTS])[(F.col("event_id") % 14).cast("int")]
+    return table(spark, d, "events").select(effect.alias("effect")).groupBy("effect", R.effect_operation(F.col("effect")).alias("operation")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS id, o AS outcome FROM events, (VALUES ('true'), ('false')) AS v(o) WHERE event_type = 'click' UNION ALL SELECT CAST(event_id AS VARCHAR), 'raised' FROM events WHERE event_type = 'error'")
@@ -102,7 +113,7 @@ def j22_schema_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT path FROM (SELECT path FROM doc_bodies UNION ALL SELECT file_path FROM process_files) WHERE len(string_split(path, '/')) <= 2")
-def f21_shallow(spark: SparkSession, d: str) -> DataFrame:
+def op_p21_shallow(spark: SparkSession, d: str) -> DataFrame:
     both = table(spark, d, "doc_bodies").select("path").unionByName(table(spark, d, "process_files").select(F.col("file_path").alias("path")))
     return D.shallow(both, 2).select("path")
 
@@ -117,10 +128,11 @@ def d3_seeded(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(D.seeded_unit(F.col("event_id")), 4).alias("unit"))
 
 
-@query("SELECT event_id, 'k' AS repeated FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'k' ELSE 'k,x' END AS repeated FROM events")
 def m3_repeated_members(spark: SparkSession, d: str) -> DataFrame:
-    twice = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "x": 1, "k": 2}'))
-    return table(spark, d, "events").select("event_id", F.array_join(D.repeated_members(twice), ",").alias("repeated"))
+    """Objects in which no member, one or two come again."""
+    tail = F.when(F.col("event_id") % 3 == 0, ', "y": {"k": 1}}').when(F.col("event_id") % 3 == 1, ', "x": 1, "k": 2}').otherwise(', "x": 1, "k": 2, "x": 3, "x": 4}')
+    return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(D.repeated_members(F.concat(F.regexp_replace("props", r"\}$", ""), tail))), ",").alias("repeated"))
 
 
 @query("WITH o AS (SELECT path, arg_max(updated, ingested_at) AS u, arg_max(example, ingested_at) AS e FROM frontmatter WHERE path IS NOT NULL GROUP BY path) SELECT path, 'full' AS mode FROM o WHERE NOT coalesce(e, false)")
