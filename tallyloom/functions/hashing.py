@@ -42,3 +42,17 @@ def manifest_digest(files: DataFrame, path: str, content_digest: Column) -> Data
     """
     lines = files.select(F.concat_ws(" ", F.col(path), content_digest).alias("line")).distinct()
     return lines.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("tree"), F.count("*").alias("files"))
+
+
+def rows_digest(df: DataFrame) -> str:
+    """A digest of a table's rows, repeated ones counted, that doesn't depend on their order or place.
+
+    Two sums of 64 bit hashes and the count: partial sums only, so nothing is sorted or
+    collected.
+    """
+
+    def total(salt: str) -> Column:
+        return F.coalesce(F.sum(F.xxhash64(F.lit(salt), *[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+
+    row = df.agg(F.count("*").alias("n"), total("a").alias("a"), total("b").alias("b")).first()
+    return f"{row['n']}-{int(row['a']) & (1 << 96) - 1:x}-{int(row['b']) & (1 << 96) - 1:x}"

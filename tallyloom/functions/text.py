@@ -119,7 +119,7 @@ def source_prefix(url: Column) -> Column:
     host = F.lower(F.coalesce(F.try_parse_url(F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/\s]"), url), F.lit("HOST")), F.lit("")))
     parts = F.split(host, r"\.")
     second = F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2)))
-    first = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda x: x != "")[0]
+    first = F.try_element_at(F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda x: x != ""), F.lit(1))
     sub = F.regexp_extract(host, r"^(?:docs|api)\.([a-z0-9-]+)\.[a-z]+$", 1)
     out = F.when(host == "", "")
     for said, name in SOURCE_NAMES.items():
@@ -143,3 +143,26 @@ def text_paths(c: Column) -> Column:
     fenced = F.transform(F.regexp_extract_all(c, F.lit(rf"```(\S+\.(?:{ENDINGS}))"), 1), lambda x: F.regexp_replace(x, r":\d+-\d+.*$", ""))
     shapes = [rf"(?m)^##\s+.*?{_FILE}", rf"{_FILE}:\d+-\d+", rf"`{_FILE}`", rf"//\s+{_FILE}", rf"\*\*{_FILE}\*\*"]
     return F.array_distinct(F.flatten(F.array(fenced, *[F.regexp_extract_all(c, F.lit(x), 1) for x in shapes])))
+
+
+def singular(c: Column) -> Column:
+    """English singular of a plural: ies to y, es after a sibilant, else a trailing s that isn't doubled; dashes as underscores."""
+    said = F.replace(c, F.lit("-"), F.lit("_"))
+    return F.when(said.rlike("(?i)[^aeiou]ies$"), F.regexp_replace(said, "(?i)ies$", "y")).when(said.rlike("(?i)(?:s|x|z|ch|sh)es$"), F.regexp_replace(said, "(?i)es$", "")).when(said.rlike("(?i)[^s]s$"), F.regexp_replace(said, "(?i)s$", "")).otherwise(said)
+
+
+def unquoted_route(c: Column, suffixes: list[str]) -> Column:
+    """Struct ``path, method`` of a route literal: one quote off each side, a leading ``VERB`` as the method, the first suffix that fits cut off."""
+    bare = F.regexp_replace(F.regexp_replace(c, "^[\"'`]", ""), "[\"'`]$", "")
+    method = F.regexp_extract(bare, r"^([A-Z]+)\s+", 1)
+    path = F.when(method != "", F.regexp_replace(bare, r"^[A-Z]+\s+", "")).otherwise(bare)
+    out = F.when(F.lit(False), path)
+    for suffix in suffixes:
+        if suffix:
+            out = out.when(path.endswith(suffix), F.substring(path, F.lit(1), F.length(path) - len(suffix)))
+    return F.struct(out.otherwise(path).alias("path"), F.when(method != "", method).alias("method"))
+
+
+def unescaped_pointer(c: Column) -> Column:
+    """A part of a JSON pointer as the name it stands for."""
+    return F.replace(F.replace(c, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))

@@ -67,3 +67,40 @@ def budget_score(actual: Column, budget: float) -> Column:
 def latest_runs(runs: DataFrame, at: str, tie: str, n: int = 20) -> DataFrame:
     """The n latest runs, ties by name."""
     return runs.orderBy(F.col(at).desc(), F.col(tie)).limit(n)
+
+
+def run_report(runs: DataFrame, baseline: str, experiment: str) -> DataFrame:
+    """``test_case_id, metric, baseline, experiment, delta, delta_pct, improved`` of the cases that two tags have in common.
+
+    ``runs`` is as ``read_runs`` gives it; of several runs of one case and tag the last
+    counts. Scores are better when higher, the rest when lower; a score that one run lacks
+    is 0, and the percentage is 0 where the baseline is.
+    """
+    numbers = F.map_concat(
+        F.transform_keys("scores", lambda k, _: F.concat(F.lit("score:"), k)),
+        F.create_map(*[x for c, n in (("duration_ms", "total_duration_ms"), ("input_tokens", "input_tokens"), ("output_tokens", "output_tokens"), ("api_calls", "api_calls")) for x in (F.lit(f"perf:{c}"), F.col(n).cast("double"))]),
+    )
+
+    def side(tag: str, name: str) -> DataFrame:
+        last = runs.where(F.col("run_id").contains(tag)).groupBy("test_case_id").agg(F.max_by(numbers, F.struct("timestamp", "run_id")).alias("m"))
+        return last.select("test_case_id", F.explode("m").alias("metric", name))
+
+    old, new = side(baseline, "baseline"), side(experiment, "experiment")
+    common = old.select("test_case_id").distinct().join(new.select("test_case_id").distinct(), "test_case_id")
+    both = old.join(new, ["test_case_id", "metric"], "full").join(common, "test_case_id", "left_semi").select("test_case_id", "metric", F.coalesce("baseline", F.lit(0.0)).alias("baseline"), F.coalesce("experiment", F.lit(0.0)).alias("experiment"))
+    delta = F.col("experiment") - F.col("baseline")
+    share = F.when(F.col("baseline") != 0, delta / F.col("baseline") * 100).otherwise(0.0)
+    return both.select("*", delta.alias("delta"), share.alias("delta_pct"), F.when(F.col("metric").startswith("score:"), delta > 0).otherwise(delta < 0).alias("improved"))
+
+
+def scoped_evidence(results: DataFrame, only: list[str] | None, diagnostic: bool) -> tuple[DataFrame, DataFrame]:
+    """The results of a run in a scope that count, and the failures its scope adds.
+
+    ``results`` has ``id, outcome, status``. ``only`` narrows to some outcomes; a diagnostic
+    run credits nothing: its results are excluded. A scope that isn't whole always adds a
+    failure, so it can't pass for a whole one.
+    """
+    kept = results if only is None else results.where(F.col("outcome").isin(only))
+    counted = kept.withColumn("status", F.lit("excluded")) if diagnostic else kept
+    partial = [("partial-scope",)] if only is not None or diagnostic else []
+    return counted, results.sparkSession.createDataFrame(partial, "failure string")

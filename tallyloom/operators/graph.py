@@ -123,3 +123,65 @@ def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges of which both ends are nodes; those with a null end are left out."""
     keys = nodes.select("node").distinct()
     return edges.join(keys.withColumnRenamed("node", "src"), "src", "left_semi").join(keys.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+# The cases that a family must show, by what it is or reaches.
+CASES = {
+    "always": ("observable-success",), "branching": ("each-branch-outcome", "guard-rejection"), "grant": ("granted-actor", "ungranted-actor"), "schedule": ("not-due", "due", "repeat-invocation"), "effects": ("external-success", "external-failure"),
+}
+
+
+def family_metrics(nodes: DataFrame, edges: DataFrame, root_kinds: list[str], relations: list[str]) -> DataFrame:
+    """``id, kind, reachable, branches, effects, predicates, required_cases`` of each root of a catalog.
+
+    The root itself is none of what it reaches. Counts are folded per root before anything
+    else, so a root that reaches very many nodes is one row.
+    """
+    roots = nodes.where(F.col("kind").isin(root_kinds)).select(F.col("id").alias("root"))
+    reached = reach(roots, edges.where(F.col("relation").isin(relations))).where("hop > 0").join(nodes.select(F.col("id").alias("node"), "kind"), "node")
+    counts = reached.groupBy("root").agg(
+        F.count("*").alias("reachable"),
+        F.count_if(F.col("kind") == "branch-candidate").alias("branches"),
+        F.count_if(F.col("kind").isin("effect", "platform-operation")).alias("effects"),
+        F.count_if(F.col("kind") == "predicate").alias("predicates"),
+    )
+    out = nodes.join(roots.distinct(), F.col("id") == F.col("root"), "left_semi").join(counts, F.col("id") == F.col("root"), "left").drop("root")
+    out = out.select("id", "kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("reachable", "branches", "effects", "predicates")])
+    told = {"always": F.lit(True), "branching": (F.col("branches") > 0) | (F.col("predicates") > 0), "grant": F.col("kind") == "grant", "schedule": F.col("kind") == "schedule", "effects": F.col("effects") > 0}
+    none = F.array().cast("array<string>")
+    return out.withColumn("required_cases", F.concat(*[F.when(told[k], F.array(*[F.lit(c) for c in cases])).otherwise(none) for k, cases in CASES.items()]))
+
+
+def catalog_report(census: DataFrame, dependencies: DataFrame, focus: str | None = None, samples: int = 4) -> DataFrame:
+    """``section, line``: the counts of each section, and the first dependents of each owner and field.
+
+    ``census`` has ``section, n``, ``dependencies`` has ``owner, field, target``. A focus
+    keeps the owners that contain it, in any letter case. All dependents are counted; only
+    the first ``samples`` by name are shown.
+    """
+    sums = census.groupBy("section").agg(F.sum("n").alias("n")).select(F.lit("census").alias("section"), F.concat_ws(": ", "section", F.col("n").cast("string")).alias("line"))
+    kept = dependencies.distinct() if focus is None else dependencies.where(F.lower("owner").contains(focus.lower())).distinct()
+    counted = kept.groupBy("owner", "field").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("owner", "field").orderBy("target"))
+    first = kept.withColumn("_r", rank).where(F.col("_r") <= samples).groupBy("owner", "field").agg(F.array_join(F.sort_array(F.collect_list("target")), ", ").alias("shown"))
+    more = F.when(F.col("n") > samples, F.concat(F.lit(" and "), (F.col("n") - samples).cast("string"), F.lit(" more"))).otherwise("")
+    lines = counted.join(first, ["owner", "field"]).select(F.lit("dependencies").alias("section"), F.concat("owner", F.lit("."), "field", F.lit(" > "), "shown", more).alias("line"))
+    return sums.unionByName(lines)
+
+
+def surface_limits(obligations: DataFrame, silent: DataFrame) -> DataFrame:
+    """``adapter, kind, id, reason`` of what flow reading couldn't resolve: adapters without surfaces, and unresolved obligations.
+
+    ``obligations`` has ``adapter, id, kind, reason``, of which only those of kind
+    unresolved count; ``silent`` has ``adapter, reason``. Dynamic routes and boundaries are
+    told apart by their ids. Adapters that aren't known come first when ordered.
+    """
+    kind = F.when(F.col("id").endswith(":dynamic-route"), "dynamic-route").when(F.col("id").startswith("boundary:"), "boundary").otherwise("unresolved")
+    named = obligations.where("kind = 'unresolved'").select("adapter", kind.alias("kind"), "id", F.when(F.coalesce("reason", F.lit("")) != "", F.col("reason")).otherwise(F.col("id")).alias("reason"))
+    return silent.select("adapter", F.lit("no-surfaces").alias("kind"), F.lit(None).cast("string").alias("id"), "reason").unionByName(named).orderBy(F.asc_nulls_first("adapter"), "kind", F.asc_nulls_first("id"), "reason")
+
+
+def inverted(df: DataFrame, key: str, values: str) -> DataFrame:
+    """``value, keys``: a map of lists turned round, keys distinct and sorted; nulls are left out."""
+    pairs = df.select(F.col(key).alias("key"), F.explode(values).alias("value")).where("value is not null and key is not null").distinct()
+    return pairs.groupBy("value").agg(F.sort_array(F.collect_list("key")).alias("keys"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.storage import read_text
+
 HAR_SCHEMA = "log struct<entries:array<struct<request:struct<method:string,url:string>>>>"
 
 
@@ -48,7 +50,8 @@ def read_binary_digests(spark: SparkSession, folder: str, glob: str = "*") -> Da
 def read_transcript(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """Tool calls ``pos, name, input`` and totals ``input_tokens, output_tokens, duration_ms`` of transcripts in lines of JSON.
 
-    Broken lines are dropped. Totals are those of the result rows, not sums over messages.
+    Broken lines are left out; ``broken_lines`` counts them. Totals are those of the result
+    rows, not sums over messages.
     """
     schema = "type string, message struct<content:array<struct<type:string,name:string,input:string>>>, usage struct<input_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint,output_tokens:bigint>, duration_ms double"
     rows = lines.select(F.from_json(column, schema).alias("j"), *[c for c in lines.columns if c != column]).where("j.type is not null")
@@ -58,10 +61,36 @@ def read_transcript(lines: DataFrame, column: str = "value") -> tuple[DataFrame,
     return calls, totals
 
 
+def broken_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """One row ``lines, broken``: how many lines there are, and how many of them hold no JSON object."""
+    said = F.col(column)
+    object_ = F.from_json(said, "map<string,string>").isNotNull() & F.trim(said).startswith("{") & F.trim(said).endswith("}")
+    return lines.where(F.trim(said) != "").agg(F.count("*").alias("lines"), F.count_if(~F.coalesce(object_, F.lit(False))).alias("broken"))
+
+
+def read_runs(spark: SparkSession, folder: str, tag: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The evaluation runs of a folder of JSON files, and the files that hold none.
+
+    Runs: ``run_id, test_case_id, timestamp, mode, scores`` (map), ``total_duration_ms,
+    input_tokens, output_tokens, api_calls, files_selected, slices_selected``, defaults
+    where a member is missing; with a tag those whose id contains it.
+    """
+    schema = "run_id string, test_case_id string, timestamp string, mode string, scores map<string,double>, total_duration_ms double, input_tokens bigint, output_tokens bigint, api_calls bigint, selected_files array<string>, selected_slices array<string>"
+    texts = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.json").load(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+    read = texts.withColumn("j", F.from_json("value", schema)).withColumn("ok", F.from_json("value", "map<string,string>").isNotNull())
+
+    def member(name: str, default) -> Column:
+        return F.coalesce(F.col(f"j.{name}"), F.lit(default)).alias(name)
+
+    sizes = [F.greatest(F.coalesce(F.size(f"j.selected_{c}"), F.lit(0)), F.lit(0)).alias(f"{c}_selected") for c in ("files", "slices")]
+    scores = F.coalesce("j.scores", F.create_map().cast("map<string,double>")).alias("scores")
+    runs = read.where("ok").select(member("run_id", "unknown"), member("test_case_id", "unknown"), member("timestamp", ""), member("mode", "mcp"), scores, member("total_duration_ms", 0.0), member("input_tokens", 0), member("output_tokens", 0), member("api_calls", 0), *sizes)
+    return runs if tag is None else runs.where(F.col("run_id").contains(tag)), read.where("not ok").select("file")
+
+
 def read_exemptions(spark: SparkSession, path: str) -> DataFrame:
     """``pos, entity, surface, cell, reason, date`` of the exemptions in a TOML file, in their order; malformed ones too."""
-    with open(path, "rb") as f:
-        entries = tomllib.load(f).get("exempt", [])
+    entries = tomllib.loads(read_text(spark, path)).get("exempt", [])
     names = ("entity", "surface", "cell", "reason", "date")
     rows = [(i, *[None if e.get(n) is None else str(e[n]) for n in names]) for i, e in enumerate(entries)]
     return spark.createDataFrame(rows, "pos int, " + ", ".join(f"{n} string" for n in names))

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import markdown_cell
+from tallyloom.sources.storage import write_text
 
 
 def write_artifact(path: str, kind: str, body: dict, derived_from: dict | None = None) -> None:
     """One JSON artifact with sorted keys and a newline at its end; ``body`` is small. An existing file is replaced."""
     whole = {"schema_version": 1, "kind": kind, "derived_from": derived_from or {}, **body}
-    Path(path).write_text(json.dumps(whole, indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
+    write_text(SparkSession.active(), path, json.dumps(whole, indent=2, sort_keys=True, ensure_ascii=False) + "\n")
 
 
 def differences(old: DataFrame, new: DataFrame) -> DataFrame:
