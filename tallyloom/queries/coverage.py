@@ -47,13 +47,13 @@ _ACCOUNTS = """
 WITH entities AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS entity FROM customer),
 st AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, o_orderpriority AS surface, o_orderstatus AS op FROM orders),
 rt AS (SELECT CAST(user_id * 11 AS VARCHAR) AS entity, CASE WHEN value < 20 THEN 'test:' || event_type ELSE event_type END AS surface, 'P' AS op, CAST(event_id AS VARCHAR) AS test FROM events),
-sg AS (SELECT entity, string_agg(DISTINCT surface, ',' ORDER BY surface) AS ss, string_agg(DISTINCT op, ',' ORDER BY op) AS so FROM st GROUP BY entity),
+sg AS (SELECT entity, string_agg(DISTINCT surface, ',' ORDER BY surface) AS ss, string_agg(DISTINCT op, ',' ORDER BY op) AS so, string_agg(DISTINCT op, ',' ORDER BY op) FILTER (WHERE op <> 'P') AS sx FROM st GROUP BY entity),
 rg AS (SELECT entity, string_agg(DISTINCT surface, ',' ORDER BY surface) AS rs, string_agg(DISTINCT op, ',' ORDER BY op) AS ro, string_agg(DISTINCT test, ',' ORDER BY test) AS tests, bool_or(NOT starts_with(surface, 'test:')) AS via FROM rt GROUP BY entity),
 keys AS (SELECT entity FROM entities UNION SELECT entity FROM rg),
 cov AS (
   SELECT k.entity, CASE WHEN sg.entity IS NOT NULL AND rg.entity IS NOT NULL THEN 'both' WHEN sg.entity IS NOT NULL THEN 'static_only' WHEN rg.entity IS NOT NULL THEN 'runtime_only' ELSE 'neither' END AS cell,
     e.entity IS NOT NULL AS declared, coalesce(ss, '') AS static_surfaces, coalesce(rs, '') AS runtime_surfaces, coalesce(so, '') AS static_operations, coalesce(ro, '') AS runtime_operations,
-    CASE WHEN so IS NOT NULL AND so <> coalesce(ro, '') THEN so ELSE '' END AS untested_operations, coalesce(tests, '') AS tests, coalesce(NOT via, false) AS reached_only_by_tests
+    CASE WHEN rg.entity IS NULL THEN coalesce(so, '') ELSE coalesce(sx, '') END AS untested_operations, coalesce(tests, '') AS tests, coalesce(NOT via, false) AS reached_only_by_tests
   FROM keys k LEFT JOIN entities e ON e.entity = k.entity LEFT JOIN sg ON sg.entity = k.entity LEFT JOIN rg ON rg.entity = k.entity
 )"""
 

@@ -18,8 +18,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    tree = hierarchy(latest_links(table(spark, d, "features")))
-    return tree.select("id", "finding", "true_root", "depth", F.concat_ws("/", "path").alias("path"), (F.col("size") - 1).alias("descendants"), "enter", (F.col("enter") + F.col("size")).alias("leave"))
+    tree = hierarchy(latest_links(table(spark, d, "features")), with_intervals=False)
+    return tree.select("id", "finding", "true_root", "depth", F.when(F.col("path").isNotNull(), F.concat_ws("/", "path")).alias("path"), (F.col("size") - 1).alias("descendants"))
+
+
+def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants of each feature as an interval of its root, and its chain: rows of fixed size, however deep the model."""
+    tree = hierarchy(latest_links(table(spark, d, "features")), with_paths=False)
+    return tree.select("id", "true_root", "chain", "chain_pos", "enter", (F.col("enter") + F.col("size")).alias("leave"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +70,7 @@ def p7_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return flat["obligations[].outcomes"].join(above, ["record", "parent_id"]).select(F.col("record").alias("inv_id"), "obligation", "node_id", F.col("value").alias("outcome"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p3_found, p3_report, p5_found, p5_nested, p5_union, p5_records, p7_found, p7_rejected, p7_outcomes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_intervals, p3_found, p3_report, p5_found, p5_nested, p5_union, p5_records, p7_found, p7_rejected, p7_outcomes)}
 
 _P3 = r"""
 WITH said AS (
@@ -92,8 +98,7 @@ found AS (
   FROM judged WHERE NOT ok
 )"""
 
-SQL = {
-    "p1_found": r"""
+_P1 = r"""
 WITH RECURSIVE picked AS (
   SELECT DISTINCT f.id, CASE WHEN trim(f.parent) <> '' THEN f.parent END AS parent, CASE WHEN trim(f.root) <> '' THEN f.root END AS root
   FROM features f JOIN (SELECT id, max(revision) AS r FROM features GROUP BY id) m ON f.id = m.id AND f.revision = m.r
@@ -111,8 +116,31 @@ ends AS (
 said AS (
   SELECT e.start AS id, CASE WHEN dangling THEN 'dangling' WHEN on_cycle THEN 'cycle' WHEN top IS NULL THEN 'below_cycle' WHEN p.root <> top THEN 'wrong_root' END AS finding
   FROM ends e JOIN picked p ON p.id = e.start
-)
-SELECT id, finding FROM said WHERE finding IS NOT NULL""",
+)"""
+
+SQL = {
+    "p1_found": _P1 + " SELECT id, finding FROM said WHERE finding IS NOT NULL",
+    "p1_hierarchy": _P1
+    + """,
+down AS (
+  SELECT id, [id] AS path FROM picked WHERE parent IS NULL OR parent NOT IN (SELECT id FROM picked)
+  UNION ALL SELECT p.id, list_append(d.path, p.id) FROM down d JOIN picked p ON p.parent = d.id
+),
+sizes AS (SELECT x AS id, count(*) - 1 AS n FROM (SELECT unnest(path) AS x FROM down) GROUP BY x)
+SELECT p.id, s.finding, d.path[1] AS true_root, len(d.path) - 1 AS depth, array_to_string(d.path, '/') AS path, z.n AS descendants
+FROM picked p JOIN said s ON s.id = p.id LEFT JOIN down d ON d.id = p.id LEFT JOIN sizes z ON z.id = p.id""",
+    "p5_union": r"""
+WITH r AS (SELECT DISTINCT file_no, raw_json AS j FROM process_files WHERE json_valid(raw_json)),
+f AS (SELECT file_no, unnest(json_keys(j)) AS k, j FROM r),
+v AS (SELECT file_no, k, json_extract(j, '$."' || k || '"') AS x FROM f),
+e AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(json_extract(x, '$[*]'), lambda y: json_type(y)), lambda y: y <> 'NULL'))) AS inner_types FROM v WHERE json_type(x) <> 'NULL'),
+t AS (
+  SELECT file_no, k, CASE json_type(x) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'DOUBLE' THEN 'double' WHEN 'ARRAY' THEN
+    CASE WHEN json_array_length(x) = 0 THEN 'array<empty>' WHEN inner_types = ['VARCHAR'] THEN 'array<string>' WHEN inner_types = ['OBJECT'] THEN 'array<object>' ELSE 'array<other>' END ELSE 'bigint' END AS said FROM e
+),
+g AS (SELECT k, count(DISTINCT file_no) AS n, list_distinct(list(said)) AS ts FROM t GROUP BY k),
+h AS (SELECT k, n, CASE WHEN len(list_filter(ts, lambda y: starts_with(y, 'array<') AND y <> 'array<empty>')) > 0 THEN list_filter(ts, lambda y: y <> 'array<empty>') ELSE ts END AS ts FROM g)
+SELECT k AS field_name, CASE WHEN len(ts) = 1 THEN ts[1] WHEN list_sort(ts) = ['bigint', 'double'] THEN 'double' ELSE 'string' END AS union_type, n AS n_files FROM h""",
     "p3_found": _P3 + " SELECT * FROM found",
     "p3_report": _P3 + " SELECT ref_field, ref_month, ref_state, count(*) AS orphans, count(DISTINCT ref_id) AS keys FROM found GROUP BY ALL",
 }
