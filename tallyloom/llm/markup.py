@@ -179,8 +179,8 @@ def parse_html(source: str, root: Node, origin: str = "html") -> None:
                 hidden.append(name)
                 stack[-1][1].add(Node("hidden", f"{origin}:hidden:{name}", "", len(m[0])))
             continue
-        attrs = _attrs(m["attrs"])
-        tokens = tuple(sorted(f"{k}={v}" if k == "class" else k for k, v in attrs.items()))
+        attrs = _attrs(m["attrs"]) if m["attrs"] else {}
+        tokens = tuple(sorted(f"{k}={v}" if k == "class" else k for k, v in attrs.items())) if attrs else ()
         if name in ("code", "kbd", "samp", "tt", "var"):
             inline_code = max(0, inline_code + (-1 if closing else 1))
         elif name == "img":
@@ -263,6 +263,7 @@ _MD_SIGNS = re.compile(r"[\\`*_\[\]<&!$~]")
 _MD_IMAGE = re.compile(r"!\[([^\[\]]*)\](?:\([^()]*(?:\([^()]*\)[^()]*)*\)|\[[^\[\]]*\])?")
 _MD_WIKI = re.compile(r"\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]")
 _MD_LINK = re.compile(r"\[([^\[\]]*)\]\(\s*(?:<[^<>]*>|[^()\s]*(?:\([^()]*\)[^()\s]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
+_MD_FOOTNOTE = re.compile(r"\[\^[^\[\]\s]+\]")
 _MD_REF = re.compile(r"\[([^\[\]]+)\]\[([^\[\]]*)\]")
 _MD_SHORT = re.compile(r"\[([^\[\]]+)\]")
 _MD_STAR = re.compile(r"(?<!\*)(\*{1,3})(?=[^\s*])(.*?[^\s*]|[^\s*])\1(?!\*)", re.S)
@@ -302,18 +303,21 @@ def md_inline(source: str, node: Node, refs: frozenset[str] | set[str] = frozens
             return kept.put(_attrs(m["attrs"]).get("alt", ""))
         return " " if name in ("br", "hr", "p", "div") else ""
 
-    text = _TAG.sub(tag, text)
-    text = _MD_IMAGE.sub(lambda m: m[1], text)
-    text = re.sub(r"\[\^[^\[\]\s]+\]", "", text)
-    text = _MD_WIKI.sub(lambda m: m[2] if m[2] is not None else m[1], text)
-    before = None
-    while before != text:
-        before = text
-        text = _MD_LINK.sub(lambda m: m[1], text)
-        text = _MD_REF.sub(lambda m: m[1] if (m[2] or m[1]).casefold() in refs else m[0], text)
-    text = _MD_SHORT.sub(lambda m: m[1] if squeeze(m[1]).casefold() in refs else m[0], text)
+    if "<" in text:
+        text = _TAG.sub(tag, text)
+    if "[" in text:
+        text = _MD_IMAGE.sub(lambda m: m[1], text)
+        text = _MD_FOOTNOTE.sub("", text)
+        text = _MD_WIKI.sub(lambda m: m[2] if m[2] is not None else m[1], text)
+        before = None
+        while before != text and "[" in text:
+            before = text
+            text = _MD_LINK.sub(lambda m: m[1], text)
+            text = _MD_REF.sub(lambda m: m[1] if (m[2] or m[1]).casefold() in refs else m[0], text)
+        if refs:
+            text = _MD_SHORT.sub(lambda m: m[1] if squeeze(m[1]).casefold() in refs else m[0], text)
     before = None
-    while before != text:
+    while before != text and ("*" in text or "_" in text or "~~" in text):
         before = text
         text = _MD_STAR.sub(lambda m: m[2], text)
         text = _MD_UNDER.sub(lambda m: m[2], text)
@@ -323,8 +327,13 @@ def md_inline(source: str, node: Node, refs: frozenset[str] | set[str] = frozens
 
 _MD_FENCE = re.compile(r"^( *)(`{3,}(?=[^`]*$)|~{3,})(.*)$")
 _MD_ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_MD_ITEM_SIGNS = frozenset("-+*0123456789")
 _MD_ITEM = re.compile(r"^([ \t]*)([-+*]|\d{1,9}[.)])(?:([ \t]+)(.*))?$")
 _MD_RULE = re.compile(r"^ {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
+_MD_SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
+_MD_MATH = re.compile(r"^\s*(\$\$|\\\[)")
+_MD_QUOTE = re.compile(r"^ {0,3}(?:> ?)+")
+_MD_OPEN_TAG = re.compile(r"<[A-Za-z][^<>]*$")
 _MD_DEFINITION = re.compile(r"^ {0,3}\[([^\]]+)\]:[ \t]*\S+")
 _MD_TABLE = re.compile(r"^ {0,3}\|.*\|[ \t]*$|^ {0,3}:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?$")
 _MD_HTML = re.compile(r"^ {0,3}</?(?P<name>[A-Za-z][A-Za-z0-9-]*)(?=[\s/>])|^ {0,3}<!--|^ {0,3}<![A-Z]|^ {0,3}<\?")
@@ -379,7 +388,7 @@ class _Item:
 def parse_markdown(source: str, root: Node) -> None:
     """The blocks of Markdown with HTML in it, below ``root``."""
     lines = source.split("\n")
-    refs = {squeeze(m[1]).casefold() for m in map(_MD_DEFINITION.match, lines) if m}
+    refs = {squeeze(m[1]).casefold() for m in map(_MD_DEFINITION.match, lines) if m} if "]:" in source else set()
     items: list[_Item] = []
     paragraph: list[str] = []
     blank = True
@@ -408,17 +417,20 @@ def parse_markdown(source: str, root: Node) -> None:
             blank = True
             i += 1
             continue
-        indent = _columns(line[: len(line) - len(line.lstrip(" \t"))])
+        bare = line.lstrip(" \t")
+        # what a line can begin is told by its first sign
+        lead = bare[:1]
+        indent = _columns(line[: len(line) - len(bare)]) if len(bare) < len(line) else 0
         if blank and items:
             # after a blank line only deeper lines and further items go on
             keep = len(items)
             while keep and indent < items[keep - 1].offset:
                 keep -= 1
-            marker = _MD_ITEM.match(line)
+            marker = _MD_ITEM.match(line) if lead in _MD_ITEM_SIGNS else None
             if not (marker and marker[3] is not None and not _MD_RULE.match(line)):
                 close(keep)
         base = items[-1].offset if items and indent >= items[-1].offset else 0
-        fence = _MD_FENCE.match(line)
+        fence = _MD_FENCE.match(line) if lead in "`~" else None
         if fence and indent - base < 4:
             if not items or indent < items[-1].offset:
                 close(sum(1 for x in items if indent >= x.offset))
@@ -434,8 +446,8 @@ def parse_markdown(source: str, root: Node) -> None:
                 here().add(Node("code_block", "md:code:fence" if mark[0] == "`" else "md:code:tilde", squeeze("\n".join(body)), sum(map(len, body)), info))
             i, blank = j + 1, False
             continue
-        marker = _MD_ITEM.match(line)
-        rule = _MD_RULE.match(line)
+        marker = _MD_ITEM.match(line) if lead in _MD_ITEM_SIGNS else None
+        rule = _MD_RULE.match(line) if lead in "-*_" else None
         if marker and marker[3] is None and not (items or blank):
             marker = None
         if marker and marker[2][:-1].isdigit() and paragraph and not items and marker[2][:-1] != "1":
@@ -463,13 +475,13 @@ def parse_markdown(source: str, root: Node) -> None:
             blank = False
             i += 1
             continue
-        if not items and paragraph and re.match(r"^ {0,3}(=+|-+)[ \t]*$", line):
+        if lead in "=-" and not items and paragraph and _MD_SETEXT.match(line):
             node = root.add(Node("heading", "md:h:setext" + line.strip()[0], "", sum(map(len, paragraph))))
             node.text = md_inline("\n".join(paragraph), node, refs)
             paragraph.clear()
             i, blank = i + 1, True
             continue
-        atx = _MD_ATX.match(line[base:] if base else line)
+        atx = _MD_ATX.match(line[base:] if base else line) if lead == "#" else None
         if atx and indent - base < 4:
             if not base:
                 close(0)
@@ -484,7 +496,7 @@ def parse_markdown(source: str, root: Node) -> None:
             close(0)
             i, blank = i + 1, True
             continue
-        opened = _MD_HTML.match(line)
+        opened = _MD_HTML.match(line) if lead == "<" else None
         if opened and (opened["name"] is None or opened["name"].lower() in _HTML_START):
             if not base:
                 close(0)
@@ -493,7 +505,7 @@ def parse_markdown(source: str, root: Node) -> None:
             parse_html("\n".join(lines[i:j]), here(), "html")
             i, blank = j, True
             continue
-        math = re.match(r"^\s*(\$\$|\\\[)", line)
+        math = _MD_MATH.match(line) if lead in "$\\" else None
         if math and (blank or not paragraph):
             end = "$$" if math[1] == "$$" else "\\]"
             joined, j = line.lstrip()[2:], i + 1
@@ -513,7 +525,7 @@ def parse_markdown(source: str, root: Node) -> None:
                 else:
                     i, blank = j, True
                 continue
-        if _MD_TABLE.match(line) and not in_item:
+        if "|" in line and _MD_TABLE.match(line) and not in_item:
             flush()
             close(0)
             node = root.add(Node("table", "md:table:table", "", len(line)))
@@ -525,7 +537,7 @@ def parse_markdown(source: str, root: Node) -> None:
                 i += 1
             blank = True
             continue
-        if _MD_DEFINITION.match(line) and not paragraph and not in_item:
+        if lead == "[" and _MD_DEFINITION.match(line) and not paragraph and not in_item:
             root.add(Node("hidden", "md:hidden:definition", "", len(line)))
             i += 1
             continue
@@ -537,8 +549,8 @@ def parse_markdown(source: str, root: Node) -> None:
             root.add(Node("code_block", "md:code:indented", squeeze("\n".join(body)), sum(map(len, body))))
             i, blank = j, True
             continue
-        in_tag = bool(paragraph) and re.search(r"<[A-Za-z][^<>]*$", paragraph[-1])
-        said = re.sub(r"^ {0,3}(?:> ?)+", "", line) if not items and not in_tag else line.strip()
+        in_tag = bool(paragraph) and "<" in paragraph[-1] and _MD_OPEN_TAG.search(paragraph[-1])
+        said = (_MD_QUOTE.sub("", line) if lead == ">" else line) if not items and not in_tag else line.strip()
         if items:
             if blank and items[-1].parts:
                 if indent - items[-1].offset >= 4:
@@ -624,6 +636,9 @@ def _wiki_cells(lines: list[str]) -> str:
     return "".join(out)
 
 
+_WIKI_PLACED = re.compile(f"{PLACED}c(\\d+){KEPT_END}\\s*")
+
+
 def parse_wiki(source: str, root: Node) -> None:
     """The blocks of wiki markup, below ``root``."""
     codes: list[Node] = []
@@ -650,7 +665,7 @@ def parse_wiki(source: str, root: Node) -> None:
     while i < len(lines):
         line = lines[i]
         i += 1
-        placed = re.fullmatch(f"{PLACED}c(\\d+){KEPT_END}\\s*", line)
+        placed = _WIKI_PLACED.fullmatch(line) if PLACED in line else None
         if placed:
             flush()
             root.add(codes[int(placed[1])])
