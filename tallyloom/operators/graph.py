@@ -7,22 +7,34 @@ from pyspark.sql import functions as F
 
 from tallyloom.plans.lineage import stash
 
+#: Hops in one job; each is a join and a distinct of the pairs of its round.
+HOPS_A_ROUND = 4
+
+
 def reach(roots: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``root, node, hop``: the shortest distance from each root to every node it reaches.
 
-    ``roots`` has ``root``, ``edges`` has ``src, dst``. Each level joins only the pairs
-    that are new, and pairs already known are taken out before the next, so cycles end.
+    ``roots`` has ``root``, ``edges`` has ``src, dst``. A round goes a few hops from the
+    pairs that the last one reached last; every shortest way leads over one of those, so
+    the least hop of a pair in a round is its distance unless it is known already. Known
+    pairs are taken out after each round, so cycles end.
     With ``max_hops`` nodes so far away aren't expanded any further; ``beyond`` tells what
     that cut off. Edges and roots may be repeated; those with nulls lead nowhere.
     """
     steps = stash(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    level = stash(roots.where("root is not null").select("root", F.col("root").alias("node")).distinct(), n=F.count("*"))
-    known, hop = level.withColumn("hop", F.lit(0)), 0
+    level = stash(roots.where("root is not null").select("root", F.col("root").alias("node"), F.lit(0).alias("hop")).distinct(), n=F.count("*"))
+    known, hop, rounds = level, 0, 0
     while (max_hops is None or hop < max_hops) and level.observed["n"]:
-        hop += 1
-        found = level.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        level = stash(found.join(known.select("root", "node"), ["root", "node"], "left_anti"), n=F.count("*"))
-        known = _gathered(known.unionByName(level.withColumn("hop", F.lit(hop))), hop)
+        ahead = HOPS_A_ROUND if max_hops is None else min(HOPS_A_ROUND, max_hops - hop)
+        at, found = level.where(F.col("hop") == hop).select("root", "node"), None
+        for k in range(1, ahead + 1):
+            at = at.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+            told = at.withColumn("hop", F.lit(hop + k))
+            found = told if found is None else found.unionByName(told)
+        nearest = found.groupBy("root", "node").agg(F.min("hop").alias("hop"))
+        hop, rounds = hop + ahead, rounds + 1
+        level = stash(nearest.join(known.select("root", "node"), ["root", "node"], "left_anti"), n=F.count_if(F.col("hop") == hop))
+        known = _gathered(known.unionByName(level), rounds)
     return known
 
 
