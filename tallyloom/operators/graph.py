@@ -22,19 +22,22 @@ def reach(roots: DataFrame, edges: DataFrame, max_hops: int | None = None) -> Da
     that cut off. Edges and roots may be repeated; those with nulls lead nowhere.
     """
     steps = stash(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    level = stash(roots.where("root is not null").select("root", F.col("root").alias("node"), F.lit(0).alias("hop")).distinct(), n=F.count("*"))
-    known, hop, rounds = level, 0, 0
+    start = roots.where("root is not null").select("root", F.col("root").alias("node")).distinct()
+    level = stash(start.select("root", "node", F.lit(0).alias("hop"), F.lit(True).alias("last")), n=F.count("*"))
+    known, hop, rounds = level.drop("last"), 0, 0
     while (max_hops is None or hop < max_hops) and level.observed["n"]:
         ahead = HOPS_A_ROUND if max_hops is None else min(HOPS_A_ROUND, max_hops - hop)
-        at, found = level.where(F.col("hop") == hop).select("root", "node"), None
+        # hops are counted in the data, so every round runs the same compiled code
+        at, found = level.where("last").select("root", "node", F.col("hop").alias("base")), None
         for k in range(1, ahead + 1):
-            at = at.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-            told = at.withColumn("hop", F.lit(hop + k))
+            at = at.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), "base").distinct()
+            told = at.withColumn("k", F.lit(k))
             found = told if found is None else found.unionByName(told)
-        nearest = found.groupBy("root", "node").agg(F.min("hop").alias("hop"))
+        nearest = found.groupBy("root", "node", "base").agg(F.min("k").alias("k"))
+        fresh = nearest.join(known.select("root", "node"), ["root", "node"], "left_anti")
+        level = stash(fresh.select("root", "node", (F.col("base") + F.col("k")).alias("hop"), (F.col("k") == ahead).alias("last")), n=F.count_if("last"))
         hop, rounds = hop + ahead, rounds + 1
-        level = stash(nearest.join(known.select("root", "node"), ["root", "node"], "left_anti"), n=F.count_if(F.col("hop") == hop))
-        known = _gathered(known.unionByName(level), rounds)
+        known = _gathered(known.unionByName(level.drop("last")), rounds)
     return known
 
 
