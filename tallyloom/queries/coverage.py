@@ -202,12 +202,12 @@ def g3_chains(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {_GRAPH}, b AS (SELECT root, entity, min(hop) AS hops FROM reached JOIN direct USING (node) GROUP BY ALL),
-o AS (SELECT root, entity, string_agg(DISTINCT left(c_name, 10), ',' ORDER BY left(c_name, 10)) AS operations FROM reached JOIN direct USING (node) JOIN customer ON CAST(c_custkey AS VARCHAR) = node GROUP BY ALL)
+o AS (SELECT root, entity, string_agg(DISTINCT c_name, ',' ORDER BY c_name) AS operations FROM reached JOIN direct USING (node) JOIN customer ON CAST(c_custkey AS VARCHAR) = node GROUP BY ALL)
 SELECT n_name AS surface, b.entity, o.operations, b.hops, CASE WHEN b.hops = 0 THEN 'direct' ELSE 'call-chain:' || b.hops END AS kind FROM nation JOIN b ON b.root = CAST(n_nationkey AS VARCHAR) JOIN o ON o.root = b.root AND o.entity = b.entity"""
 )
 def g4_capabilities(spark: SparkSession, d: str) -> DataFrame:
     surfaces = table(spark, d, "nation").select(F.col("n_name").alias("surface"), F.col("n_nationkey").cast("string").alias("handler"))
-    ops = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node"), F.col("c_mktsegment").alias("entity"), F.substring("c_name", 1, 10).alias("op"))
+    ops = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("node"), F.col("c_mktsegment").alias("entity"), F.col("c_name").alias("op"))
     return G.assemble(surfaces, call_graph(spark, d), _direct(spark, d), ops).withColumn("operations", F.array_join("operations", ","))
 
 

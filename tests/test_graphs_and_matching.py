@@ -70,6 +70,40 @@ def test_graph_queries_cover_every_customer(spark, tmp_path):
     assert got["a8_history"] == set(enumerate(line[: stop + 1]))
 
 
+def customers(spark, folder, n, roots):
+    """The tables of the graph queries, and what plain breadth-first search reaches from each root: each node's path."""
+    segment = {k: "late" if k == n - 1 else "end" if k % 3 else "start" for k in range(n)}
+    spark.createDataFrame([(k, f"Customer#{k:09d}", segment[k]) for k in range(n)], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(k, f"N{k}") for k in roots], "n_nationkey long, n_name string").write.parquet(f"{folder}/nation.parquet")
+    walks = {}
+    for root in map(str, roots):
+        seen, todo = {root: (root,)}, deque([root])
+        while todo:
+            k = todo.popleft()
+            for m in sorted({str((7 * int(k) + 3) % n), str((3 * int(k) + 1) % n)}):
+                if m not in seen:
+                    seen[m] = (*seen[k], m)
+                    todo.append(m)
+        walks[root] = seen
+    return segment, walks
+
+
+def capabilities(segment, walks):
+    done = {}
+    for root, seen in walks.items():
+        for node, path in seen.items():
+            names, hops = done.get((root, segment[int(node)]), (set(), len(path) - 1))
+            done[root, segment[int(node)]] = names | {f"Customer#{int(node):09d}"}, min(hops, len(path) - 1)
+    return {(f"N{r}", e, ",".join(sorted(names)), hops, f"call-chain:{hops}" if hops else "direct") for (r, e), (names, hops) in done.items()}
+
+
+def test_capabilities_are_told_by_whole_names(spark, tmp_path):
+    from tallyloom.queries import QUERIES
+
+    segment, walks = customers(spark, tmp_path, 40, [0, 7])
+    assert {tuple(r) for r in QUERIES["g4_capabilities"](spark, str(tmp_path)).collect()} == capabilities(segment, walks)
+
+
 def test_hops_are_only_limited_on_demand_and_told(spark):
     line = spark.createDataFrame([(f"{k}", f"{k + 1}") for k in range(66)], "src string, dst string")
     root = spark.createDataFrame([("0",)], "root string")
