@@ -5,25 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import walks
 from tallyloom.plans.lineage import stash
 
-#: Hops in one job; each is a join and a distinct of the pairs of its round.
+#: Hops in one job where a graph is walked by joins; each is a join and a distinct of the pairs of its round.
 HOPS_A_ROUND = 4
 
 
 def reach(roots: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``root, node, hop``: the shortest distance from each root to every node it reaches.
 
-    ``roots`` has ``root``, ``edges`` has ``src, dst``. A round goes a few hops from the
-    pairs that the last one reached last; every shortest way leads over one of those, so
-    the least hop of a pair in a round is its distance unless it is known already. Known
-    pairs are taken out after each round, so cycles end.
+    ``roots`` has ``root``, ``edges`` has ``src, dst``. A graph that a task can hold is
+    walked in arrays, each task with some of the roots; a larger one by joins.
     With ``max_hops`` nodes so far away aren't expanded any further; ``beyond`` tells what
     that cut off. Edges and roots may be repeated; those with nulls lead nowhere.
     """
-    steps = stash(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    start = roots.where("root is not null").select("root", F.col("root").alias("node")).distinct()
-    level = stash(start.select("root", "node", F.lit(0).alias("hop"), F.lit(True).alias("last")), n=F.count("*"))
+    steps = _steps(edges)
+    start = _starts(roots)
+    if _held(steps):
+        return stash(walks.distances(start, start.observed["n"], steps, max_hops))
+    return _reach_by_joins(start, steps, max_hops)
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    return stash(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), weight=walks.weight("src", "dst"))
+
+
+def _starts(roots: DataFrame) -> DataFrame:
+    return stash(roots.where("root is not null").select("root").distinct(), n=F.count("*"))
+
+
+def _held(*parts: DataFrame) -> bool:
+    return sum(p.observed["weight"] for p in parts) <= walks.HELD_BYTES
+
+
+def _reach_by_joins(start: DataFrame, steps: DataFrame, max_hops: int | None) -> DataFrame:
+    """A round goes a few hops from the pairs that the last one reached last; every shortest
+    way leads over one of those, so the least hop of a pair in a round is its distance unless
+    it is known already. Known pairs are taken out after each round, so cycles end.
+    """
+    level = stash(start.select("root", F.col("root").alias("node"), F.lit(0).alias("hop"), F.lit(True).alias("last")), n=F.count("*"))
     known, hop, rounds = level.drop("last"), 0, 0
     while (max_hops is None or hop < max_hops) and level.observed["n"]:
         ahead = HOPS_A_ROUND if max_hops is None else min(HOPS_A_ROUND, max_hops - hop)

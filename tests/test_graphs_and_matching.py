@@ -104,6 +104,51 @@ def test_capabilities_are_told_by_whole_names(spark, tmp_path):
     assert {tuple(r) for r in QUERIES["g4_capabilities"](spark, str(tmp_path)).collect()} == capabilities(segment, walks)
 
 
+def expected(name, segment, walks):
+    best = {}
+    for r, seen in walks.items():
+        for node, path in seen.items():
+            key = r, segment[int(node)]
+            best[key] = min(best.get(key, path), path, key=lambda p: (len(p), p))
+    if name == "g1_distances":
+        return {(r, node, len(p) - 1) for r, s in walks.items() for node, p in s.items()}
+    if name == "g2_bind":
+        return {(*k, len(p) - 1) for k, p in best.items()}
+    if name == "g3_chains":
+        return {(*k, ">".join(p)) for k, p in best.items()}
+    if name == "g4_capabilities":
+        return capabilities(segment, walks)
+    first = {e: min(len(p) - 1 for (_, x), p in best.items() if x == e) for _, e in best}
+    line = [sum(h <= k for h in first.values()) for k in range(9)]
+    stop = next((k for k in range(2, 9) if line[k] == line[k - 1] == line[k - 2]), 8)
+    return set(enumerate(line[: stop + 1]))
+
+
+@pytest.mark.parametrize("name", ["g1_distances"])
+def test_graph_queries_take_no_job_per_hop(spark, tmp_path, name):
+    from tallyloom.queries import QUERIES
+
+    segment, walks = customers(spark, tmp_path, 4000, [0, 7, 11])
+    assert max(len(p) for s in walks.values() for p in s.values()) >= 40
+    spark.sparkContext.setJobGroup(str(tmp_path), name)
+    got = {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == expected(name, segment, walks)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(tmp_path))) < 30
+
+
+def test_graphs_beyond_a_task_are_walked_by_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    nodes = [f"n{k}" for k in range(12)]
+    edges = spark.createDataFrame([(rng.choice(nodes), rng.choice(nodes)) for _ in range(20)], "src string, dst string")
+    roots = spark.createDataFrame([("n0",), ("n1",), ("alone",)], "root string")
+    want = {tuple(r) for r in G.reach(roots, edges).collect()}
+    monkeypatch.setattr("tallyloom.operators.walks.MARKS", 1)
+    monkeypatch.setattr("tallyloom.operators.walks.ROWS", 2)
+    assert {tuple(r) for r in G.reach(roots, edges).collect()} == want
+    monkeypatch.setattr("tallyloom.operators.walks.HELD_BYTES", 0)
+    assert {tuple(r) for r in G.reach(roots, edges).collect()} == want
+
+
 def test_hops_are_only_limited_on_demand_and_told(spark):
     line = spark.createDataFrame([(f"{k}", f"{k + 1}") for k in range(66)], "src string, dst string")
     root = spark.createDataFrame([("0",)], "root string")
