@@ -110,7 +110,7 @@ def assemble(surfaces: DataFrame, edges: DataFrame, direct: DataFrame, ops: Data
     ``surfaces`` has ``surface, handler``, ``ops`` has ``node, entity, op``. Operations are
     those of all nodes a surface reaches, not only of those on its chain.
     """
-    reached = stash(reach(surfaces.select(F.col("handler").alias("root")), edges, max_hops))
+    reached = reach(surfaces.select(F.col("handler").alias("root")), edges, max_hops)
     bound = reached.join(direct.select("node", "entity").distinct(), "node").groupBy("root", "entity").agg(F.min("hop").alias("hops"))
     done = reached.join(ops.select("node", "entity", "op").distinct(), "node").groupBy("root", "entity").agg(F.sort_array(F.collect_set("op")).alias("operations"))
     kind = F.when(F.col("hops") == 0, "direct").otherwise(F.concat(F.lit("call-chain:"), "hops"))

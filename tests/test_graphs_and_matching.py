@@ -124,7 +124,7 @@ def expected(name, segment, walks):
     return set(enumerate(line[: stop + 1]))
 
 
-@pytest.mark.parametrize("name", ["g1_distances", "g2_bind", "a8_history"])
+@pytest.mark.parametrize("name", ["g1_distances", "g2_bind", "g4_capabilities", "a8_history"])
 def test_graph_queries_take_no_job_per_hop(spark, tmp_path, name):
     from tallyloom.queries import QUERIES
 
