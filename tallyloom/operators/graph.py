@@ -91,17 +91,25 @@ def binding_history(bound: DataFrame, depth: int) -> DataFrame:
 def chains(roots: DataFrame, edges: DataFrame, direct: DataFrame) -> DataFrame:
     """``root, entity, chain``: the shortest path to a node that refers to the entity, the smallest of those of one length.
 
-    Paths are carried along and the smallest of each (root, node) is kept at every level.
+    As in ``reach``, a graph that a task can hold is walked in arrays, a larger one by joins.
     """
-    steps = stash(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    level = stash(roots.where("root is not null").select("root", F.col("root").alias("node"), F.array("root").alias("path")).distinct(), n=F.count("*"))
+    steps, start = _steps(edges), _starts(roots)
+    held = stash(direct.where("node is not null").select("node", "entity").distinct(), weight=walks.weight("node", "entity"))
+    if _held(steps, held):
+        return walks.chains(start, start.observed["n"], steps, held)
+    return _chains_by_joins(start, steps, held)
+
+
+def _chains_by_joins(start: DataFrame, steps: DataFrame, direct: DataFrame) -> DataFrame:
+    """Paths are carried along and the smallest of each (root, node) is kept at every level."""
+    level = stash(start.select("root", F.col("root").alias("node"), F.array("root").alias("path")), n=F.count("*"))
     known, hop = level, 0
     while level.observed["n"]:
         hop += 1
         found = level.join(steps, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         level = stash(found.join(known.select("root", "node"), ["root", "node"], "left_anti"), n=F.count("*"))
         known = _gathered(known.unionByName(level), hop)
-    return known.join(direct.select("node", "entity").distinct(), "node").groupBy("root", "entity").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("chain"))
+    return known.join(direct, "node").groupBy("root", "entity").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("chain"))
 
 
 def assemble(surfaces: DataFrame, edges: DataFrame, direct: DataFrame, ops: DataFrame, max_hops: int | None = None) -> DataFrame:

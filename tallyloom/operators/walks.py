@@ -20,7 +20,7 @@ ROOTS_A_TASK = 8
 #: Pairs of root and node that a task marks at once, and rows that it gives back at once.
 MARKS, ROWS = 1 << 23, 1 << 17
 
-_EDGE, _ROOT = range(2)
+_EDGE, _ROOT, _ENTITY = range(3)
 
 
 def weight(*columns: str) -> Column:
@@ -42,6 +42,10 @@ class _Graph:
         src, dst = np.split(place[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)], 2)
         self.roots = src[kind == _ROOT]
         self.starts, self.ends = _sliced(src[kind == _EDGE], dst[kind == _EDGE], self.n)
+        if "entity" in rows.column_names:
+            held = rows["entity"].filter(pa.array(kind == _ENTITY)).dictionary_encode("encode").combine_chunks()
+            self.entities = held.dictionary
+            self.firsts, self.owned = _sliced(src[kind == _ENTITY], held.indices.to_numpy().astype(np.int64), self.n)
 
     def levels(self, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each hop: which root, the node, and the place in the level before of the node it was reached from.
@@ -78,12 +82,14 @@ def _gathered(starts: np.ndarray, values: np.ndarray, nodes: np.ndarray) -> tupl
     return np.repeat(np.arange(len(nodes)), counts), values[np.repeat(starts[nodes] - before, counts) + np.arange(counts.sum())]
 
 
-def _by_task(roots: DataFrame, n_roots: int, edges: DataFrame, walk: Callable, schema: str) -> DataFrame:
+def _by_task(roots: DataFrame, n_roots: int, edges: DataFrame, direct: DataFrame | None, walk: Callable, schema: str) -> DataFrame:
     """``walk`` over the whole graph and a part of the roots, once per task."""
     tasks = max(1, min(edges.sparkSession.sparkContext.defaultParallelism, -(-n_roots // ROOTS_A_TASK)))
     every = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
     rows = edges.select(F.lit(_EDGE).alias("kind"), "src", "dst", every.alias("task"))
     rows = rows.unionByName(roots.select(F.lit(_ROOT).alias("kind"), F.col("root").alias("src"), F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("int").alias("task")), allowMissingColumns=True)
+    if direct is not None:
+        rows = rows.unionByName(direct.select(F.lit(_ENTITY).alias("kind"), F.col("node").alias("src"), "entity", every.alias("task")), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from walk(_Graph(pa.Table.from_batches(batches).drop_columns(["task"])))
@@ -108,7 +114,7 @@ def distances(roots: DataFrame, n_roots: int, edges: DataFrame, max_hops: int |
             yield from _batches(g, held)
 
     kind = dict(edges.dtypes)
-    return _by_task(roots, n_roots, edges, walk, f"root {dict(roots.dtypes)['root']}, node {kind['dst']}, hop int")
+    return _by_task(roots, n_roots, edges, None, walk, f"root {dict(roots.dtypes)['root']}, node {kind['dst']}, hop int")
 
 
 def _batches(g: _Graph, held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -123,3 +129,36 @@ def _chunks(roots: np.ndarray, width: int) -> Iterator[np.ndarray]:
     size = max(1, MARKS // max(1, width))
     for k in range(0, len(roots), size):
         yield roots[k : k + size]
+
+
+def chains(roots: DataFrame, n_roots: int, edges: DataFrame, direct: DataFrame) -> DataFrame:
+    """``root, entity, chain`` of distinct roots, edges without nulls, and distinct ``node, entity``.
+
+    A walk ends where all its roots have come to every entity there is: later paths are longer.
+    """
+
+    def walk(g: _Graph) -> Iterator[pa.RecordBatch]:
+        n = len(g.entities)
+        for some in _chunks(g.roots, g.n + n):
+            bound, trail = np.zeros(len(some) * n, bool), []
+            for at, node, came in g.levels(some):
+                trail.append((node.astype(np.int32), came.astype(np.int32)))
+                place, entity = _gathered(g.firsts, g.owned, node)
+                key, first = np.unique(at[place] * n + entity, return_index=True)
+                fresh = ~bound[key]
+                key, ends = key[fresh], place[first[fresh]]
+                bound[key] = True
+                size = max(1, ROWS // len(trail))
+                for k in range(0, len(key), size):
+                    root, entity = np.divmod(key[k : k + size], n)
+                    paths, place = np.empty((len(root), len(trail)), np.int32), ends[k : k + size]
+                    for hop in range(len(trail) - 1, -1, -1):
+                        nodes, before = trail[hop]
+                        paths[:, hop], place = nodes[place], before[place]
+                    said = pa.ListArray.from_arrays(pa.array(np.arange(len(root) + 1, dtype=np.int32) * len(trail)), g.names.take(pa.array(paths.ravel())))
+                    yield pa.RecordBatch.from_arrays([g.names.take(pa.array(some[root])), g.entities.take(pa.array(entity)), said], ["root", "entity", "chain"])
+                if bound.all():
+                    break
+
+    kind = dict(roots.dtypes)["root"]
+    return _by_task(roots, n_roots, edges, direct, walk, f"root {kind}, entity {dict(direct.dtypes)['entity']}, chain array<{kind}>")

@@ -124,7 +124,7 @@ def expected(name, segment, walks):
     return set(enumerate(line[: stop + 1]))
 
 
-@pytest.mark.parametrize("name", ["g1_distances", "g2_bind", "g4_capabilities", "a8_history"])
+@pytest.mark.parametrize("name", ["g1_distances", "g2_bind", "g3_chains", "g4_capabilities", "a8_history"])
 def test_graph_queries_take_no_job_per_hop(spark, tmp_path, name):
     from tallyloom.queries import QUERIES
 
@@ -141,12 +141,17 @@ def test_graphs_beyond_a_task_are_walked_by_joins(spark, monkeypatch):
     nodes = [f"n{k}" for k in range(12)]
     edges = spark.createDataFrame([(rng.choice(nodes), rng.choice(nodes)) for _ in range(20)], "src string, dst string")
     roots = spark.createDataFrame([("n0",), ("n1",), ("alone",)], "root string")
-    want = {tuple(r) for r in G.reach(roots, edges).collect()}
+    direct = spark.createDataFrame([*((rng.choice(nodes), e) for e in "xyzx"), ("n0", None), (None, "x")], "node string, entity string")
+
+    def walked():
+        return {tuple(r) for r in G.reach(roots, edges).collect()}, {(r["root"], r["entity"], tuple(r["chain"])) for r in G.chains(roots, edges, direct).collect()}
+
+    want = walked()
     monkeypatch.setattr("tallyloom.operators.walks.MARKS", 1)
     monkeypatch.setattr("tallyloom.operators.walks.ROWS", 2)
-    assert {tuple(r) for r in G.reach(roots, edges).collect()} == want
+    assert walked() == want
     monkeypatch.setattr("tallyloom.operators.walks.HELD_BYTES", 0)
-    assert {tuple(r) for r in G.reach(roots, edges).collect()} == want
+    assert walked() == want
 
 
 def test_hops_are_only_limited_on_demand_and_told(spark):
