@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import walks
-from tallyloom.plans.lineage import stash
+from tallyloom.plans.lineage import release, stash
 
 #: Hops in one job where a graph is walked by joins; each is a join and a distinct of the pairs of its round.
 HOPS_A_ROUND = 4
@@ -20,8 +20,10 @@ def reach(roots: DataFrame, edges: DataFrame, max_hops: int | None = None) -> Da
     With ``max_hops`` nodes so far away aren't expanded any further; ``beyond`` tells what
     that cut off. Edges and roots may be repeated; those with nulls lead nowhere.
     """
-    steps = _steps(edges)
-    start = _starts(roots)
+    return _reach(_starts(roots), _steps(edges), max_hops)
+
+
+def _reach(start: DataFrame, steps: DataFrame, max_hops: int | None) -> DataFrame:
     if _held(steps):
         return stash(walks.distances(start, start.observed["n"], steps, max_hops))
     return _reach_by_joins(start, steps, max_hops)
@@ -35,6 +37,10 @@ def _starts(roots: DataFrame) -> DataFrame:
     return stash(roots.where("root is not null").select("root").distinct(), n=F.count("*"))
 
 
+def _entities(direct: DataFrame) -> DataFrame:
+    return stash(direct.where("node is not null").select("node", "entity").distinct(), weight=walks.weight("node", "entity"))
+
+
 def _held(*parts: DataFrame) -> bool:
     return sum(p.observed["weight"] for p in parts) <= walks.HELD_BYTES
 
@@ -74,8 +80,21 @@ def _gathered(known: DataFrame, level: int) -> DataFrame:
 
 
 def bind(roots: DataFrame, edges: DataFrame, direct: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """``root, entity, hops``: the entities each root reaches, and over how few hops. ``direct`` has ``node, entity``."""
-    return reach(roots, edges, max_hops).join(direct.select("node", "entity").distinct(), "node").groupBy("root", "entity").agg(F.min("hop").alias("hops"))
+    """``root, entity, hops``: the entities each root reaches, and over how few hops. ``direct`` has ``node, entity``.
+
+    Where a task can hold graph and entities, a root is walked only until it has come to
+    every entity; else what is reached is joined to them, with the same result. Repeated
+    rows are only folded first where they make the graph too large.
+    """
+    start = _starts(roots)
+    packs = stash(walks.pack(edges, direct), weight=F.coalesce(F.sum("weight"), F.lit(0)))
+    if _held(packs):
+        return walks.bindings(start, start.observed["n"], packs, dict(direct.dtypes)["entity"], max_hops)
+    release(packs)
+    steps, held = _steps(edges), _entities(direct)
+    if _held(steps, held):
+        return walks.bindings(start, start.observed["n"], walks.pack(steps, held), dict(direct.dtypes)["entity"], max_hops)
+    return _reach(start, steps, max_hops).join(held, "node").groupBy("root", "entity").agg(F.min("hop").alias("hops"))
 
 
 def binding_history(bound: DataFrame, depth: int) -> DataFrame:
@@ -93,8 +112,7 @@ def chains(roots: DataFrame, edges: DataFrame, direct: DataFrame) -> DataFrame:
 
     As in ``reach``, a graph that a task can hold is walked in arrays, a larger one by joins.
     """
-    steps, start = _steps(edges), _starts(roots)
-    held = stash(direct.where("node is not null").select("node", "entity").distinct(), weight=walks.weight("node", "entity"))
+    steps, start, held = _steps(edges), _starts(roots), _entities(direct)
     if _held(steps, held):
         return walks.chains(start, start.observed["n"], steps, held)
     return _chains_by_joins(start, steps, held)

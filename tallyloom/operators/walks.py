@@ -6,6 +6,7 @@ Hops cost no jobs here, so a graph of some thousand levels takes as long as a fl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -82,17 +83,45 @@ def _gathered(starts: np.ndarray, values: np.ndarray, nodes: np.ndarray) -> tupl
     return np.repeat(np.arange(len(nodes)), counts), values[np.repeat(starts[nodes] - before, counts) + np.arange(counts.sum())]
 
 
-def _by_task(roots: DataFrame, n_roots: int, edges: DataFrame, direct: DataFrame | None, walk: Callable, schema: str) -> DataFrame:
-    """``walk`` over the whole graph and a part of the roots, once per task."""
-    tasks = max(1, min(edges.sparkSession.sparkContext.defaultParallelism, -(-n_roots // ROOTS_A_TASK)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
-    rows = edges.select(F.lit(_EDGE).alias("kind"), "src", "dst", every.alias("task"))
-    rows = rows.unionByName(roots.select(F.lit(_ROOT).alias("kind"), F.col("root").alias("src"), F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("int").alias("task")), allowMissingColumns=True)
+def pack(edges: DataFrame, direct: DataFrame | None = None) -> DataFrame:
+    """``pack, weight``: edges ``src, dst`` and entities ``node, entity``, some thousand rows in one value, and what they add to ``HELD_BYTES``.
+
+    Repeating and shuffling such values costs little. Rows whose ``src``, ``dst`` or
+    ``node`` is null lead nowhere and are left out. A task that comes to more than
+    ``HELD_BYTES`` packs no more of its rows: nothing that large is walked in arrays.
+    """
+    rows = edges.where("src is not null and dst is not null").select(F.lit(_EDGE).alias("kind"), "src", "dst")
     if direct is not None:
-        rows = rows.unionByName(direct.select(F.lit(_ENTITY).alias("kind"), F.col("node").alias("src"), "entity", every.alias("task")), allowMissingColumns=True)
+        held = direct.where("node is not null").select(F.lit(_ENTITY).alias("kind"), F.col("node").alias("src"), "entity")
+        rows = rows.unionByName(held, allowMissingColumns=True)
+    return rows.mapInArrow(partial(_packed, HELD_BYTES), "pack binary, weight bigint")
+
+
+def _packed(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = 0
+    for batch in batches:
+        names = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+        weight = 16 * batch.num_rows + sum(pc.sum(pc.binary_length(c), min_count=0).as_py() for c in names)
+        total += weight
+        sink = pa.BufferOutputStream()
+        if total <= most:
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([weight], pa.int64())], ["pack", "weight"])
+
+
+def _by_task(roots: DataFrame, n_roots: int, packs: DataFrame, walk: Callable, schema: str) -> DataFrame:
+    """``walk`` over the whole graph and a part of the roots, once per task."""
+    tasks = max(1, min(packs.sparkSession.sparkContext.defaultParallelism, -(-n_roots // ROOTS_A_TASK)))
+    some = roots.select("root", F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("int").alias("task"))
+    rows = packs.select("pack", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")).unionByName(some, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from walk(_Graph(pa.Table.from_batches(batches).drop_columns(["task"])))
+        held = pa.Table.from_batches(batches)
+        parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in held["pack"] if p.is_valid]
+        root = held["root"].drop_null()
+        parts.append(pa.table({"kind": pa.array(np.full(len(root), _ROOT, np.int32)), "src": root}))
+        yield from walk(_Graph(pa.concat_tables(parts, promote_options="permissive")))
 
     return rows.groupBy("task").applyInArrow(run, schema)
 
@@ -114,7 +143,7 @@ def distances(roots: DataFrame, n_roots: int, edges: DataFrame, max_hops: int |
             yield from _batches(g, held)
 
     kind = dict(edges.dtypes)
-    return _by_task(roots, n_roots, edges, None, walk, f"root {dict(roots.dtypes)['root']}, node {kind['dst']}, hop int")
+    return _by_task(roots, n_roots, pack(edges), walk, f"root {dict(roots.dtypes)['root']}, node {kind['dst']}, hop int")
 
 
 def _batches(g: _Graph, held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +160,32 @@ def _chunks(roots: np.ndarray, width: int) -> Iterator[np.ndarray]:
         yield roots[k : k + size]
 
 
+def bindings(roots: DataFrame, n_roots: int, packs: DataFrame, entity: str, max_hops: int | None) -> DataFrame:
+    """``root, entity, hops`` of distinct roots and packed edges and entities, which may be repeated; ``entity`` is their type.
+
+    As in ``chains``, a walk ends where all its roots have come to every entity there is: later hops are more.
+    """
+
+    def walk(g: _Graph) -> Iterator[pa.RecordBatch]:
+        n = len(g.entities)
+        for some in _chunks(g.roots, g.n + n):
+            bound = np.zeros(len(some) * n, bool)
+            for hop, (at, node, _) in enumerate(g.levels(some)):
+                if max_hops is not None and hop > max_hops:
+                    break
+                place, entity = _gathered(g.firsts, g.owned, node)
+                key = at[place] * n + entity
+                key = np.unique(key[~bound[key]])
+                bound[key] = True
+                for k in range(0, len(key), ROWS):
+                    root, entity = np.divmod(key[k : k + ROWS], n)
+                    yield pa.RecordBatch.from_arrays([g.names.take(pa.array(some[root])), g.entities.take(pa.array(entity)), pa.array(np.full(len(root), hop, np.int32))], ["root", "entity", "hops"])
+                if bound.all():
+                    break
+
+    return _by_task(roots, n_roots, packs, walk, f"root {dict(roots.dtypes)['root']}, entity {entity}, hops int")
+
+
 def chains(roots: DataFrame, n_roots: int, edges: DataFrame, direct: DataFrame) -> DataFrame:
     """``root, entity, chain`` of distinct roots, edges without nulls, and distinct ``node, entity``.
 
@@ -161,4 +216,4 @@ def chains(roots: DataFrame, n_roots: int, edges: DataFrame, direct: DataFrame)
                     break
 
     kind = dict(roots.dtypes)["root"]
-    return _by_task(roots, n_roots, edges, direct, walk, f"root {kind}, entity {dict(direct.dtypes)['entity']}, chain array<{kind}>")
+    return _by_task(roots, n_roots, pack(edges, direct), walk, f"root {kind}, entity {dict(direct.dtypes)['entity']}, chain array<{kind}>")

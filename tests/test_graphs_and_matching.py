@@ -11,6 +11,7 @@ from tallyloom.operators import graph as G
 from tallyloom.operators import intervals as I
 from tallyloom.operators import matching as M
 from tallyloom.operators import planning as P
+from tallyloom.plans.lineage import stash
 
 
 def bfs(root, edges):
@@ -136,6 +137,27 @@ def test_graph_queries_take_no_job_per_hop(spark, tmp_path, name):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(tmp_path))) < 30
 
 
+def written_by(spark, folder, monkeypatch, name):
+    """What a query gives, what plain search gives, and how many rows each table has that it writes on the way."""
+    from tallyloom.queries import QUERIES
+
+    segment, walks = customers(spark, folder, 4000, [0, 7, 11])
+    written = []
+
+    def spied(df, *before, **observed):
+        written.append(stash(df, *before, **observed))
+        return written[-1]
+
+    monkeypatch.setattr("tallyloom.operators.graph.stash", spied)
+    got = {tuple(r) for r in QUERIES[name](spark, str(folder)).collect()}
+    return got, expected(name, segment, walks), [w.count() for w in written]
+
+
+def test_history_writes_neither_edges_nor_pairs_row_by_row(spark, tmp_path, monkeypatch):
+    got, want, rows = written_by(spark, tmp_path, monkeypatch, "a8_history")
+    assert got == want and max(rows) < 100
+
+
 def test_graphs_beyond_a_task_are_walked_by_joins(spark, monkeypatch):
     rng = random.Random(5)
     nodes = [f"n{k}" for k in range(12)]
