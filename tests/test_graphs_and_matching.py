@@ -158,6 +158,34 @@ def test_history_writes_neither_edges_nor_pairs_row_by_row(spark, tmp_path, monk
     assert got == want and max(rows) < 100
 
 
+def test_bindings_write_neither_edges_nor_pairs_row_by_row(spark, tmp_path, monkeypatch):
+    got, want, rows = written_by(spark, tmp_path, monkeypatch, "g2_bind")
+    assert got == want and max(rows) < 100
+
+
+def test_bindings_are_the_same_however_large_a_graph_may_be(spark, monkeypatch):
+    rng = random.Random(8)
+    nodes = [f"n{k}" for k in range(12)]
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(16)]
+    direct = [*((rng.choice(nodes), e) for e in "xyzx"), ("n3", None), ("alone", "far"), ("nowhere", "never")]
+    # they weigh 4,239 bytes, 451 if none is repeated
+    e = spark.createDataFrame([*edges * 9, (None, "n1"), ("n1", None)], "src string, dst string")
+    d = spark.createDataFrame([*direct * 9, (None, "x")], "node string, entity string")
+    roots = spark.createDataFrame([("n0",), ("n1",), ("alone",), (None,), ("n0",)], "root string")
+    for most in (None, 0, 3):
+        want = {}
+        for r in ("n0", "n1", "alone"):
+            for n, p in bfs(r, set(edges)).items():
+                for node, entity in direct:
+                    if n == node and (most is None or len(p) - 1 <= most):
+                        want[r, entity] = min(want.get((r, entity), len(p)), len(p) - 1)
+        for held in (1 << 27, 1500, 0):
+            monkeypatch.setattr("tallyloom.operators.walks.HELD_BYTES", held)
+            assert sorted(map(str, G.bind(roots, e, d, most).collect())) == sorted(f"Row(root={r!r}, entity={x!r}, hops={h})" for (r, x), h in want.items())
+    monkeypatch.setattr("tallyloom.operators.walks.HELD_BYTES", 1 << 27)
+    assert {tuple(r) for r in G.bind(roots, e.limit(0), d).collect()} == {("n1", "z", 0), ("alone", "far", 0)} and not G.bind(roots, e, d.limit(0)).collect() and not G.bind(roots.limit(0), e, d).collect()
+
+
 def test_graphs_beyond_a_task_are_walked_by_joins(spark, monkeypatch):
     rng = random.Random(5)
     nodes = [f"n{k}" for k in range(12)]
