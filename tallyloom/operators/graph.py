@@ -83,17 +83,17 @@ def bind(roots: DataFrame, edges: DataFrame, direct: DataFrame, max_hops: int |
     """``root, entity, hops``: the entities each root reaches, and over how few hops. ``direct`` has ``node, entity``.
 
     Where a task can hold graph and entities, a root is walked only until it has come to
-    every entity; else what is reached is joined to them, with the same result. Repeated
-    rows are only folded first where they make the graph too large.
+    every entity; else what is reached is joined to them, with the same result. Roots are
+    packed with the graph. Repeated rows are only folded first where they make that too large.
     """
-    start = _starts(roots)
-    packs = stash(walks.pack(edges, direct), weight=F.coalesce(F.sum("weight"), F.lit(0)))
+    kinds = dict(roots.dtypes)["root"], dict(direct.dtypes)["entity"]
+    packs = stash(walks.pack(edges, direct, roots), **{c: F.coalesce(F.sum(c), F.lit(0)) for c in ("weight", "roots")})
     if _held(packs):
-        return walks.bindings(start, start.observed["n"], packs, dict(direct.dtypes)["entity"], max_hops)
+        return walks.bindings(None, packs.observed["roots"], packs, *kinds, max_hops)
     release(packs)
-    steps, held = _steps(edges), _entities(direct)
+    start, steps, held = _starts(roots), _steps(edges), _entities(direct)
     if _held(steps, held):
-        return walks.bindings(start, start.observed["n"], walks.pack(steps, held), dict(direct.dtypes)["entity"], max_hops)
+        return walks.bindings(start, start.observed["n"], walks.pack(steps, held), *kinds, max_hops)
     return _reach(start, steps, max_hops).join(held, "node").groupBy("root", "entity").agg(F.min("hop").alias("hops"))
 
 

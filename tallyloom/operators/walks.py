@@ -22,6 +22,8 @@ ROOTS_A_TASK = 8
 MARKS, ROWS = 1 << 23, 1 << 17
 
 _EDGE, _ROOT, _ENTITY = range(3)
+# Sorted keys and repeated entities take a ninth of the room; every task reads all of it.
+_SQUEEZED = pa.ipc.IpcWriteOptions(compression="zstd" if pa.Codec.is_available("zstd") else None)
 
 
 def weight(*columns: str) -> Column:
@@ -83,18 +85,20 @@ def _gathered(starts: np.ndarray, values: np.ndarray, nodes: np.ndarray) -> tupl
     return np.repeat(np.arange(len(nodes)), counts), values[np.repeat(starts[nodes] - before, counts) + np.arange(counts.sum())]
 
 
-def pack(edges: DataFrame, direct: DataFrame | None = None) -> DataFrame:
-    """``pack, weight``: edges ``src, dst`` and entities ``node, entity``, some thousand rows in one value, and what they add to ``HELD_BYTES``.
+def pack(edges: DataFrame, direct: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """``pack, weight, roots``: edges ``src, dst``, entities ``node, entity`` and roots ``root``, some thousand rows in one value, what they add to ``HELD_BYTES``, and how many are roots.
 
-    Repeating and shuffling such values costs little. Rows whose ``src``, ``dst`` or
-    ``node`` is null lead nowhere and are left out. A task that comes to more than
+    Repeating and shuffling such values costs little. Rows whose ``src``, ``dst``, ``node``
+    or ``root`` is null lead nowhere and are left out. A task that comes to more than
     ``HELD_BYTES`` packs no more of its rows: nothing that large is walked in arrays.
     """
     rows = edges.where("src is not null and dst is not null").select(F.lit(_EDGE).alias("kind"), "src", "dst")
     if direct is not None:
         held = direct.where("node is not null").select(F.lit(_ENTITY).alias("kind"), F.col("node").alias("src"), "entity")
         rows = rows.unionByName(held, allowMissingColumns=True)
-    return rows.mapInArrow(partial(_packed, HELD_BYTES), "pack binary, weight bigint")
+    if roots is not None:
+        rows = rows.unionByName(roots.where("root is not null").select(F.lit(_ROOT).alias("kind"), F.col("root").alias("src")), allowMissingColumns=True)
+    return rows.mapInArrow(partial(_packed, HELD_BYTES), "pack binary, weight bigint, roots bigint")
 
 
 def _packed(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,26 +106,33 @@ def _packed(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         names = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
         weight = 16 * batch.num_rows + sum(pc.sum(pc.binary_length(c), min_count=0).as_py() for c in names)
+        roots = pc.sum(pc.equal(batch["kind"], _ROOT), min_count=0).as_py()
         total += weight
         sink = pa.BufferOutputStream()
         if total <= most:
-            with pa.ipc.new_stream(sink, batch.schema) as out:
+            with pa.ipc.new_stream(sink, batch.schema, options=_SQUEEZED) as out:
                 out.write_batch(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([weight], pa.int64())], ["pack", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([weight], pa.int64()), pa.array([roots], pa.int64())], ["pack", "weight", "roots"])
 
 
-def _by_task(roots: DataFrame, n_roots: int, packs: DataFrame, walk: Callable, schema: str) -> DataFrame:
-    """``walk`` over the whole graph and a part of the roots, once per task."""
-    tasks = max(1, min(packs.sparkSession.sparkContext.defaultParallelism, -(-n_roots // ROOTS_A_TASK)))
-    some = roots.select("root", F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("int").alias("task"))
-    rows = packs.select("pack", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")).unionByName(some, allowMissingColumns=True)
+def _by_task(roots: DataFrame | None, n_roots: int, packs: DataFrame, walk: Callable, schema: str) -> DataFrame:
+    """``walk`` over the whole graph and a part of the roots, once per task. Without ``roots`` those packed with the graph are shared out."""
+    tasks, packed = max(1, min(packs.sparkSession.sparkContext.defaultParallelism, -(-n_roots // ROOTS_A_TASK))), roots is None
+    rows = packs.select("pack", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
+    if not packed:
+        some = roots.select("root", F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("int").alias("task"))
+        rows = rows.unionByName(some, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(batches)
         parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in held["pack"] if p.is_valid]
-        root = held["root"].drop_null()
-        parts.append(pa.table({"kind": pa.array(np.full(len(root), _ROOT, np.int32)), "src": root}))
-        yield from walk(_Graph(pa.concat_tables(parts, promote_options="permissive")))
+        if not packed:
+            root = held["root"].drop_null()
+            parts.append(pa.table({"kind": pa.array(np.full(len(root), _ROOT, np.int32)), "src": root}))
+        g = _Graph(pa.concat_tables(parts, promote_options="permissive"))
+        if packed:
+            g.roots = np.unique(g.roots)[held["task"][0].as_py() :: tasks]
+        yield from walk(g)
 
     return rows.groupBy("task").applyInArrow(run, schema)
 
@@ -160,8 +171,10 @@ def _chunks(roots: np.ndarray, width: int) -> Iterator[np.ndarray]:
         yield roots[k : k + size]
 
 
-def bindings(roots: DataFrame, n_roots: int, packs: DataFrame, entity: str, max_hops: int | None) -> DataFrame:
-    """``root, entity, hops`` of distinct roots and packed edges and entities, which may be repeated; ``entity`` is their type.
+def bindings(roots: DataFrame | None, n_roots: int, packs: DataFrame, root: str, entity: str, max_hops: int | None) -> DataFrame:
+    """``root, entity, hops`` of distinct roots and packed edges and entities, which may be repeated; ``root`` and ``entity`` are their types.
+
+    Without ``roots`` they are packed too, and may be repeated.
 
     As in ``chains``, a walk ends where all its roots have come to every entity there is: later hops are more.
     """
@@ -183,7 +196,7 @@ def bindings(roots: DataFrame, n_roots: int, packs: DataFrame, entity: str, max_
                 if bound.all():
                     break
 
-    return _by_task(roots, n_roots, packs, walk, f"root {dict(roots.dtypes)['root']}, entity {entity}, hops int")
+    return _by_task(roots, n_roots, packs, walk, f"root {root}, entity {entity}, hops int")
 
 
 def chains(roots: DataFrame, n_roots: int, edges: DataFrame, direct: DataFrame) -> DataFrame:

@@ -163,6 +163,42 @@ def test_bindings_write_neither_edges_nor_pairs_row_by_row(spark, tmp_path, monk
     assert got == want and max(rows) < 100
 
 
+def test_bindings_write_one_small_table(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tallyloom.queries import QUERIES
+
+    segment, walks = customers(spark, tmp_path, 4000, [0, 7, 11])
+    written = []
+
+    def spied(df, *before, **observed):
+        written.append(stash(df, *before, **observed))
+        return written[-1]
+
+    monkeypatch.setattr("tallyloom.operators.graph.stash", spied)
+    spark.sparkContext.setJobGroup(str(tmp_path), "g2_bind")
+    bound = QUERIES["g2_bind"](spark, str(tmp_path))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(tmp_path))) <= 5 and len(written) == 1
+    # 2 calls and an entity a customer
+    assert written[0].select(F.sum(F.octet_length("pack"))).first()[0] < 4000 * 20
+    assert {tuple(r) for r in bound.collect()} == expected("g2_bind", segment, walks)
+
+
+def test_roots_packed_with_their_graph_are_walked_once_each(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(80)]
+    direct = [(rng.randrange(60), e) for e in "wxyz" for _ in range(2)]
+    roots = [*range(-3, 50), *range(20), None]
+    want = {}
+    for r in range(-3, 50):
+        for n, p in bfs(r, set(edges)).items():
+            for node, entity in direct:
+                if n == node:
+                    want[r, entity] = min(want.get((r, entity), len(p)), len(p) - 1)
+    e, d = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(direct, "node long, entity string")
+    assert sorted(map(tuple, G.bind(spark.createDataFrame([(r,) for r in roots], "root long"), e, d).collect())) == sorted((r, x, h) for (r, x), h in want.items())
+
+
 def test_bindings_are_the_same_however_large_a_graph_may_be(spark, monkeypatch):
     rng = random.Random(8)
     nodes = [f"n{k}" for k in range(12)]
